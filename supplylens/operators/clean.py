@@ -181,9 +181,14 @@ def dedupe(df: DataFrame, source_columns: list[str], order: list[str]) -> tuple[
             tagged.where("duplicate_of IS NOT NULL"))
 
 
+def row_digest(columns: list[str]) -> Column:
+    """A SHA-256 of the whole row: equal rows share it, and it is all that is shuffled."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
 def count_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``rows, groups, duplicate_rows``: excess over distinct full rows."""
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("n"))
+    groups = df.groupBy(row_digest(columns or df.columns).alias("_row")).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                       F.count_if(F.col("n") > 1).alias("groups"),
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
@@ -213,8 +218,11 @@ def validation_summary(checked: DataFrame) -> DataFrame:
              ("total", "duplicate", ~invalid & repeat), ("total", "warning", valid & (F.size("warnings") > 0))]
     marks = [F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code")))
              for kind, code, test in facts]
-    codes = [F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("code")))
-             for k, c in (("error", "errors"), ("warning", "warnings"))]
+
+    def named(kind: str, column: str) -> Column:
+        return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("code")))
+
+    codes = [named("error", "errors"), named("warning", "warnings")]
     events = F.concat(F.array_compact(F.array(*marks)), *codes)
     return checked.select(F.inline(events)).groupBy("kind", "code").agg(F.count("*").alias("rows"))
 
