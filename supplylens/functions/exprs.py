@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplylens.functions.parse import parse_date, parse_number, parse_timestamp
-from supplylens.functions.text import clean_text, comparable_text
+from supplylens.functions.text import clean_text, comparable_text, let
 
 
 class Expressions:
@@ -157,9 +157,7 @@ class Expressions:
                     .when(plain & a["d"].isNull() & b["d"].isNull(), test(a["t"], b["t"]))
                     .otherwise(differ))
 
-        # bound in a one-element array, so that each side is parsed once
-        pair = F.array(F.struct(sides[0].alias("a"), sides[1].alias("b")))
-        return F.transform(pair, lambda p: decide(p["a"], p["b"]))[0]
+        return let(F.struct(sides[0].alias("a"), sides[1].alias("b")), lambda p: decide(p["a"], p["b"]))
 
     def and_(self, left, right) -> Column:
         return self.truthy(left) & self.truthy(right)

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplylens.functions.text import (
-    SPACE, analytics_text, clean_text, comparable_text, is_blank, normalize_label,
+    SPACE, analytics_text, clean_text, comparable_text, is_blank, let, normalize_label,
 )
 
+#: Plain numbers that both dialects read alike, without the marks that need a closer look.
+PLAIN = r"^[-+]?\d{1,15}(?:\.(?:\d{1,2}|\d{4,15}))?$"
 GRAMMAR = r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"
 EXCEL_EPOCH = "1899-12-30"
 
@@ -30,41 +32,42 @@ def _finite(number: Column) -> Column:
     return F.when(number.between(-limit, limit), number)
 
 
-def _one_mark(text: Column, comma_groups: bool, dot_tail: str) -> Column:
+def _one_mark(text: Column, comma_groups: str | None, dot_groups: str) -> Column:
     """Bring decimal and thousands marks to one form: digits with a single '.'.
 
-    A chain of replacements rather than a CASE, so that the text is read once. Where both
-    marks occur the last one is the decimal mark; ';' stands for it until the end.
+    Where both marks occur the last one is the decimal mark.
     """
-    text = F.regexp_replace(text, r"^([^,]*\.[^,]*),([^.,]*)$", "$1;$2")
-    text = F.regexp_replace(text, r"^([^.]*,[^.]*)\.([^.,]*)$", "$1;$2")
-    text = F.regexp_replace(text, r"[.,](?=.*;)", "")
+    comma, dot = text.contains(","), text.contains(".")
+    without_dots = F.regexp_replace(F.replace(text, F.lit("."), F.lit("")), "^([^,]*),", "$1.")
+    without_commas = F.replace(text, F.lit(","), F.lit(""))
+    chain = F.when(comma & dot, F.when(text.rlike(r",[^.]*$"), without_dots).otherwise(without_commas))
     if comma_groups:
-        text = F.regexp_replace(text, r"(?<=^[-+]?\d{1,3}(?:,\d{3}){0,99}),(?=\d{3}(?:,\d{3})*$)", "")
-    text = F.regexp_replace(
-        text, r"(?<=^[-+]?\d{1,3}(?:\.\d{3}){0,99})\.(?=\d{3}(?:\.\d{3})*" + dot_tail + "$)", "")
-    return F.translate(F.regexp_replace(text, r",(?=[^.]*$)", "."), ";", ".")
+        chain = chain.when(comma & text.rlike(comma_groups), without_commas)
+    return (chain.when(comma, F.replace(text, F.lit(","), F.lit(".")))
+            .when(dot & text.rlike(dot_groups), F.replace(text, F.lit("."), F.lit(""))).otherwise(text))
 
 
 def parse_number(value: Column, dialect: str = "import") -> Column:
     """A double, or NULL where the text is not a finite number."""
+    raw = value.cast("string")
     if dialect == "import":
-        text = F.regexp_replace(clean_text(value), f"[%{SPACE}]", "")
+        text = F.regexp_replace(clean_text(raw), f"[%{SPACE}]", "")
         text = F.regexp_replace(text, r"^\(-(.*)\)$", "$1")
         text = F.regexp_replace(text, r"^\(\+?(.*)\)$", "-$1")
-        plain = _one_mark(text, True, "")
+        plain = let(text, lambda t: _one_mark(t, r"^[-+]?\d{1,3}(?:,\d{3})+$", r"^[-+]?\d{1,3}(?:\.\d{3})+$"))
     else:
-        text = F.regexp_replace(value.cast("string"), "[€$£]", "")
+        text = F.regexp_replace(raw, "[€$£]", "")
         text = F.regexp_replace(text, r"(?iu)(?<![\p{L}\d_])(?:PLN|USD|EUR|GBP|ZŁ)(?![\p{L}\d_])", "")
         text = F.regexp_replace(text, f"[%{SPACE}]", "")
-        plain = _one_mark(text, False, r"(?:[eE][-+]?\d+)?")
-    # The grammar guards the cast, which alone would accept '5d' and 'NaN'.
-    return _finite(F.regexp_extract(plain, GRAMMAR, 0).try_cast("double"))
+        plain = let(text, lambda t: _one_mark(t, None, r"^[-+]?\d{1,3}(?:\.\d{3})+(?:[eE][-+]?\d+)?$"))
+    # the grammar guards the cast, which alone would accept '5d' and 'NaN'
+    written = let(F.regexp_extract(plain, GRAMMAR, 0).try_cast("double"), _finite)
+    return F.when(raw.rlike(PLAIN), raw.try_cast("double")).when(raw.rlike(r"\d"), written)
 
 
 def parse_bool(value: Column, dialect: str = "import") -> Column:
     word = comparable_text(value) if dialect == "import" else normalize_label(value)
-    return F.when(word.isin(TRUE_WORDS[dialect]), True).when(word.isin(FALSE_WORDS[dialect]), False)
+    return let(word, lambda w: F.when(w.isin(TRUE_WORDS[dialect]), True).when(w.isin(FALSE_WORDS[dialect]), False))
 
 
 def _stamp(text: Column) -> Column:
@@ -92,9 +95,12 @@ def _zoned(text: Column) -> Column:
 
 def excel_serial(number: Column, low: float, high: float) -> Column:
     """Days since 1899-12-30 as a timestamp, for serials strictly inside (low, high)."""
-    seconds = F.round(number * 86400).cast("bigint")
-    stamp = F.expr(f"timestamp_ntz'{EXCEL_EPOCH} 00:00:00'") + F.make_dt_interval(secs=seconds)
-    return F.when((number > low) & (number < high), stamp)
+    def stamp(n: Column) -> Column:
+        seconds = F.round(n * 86400).cast("bigint")
+        moment = F.expr(f"timestamp_ntz'{EXCEL_EPOCH} 00:00:00'") + F.make_dt_interval(secs=seconds)
+        return F.when((n > low) & (n < high), moment)
+
+    return let(number, stamp)
 
 
 def parse_timestamp(value: Column, dialect: str = "import", convention: str = "dmy",
@@ -104,28 +110,35 @@ def parse_timestamp(value: Column, dialect: str = "import", convention: str = "d
     ``convention`` ('dmy' or 'mdy') only matters to the analytics dialect; the import
     dialect is always day first and, with ``serial_text``, reads digits as Excel serials.
     """
-    clock = r"(?:[ T]+(\d{1,2}):?(\d{2})?(?::?(\d{2}))?)?$"
+    raw = value.cast("string")
     if dialect == "import":
-        text = clean_text(value)
-        shape = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + clock, "$1-$2-$3 $4:$5:$6")
-        for century, years in (("", r"\d{4}"), ("19", r"[7-9]\d"), ("20", r"[0-6]\d")):
-            pattern = r"^(\d{1,2})[-/.](\d{1,2})[-/.](" + years + ")" + clock
-            shape = F.regexp_replace(shape, pattern, century + "$3-$2-$1 $4:$5:$6")
-        options = [_stamp(shape), _month_name(text), _zoned(text)]
-        if serial_text:
-            serial = F.when(text.rlike(r"^\d+(?:[.,]\d+)?$"), parse_number(text))
-            options.insert(0, excel_serial(serial, 0, 2958466))
-        return F.coalesce(*options)
-    text = F.trim(value.cast("string"))
+        found = let(clean_text(raw), lambda text: _import_stamp(text, serial_text))
+    else:
+        found = let(F.trim(raw), lambda text: _analytics_stamp(text, convention))
+    return F.when(raw.rlike(r"\d"), found)
+
+
+def _import_stamp(text: Column, serial_text: bool) -> Column:
+    clock = r"(?:[ T]+(\d{1,2}):?(\d{2})?(?::?(\d{2}))?)?$"
+    shape = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + clock, "$1-$2-$3 $4:$5:$6")
+    for century, years in (("", r"\d{4}"), ("19", r"[7-9]\d"), ("20", r"[0-6]\d")):
+        pattern = r"^(\d{1,2})[-/.](\d{1,2})[-/.](" + years + ")" + clock
+        shape = F.regexp_replace(shape, pattern, century + "$3-$2-$1 $4:$5:$6")
+    stamp = F.coalesce(_stamp(shape), F.when(text.rlike("[A-Za-z:]"), F.coalesce(_month_name(text), _zoned(text))))
+    if not serial_text:
+        return stamp
+    digits = text.rlike(r"^\d+(?:[.,]\d+)?$")
+    return F.when(digits, excel_serial(parse_number(text), 0, 2958466)).otherwise(stamp)
+
+
+def _analytics_stamp(text: Column, convention: str) -> Column:
     first, second = ("$1", "$3") if convention == "mdy" else ("$3", "$1")
     clock = r"(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-    shape = F.regexp_replace(text, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})" + clock,
-                             f"$4-{first}-{second} $5:$6:$7")
-    shape = F.regexp_replace(shape, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{2})" + clock,
-                             f"20$4-{first}-{second} $5:$6:$7")
-    plain = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}[./-]"), _stamp(shape))
-    named = F.when(text.rlike(r"^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}"), _month_name(text))
-    return F.coalesce(plain, _zoned(text), named)
+    shape = F.regexp_replace(text, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})" + clock, f"$4-{first}-{second} $5:$6:$7")
+    shape = F.regexp_replace(shape, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{2})" + clock, f"20$4-{first}-{second} $5:$6:$7")
+    return (F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}[./-]"), _stamp(shape))
+            .when(text.rlike(r"^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}"), _month_name(text))
+            .otherwise(_zoned(text)))
 
 
 def parse_date(value: Column, dialect: str = "import", convention: str = "dmy",
@@ -190,9 +203,8 @@ def parse_period(value: Column, reference_year: int | None = None) -> Column:
             (number if kind == "month" else none).alias("month"),
             year.alias("year"), caption.alias("label")))
 
-    # the one-element array binds the cleaned text, so that it is computed once
-    return F.transform(F.array(analytics_text(value)), lambda text: F.coalesce(
-        token(text, "iso_week", _WEEK, "W", " "), token(text, "month", _MONTH, "", "/")))[0]
+    return let(analytics_text(value), lambda text: F.coalesce(
+        token(text, "iso_week", _WEEK, "W", " "), token(text, "month", _MONTH, "", "/")))
 
 
 def resolve_period(value: Column, reference_year: int | None = None) -> Column:
@@ -203,7 +215,7 @@ def resolve_period(value: Column, reference_year: int | None = None) -> Column:
         month = F.make_date(token["year"], token["month"], F.lit(1))
         return F.when(token["type"] == "iso_week", monday).when(token["type"] == "month", month)
 
-    return F.transform(F.array(parse_period(value, reference_year)), first_day)[0]
+    return let(parse_period(value, reference_year), first_day)
 
 
 def convention_evidence(text: Column) -> dict[str, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -12,6 +13,15 @@ from pyspark.sql import functions as F
 SPACE = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used.
+
+    A one-element array carries the value. Long chains of text functions also run faster
+    this way: unrolled into one generated method they pass the size the JVM compiles.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Accented letters and their base letters, from the Unicode decompositions."""
@@ -42,28 +52,51 @@ def _squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+#: Printable ASCII words with single spaces: nothing to clean.
+_TIDY = r"^[\x21-\x7E]+(?: [\x21-\x7E]+)*$"
+_ASCII = r"^[\x20-\x7E]*$"
+
+
+def _text(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
 def clean_text(value: Column) -> Column:
     """Import dialect: control characters dropped, white space collapsed, NULL as ''."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    return _squeeze(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    def tidy(text: Column) -> Column:
+        rest = _squeeze(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+        return F.when(text.rlike(_TIDY), text).otherwise(rest)
+
+    return let(_text(value), tidy)
 
 
 def comparable_text(value: Column) -> Column:
     """Import dialect key: accents and case folded, punctuation except '-' to spaces."""
-    text = F.translate(F.lower(strip_accents(clean_text(value))), "ł\u2010\u2011\u2012\u2013\u2014\u2015", "l------")
-    return _squeeze(F.regexp_replace(text, r"[^a-z0-9а-яёіїєґ\-\s]", " "))
+    def fold(text: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9-]+", " "))
+        whole = F.translate(F.lower(strip_accents(clean_text(text))), "ł\u2010\u2011\u2012\u2013\u2014\u2015", "l------")
+        whole = _squeeze(F.regexp_replace(whole, r"[^a-z0-9а-яёіїєґ\-\s]", " "))
+        return F.when(text.rlike(_ASCII), plain).otherwise(whole)
+
+    return let(_text(value), fold)
 
 
 def analytics_text(value: Column) -> Column:
     """Analytics dialect: control characters count as spaces, NULL as ''."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    return _squeeze(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " "))
+    def tidy(text: Column) -> Column:
+        return F.when(text.rlike(_TIDY), text).otherwise(_squeeze(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")))
+
+    return let(_text(value), tidy)
 
 
 def normalize_label(value: Column) -> Column:
     """Analytics dialect key: only a-z, 0-9 and % survive."""
-    text = strip_accents(F.translate(F.lower(analytics_text(value)), "łđ", "ld"))
-    return F.trim(F.regexp_replace(text, "[^a-z0-9%]+", " "))
+    def fold(text: Column) -> Column:
+        whole = strip_accents(F.translate(F.lower(analytics_text(text)), "łđ", "ld"))
+        spelled = F.when(text.rlike(_ASCII), F.lower(text)).otherwise(whole)
+        return F.trim(F.regexp_replace(spelled, "[^a-z0-9%]+", " "))
+
+    return let(_text(value), fold)
 
 
 def normalize_key(value: Column, field: str) -> Column:
