@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from supplylens.functions.dates import derive_date_fields
 from supplylens.functions.parse import date_of, number_of, timestamp_of
-from supplylens.functions.text import clean_text, comparable_text, is_blank
+from supplylens.functions.text import SPACE, clean_text, comparable_text, is_blank, let
 from supplylens.plans.ordered import attach
+from supplylens.session import checkpointed
 from supplylens.vocab import CLEANABLE_FIELDS, SHIFT_ALIASES, UNIT_ALIASES
 
 SLICES = 64
@@ -27,63 +28,64 @@ def shift_alias(value: Column) -> Column:
     return _alias(comparable_text(value), SHIFT_ALIASES)
 
 
-def built_in(field: str, value: Column) -> Column:
-    if field == "unit":
-        return unit_alias(value)
-    if field == "shift":
-        return shift_alias(value)
-    return F.lit(None).cast("string")
+def _variants(df: DataFrame, fields: list[str], facts: list[Column], keep: list[Column]) -> DataFrame:
+    """Distinct cleaned values of several fields in one pass, with their comparable key."""
+    cells = df.select(F.inline(F.array(*[F.struct(
+        F.lit(f).alias("field"), clean_text(F.col(f)).alias("variant")) for f in fields])), *keep)
+    seen = cells.groupBy("field", "variant").agg(*facts)
+    return seen.withColumn("key", comparable_text(F.col("variant"))).where("key != ''")
 
 
-def preferred_variants(df: DataFrame, field: str) -> DataFrame:
-    """``variant, preferred``: one spelling per group of equal comparable text.
+def preferred_variants(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``field, variant, preferred``: one spelling per group of equal comparable text.
 
     A built-in alias wins; else the most frequent variant, then more of ``&+@``, shorter,
     more capitals, alphabetical.
     """
-    text = clean_text(F.col(field))
-    variants = df.select(text.alias("variant")).groupBy("variant").agg(F.count("*").alias("n"))
-    variants = variants.withColumn("key", comparable_text(F.col("variant"))).where("key != ''")
+    variants = checkpointed(_variants(df, fields, [F.count("*").alias("n")], []))
     rank = F.struct(
         -F.col("n"),
         -F.length(F.regexp_replace("variant", r"[^&+@]", "")),
         F.length("variant"),
         -F.length(F.regexp_replace("variant", "[^A-ZĄĆĘŁŃÓŚŹŻ]", "")),
         F.col("variant"))
-    best = variants.groupBy("key").agg(F.min_by("variant", rank).alias("best"))
-    return variants.join(best, "key").select(
-        "variant", F.coalesce(built_in(field, F.col("variant")), F.col("best")).alias("preferred"))
+    best = variants.groupBy("field", "key").agg(F.min_by("variant", rank).alias("best"))
+    fixed = (F.when(F.col("field") == "unit", unit_alias(F.col("variant")))
+             .when(F.col("field") == "shift", shift_alias(F.col("variant"))))
+    return variants.join(best, ["field", "key"]).select("field", "variant", F.coalesce(fixed, "best").alias("preferred"))
 
 
-def first_spellings(df: DataFrame, field: str, order: list[str]) -> DataFrame:
-    """``variant, preferred``: the spelling seen first per comparable text."""
-    text = clean_text(F.col(field))
-    seen = df.select(text.alias("variant"), F.struct(*order).alias("place")).groupBy("variant").agg(
-        F.min("place").alias("place"))
-    seen = seen.withColumn("key", comparable_text(F.col("variant"))).where("key != ''")
-    best = seen.groupBy("key").agg(F.min_by("variant", "place").alias("preferred"))
-    return seen.join(best, "key").select("variant", "preferred")
+def first_spellings(df: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
+    """``field, variant, preferred``: the spelling seen first per comparable text."""
+    seen = checkpointed(_variants(df, fields, [F.min("place").alias("place")], [F.struct(*order).alias("place")]))
+    best = seen.groupBy("field", "key").agg(F.min_by("variant", "place").alias("preferred"))
+    return seen.join(best, ["field", "key"]).select("field", "variant", "preferred")
 
 
-def _replace_variants(df: DataFrame, field: str, table: DataFrame) -> DataFrame:
-    rows = df.withColumn("variant", clean_text(F.col(field)))
-    done = attach(rows, table, ["variant"])
-    return done.withColumn(field, F.coalesce("preferred", F.nullif("variant", F.lit("")))).select(*df.columns)
+def _replace_variants(df: DataFrame, fields: list[str], table: DataFrame) -> DataFrame:
+    """Look the changed spellings up; all other values only get cleaned."""
+    changed = checkpointed(table.where("variant != preferred"))
+    for field in fields:
+        words = changed.where(F.col("field") == field).select(F.col("variant").alias("_variant"), F.col("preferred").alias("_preferred"))
+        rows = df.withColumn("_variant", clean_text(F.col(field)))
+        df = attach(rows, words, ["_variant"]).withColumn(
+            field, F.coalesce("_preferred", F.nullif("_variant", F.lit("")))).select(*df.columns)
+    return df
 
 
-def canonicalize(df: DataFrame, field: str) -> DataFrame:
+def canonicalize(df: DataFrame, *fields: str) -> DataFrame:
     """Replace each value by the preferred spelling of its group."""
-    return _replace_variants(df, field, preferred_variants(df, field))
+    return _replace_variants(df, list(fields), preferred_variants(df, list(fields)))
 
 
 def canonicalize_first(df: DataFrame, field: str, order: list[str]) -> DataFrame:
-    return _replace_variants(df, field, first_spellings(df, field, order))
+    return _replace_variants(df, [field], first_spellings(df, [field], order))
 
 
 def normalization_audit(df: DataFrame, field: str) -> DataFrame:
     """``original, normalized, changed, rows`` per distinct value of a cleanable field."""
     counts = df.groupBy(clean_text(F.col(field)).alias("original")).agg(F.count("*").alias("rows"))
-    table = preferred_variants(df, field).withColumnRenamed("variant", "original")
+    table = preferred_variants(df, [field]).select(F.col("variant").alias("original"), "preferred")
     joined = counts.where("original != ''").join(table, "original", "left")
     normalized = F.coalesce("preferred", "original")
     return joined.select("original", normalized.alias("normalized"),
@@ -97,10 +99,9 @@ def normalize_record(df: DataFrame, order: list[str]) -> DataFrame:
     ``original_values`` keeps the text of changed cleanable fields.
     """
     cleanable = [f for f in CLEANABLE_FIELDS if f in df.columns]
-    out = df
-    for field in cleanable:
-        out = out.withColumn(f"_was_{field}", clean_text(F.col(field)))
-        out = canonicalize(out, field)
+    out = df.withColumns({f"_was_{f}": clean_text(F.col(f)) for f in cleanable})
+    if cleanable:
+        out = _replace_variants(out, cleanable, preferred_variants(df, cleanable))
     if "operator" in out.columns:
         out = canonicalize_first(out, "operator", order)
     for field in ("material_code", "sku"):
@@ -120,27 +121,29 @@ def normalize_record(df: DataFrame, order: list[str]) -> DataFrame:
     return derive_date_fields(out, "_stamp").withColumn("date", F.col("_stamp").cast("date")).drop("_stamp")
 
 
-def validation_errors(df: DataFrame, required: tuple[str, ...] = ()) -> tuple[Column, Column]:
-    """Error and warning codes of a mapped row as two arrays."""
-    date, quantity = date_of(df, "date"), number_of(df, "quantity")
-    no_date, no_quantity = is_blank(F.col("date")), is_blank(F.col("quantity"))
-    errors = [
-        F.when(no_date, "missing_date").when(date.isNull(), "invalid_date"),
-        F.when(clean_text(F.col("material")) == "", "missing_material"),
-        F.when(no_quantity, "missing_quantity").when(quantity.isNull(), "invalid_quantity")
-        .when(quantity < 0, "negative_quantity"),
-    ]
-    for field in ("brand", "line"):
-        if field in required:
-            errors.append(F.when(clean_text(F.col(field)) == "", f"missing_{field}"))
-    warnings = [F.when(quantity == 0, "zero_quantity")]
-    return F.array_compact(F.array(*errors)), F.array_compact(F.array(*warnings))
+def row_checks(df: DataFrame, required: tuple[str, ...] = ()) -> Column:
+    """``struct<errors, warnings>`` with the codes of a mapped row; each cell is parsed once."""
+    def blank(field: str) -> Column:
+        return ~F.coalesce(F.col(field).cast("string").rlike(f"[^{SPACE}\\x00-\\x1F\\x7F]"), F.lit(False))
+
+    def build(number: Column) -> Column:
+        errors = [
+            F.when(is_blank(F.col("date")), "missing_date").when(date_of(df, "date").isNull(), "invalid_date"),
+            F.when(blank("material"), "missing_material"),
+            F.when(is_blank(F.col("quantity")), "missing_quantity").when(number.isNull(), "invalid_quantity")
+            .when(number < 0, "negative_quantity"),
+            *[F.when(blank(f), f"missing_{f}") for f in ("brand", "line") if f in required]]
+        warnings = [F.when(number == 0, "zero_quantity")]
+        return F.struct(F.array_compact(F.array(*errors)).alias("errors"),
+                        F.array_compact(F.array(*warnings)).alias("warnings"))
+
+    return let(number_of(df, "quantity"), build)
 
 
 def validate(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
     """Add ``errors`` and ``warnings``; rows without errors are valid."""
-    errors, warnings = validation_errors(df, required)
-    return df.withColumns({"errors": errors, "warnings": warnings})
+    checked = df.withColumn("_checks", row_checks(df, required))
+    return checked.select(*df.columns, "_checks.errors", "_checks.warnings")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -114,13 +114,32 @@ def average_ranks(df: DataFrame, value: str, weight: str | None = None,
                          (F.col("_end") - F.col("_weight") + (F.col("_weight") + 1) / 2).alias("avg_rank"))
 
 
+#: A lookup table up to this many bytes as text is sent to every executor.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Measure a materialized table: True if it is small enough to broadcast."""
+    size = table.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return size <= BROADCAST_BYTES
+
+
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
            slices: int = 64) -> DataFrame:
     """Join a one-row-per-key table to rows whose keys may be very uneven.
 
-    The rows of a key are spread over ``slices`` by a hash of their content, and the table
-    is repeated only for slices that occur, so one hot key becomes many join keys.
+    The table is checkpointed and measured. A small one is broadcast. Otherwise the rows of
+    a key are spread over ``slices`` by a hash of their content, and the table is repeated
+    only for slices that occur, so one hot key becomes many join keys.
     """
+    table = checkpointed(table)
+    if fits_broadcast(table):
+        return rows.join(F.broadcast(table), keys, how)
+    return attach_sliced(rows, table, keys, how, slices)
+
+
+def attach_sliced(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
+                  slices: int = 64) -> DataFrame:
     content = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
     sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*content), F.lit(slices)))
     present = sliced.select(*keys, "_slice").distinct()
