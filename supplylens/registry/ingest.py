@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from supplylens.operators import identity, mapping, tables
 from supplylens.registry import query, rounded
 from supplylens.registry.texts import _pick, number_texts
-from supplylens.registry.views import ORDER, table, usage, with_views
+from supplylens.registry.views import table, usage, with_views
 from supplylens.sources import grid, readers, sinks
 
 
@@ -245,5 +245,3 @@ def normalize_role_table(spark, folder):
     return done.agg(F.count("*").alias("n"), F.count_distinct("material_code").alias("codes"), F.sum("quantity").alias("quantity"),
                     F.count_if(F.col("material").isNull()).alias("unnamed"))
 
-
-__all__ = ["ORDER"]

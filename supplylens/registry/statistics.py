@@ -1 +1,328 @@
-"""Registered queries."""
+"""Profiles, quality, anomalies, series and associations on the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from supplylens.operators import profile, quality, stats
+from supplylens.plans import ordered
+from supplylens.registry import query, rounded
+from supplylens.registry.views import ORDER, table, usage, with_views
+
+EVENT_FIELDS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def events(spark, folder):
+    return table(spark, folder, "events")
+
+
+@query("""SELECT 'value' AS "column", count(value) AS n, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3,
+    round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS standard_deviation, round(mad(value), 6) AS mad, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events
+    UNION ALL SELECT 'user_id', count(user_id), quantile_cont(user_id, 0.25), quantile_cont(user_id, 0.5), quantile_cont(user_id, 0.75), round(avg(user_id), 6), round(stddev_pop(user_id), 6),
+    mad(CAST(user_id AS DOUBLE)), quantile_cont(user_id, 0.75) - quantile_cont(user_id, 0.25) FROM events""")
+def numeric_statistics(spark, folder):
+    parsed = profile.parsed_values(profile.value_table(events(spark, folder), ["value", "user_id"]))
+    return rounded(profile.numeric_stats(parsed).withColumnRenamed("numeric_count", "n"), 6)
+
+
+HISTOGRAM = """WITH s AS (SELECT min({c}) AS lo, max({c}) AS hi, greatest(3, least(30, ceil(sqrt(count(*))))) AS b FROM {t}),
+    e AS (SELECT unnest(range(0, CAST(b AS BIGINT))) AS bin, lo, hi, b, (hi - lo) / b AS w FROM s),
+    n AS (SELECT least(CAST(floor(({c} - lo) / ((hi - lo) / b)) AS BIGINT), CAST(b AS BIGINT) - 1) AS bin, count(*) AS count FROM {t}, s GROUP BY 1)
+    SELECT '{c}' AS "column", bin, round(lo + w * bin, 6) AS "from", round(lo + w * (bin + 1), 6) AS "to", coalesce(count, 0) AS count FROM e LEFT JOIN n USING (bin)"""
+
+
+@query(HISTOGRAM.format(c="l_extendedprice", t="lineitem"))
+def histogram(spark, folder):
+    parsed = profile.parsed_values(profile.value_table(table(spark, folder, "lineitem"), ["l_extendedprice"]))
+    return rounded(profile.histograms(parsed), 6)
+
+
+@query("""SELECT unnest(['ts', 'event_type', 'value']) AS "column", unnest(['date', 'text', 'number']) AS physical_type, unnest([1.0, 0.95, 1.0]) AS type_confidence,
+    unnest([count(ts), count(event_type), count(value)]) AS non_null_count, unnest([count(DISTINCT date_trunc('second', ts)), count(DISTINCT event_type), count(DISTINCT value)]) AS unique_count,
+    unnest([NULL, NULL, min(value)]) AS minimum, unnest([NULL, NULL, max(value)]) AS maximum, unnest([min(ts)::DATE, NULL, NULL]) AS first_day, unnest([max(ts)::DATE, NULL, NULL]) AS last_day,
+    unnest([NULL, max(length(event_type)), NULL]) AS maximum_length FROM events""")
+def column_profile(spark, folder):
+    got = profile.profile(events(spark, folder), ["ts", "event_type", "value"]).columns
+    return rounded(got.select("column", "physical_type", "type_confidence", "non_null_count", "unique_count", "minimum", "maximum", "first_day", "last_day", "maximum_length"))
+
+
+@query("""SELECT 'raw' AS "column", 'number' AS physical_type, count(*) AS row_count, count(*) FILTER (WHERE s = 9) AS missing_count, count(*) FILTER (WHERE s = 8) AS type_errors,
+    count(*) FILTER (WHERE s IN (4, 6)) AS negative_count FROM (SELECT CASE WHEN l_linenumber = 7 AND l_quantity > 40 THEN 8 WHEN l_linenumber = 6 AND l_quantity > 40 THEN 9
+    WHEN l_linenumber = 1 THEN 6 ELSE 0 END AS s FROM lineitem)""")
+def mixed_text_profile(spark, folder):
+    price = F.col("l_extendedprice").cast("string")
+    text = (F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40), "brak danych").when((F.col("l_linenumber") == 6) & (F.col("l_quantity") > 40), " ")
+            .when(F.col("l_linenumber") == 1, F.concat(F.lit("-"), price)).otherwise(F.concat(price, F.lit(" PLN"))))
+    got = profile.profile(table(spark, folder, "lineitem").select(text.alias("raw"))).columns
+    return got.select("column", "physical_type", "row_count", "missing_count", "type_errors", "negative_count")
+
+
+@query("""SELECT 'o_orderdate' AS "column", count(*) AS exact_dates, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day, count(DISTINCT o_orderdate::DATE) AS unique_days,
+    date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) + 1 AS range_days FROM orders""")
+def date_statistics(spark, folder):
+    got = profile.profile(table(spark, folder, "orders"), ["o_orderdate"]).columns
+    return rounded(got.select("column", "exact_dates", "first_day", "last_day", "unique_days", "range_days"))
+
+
+@query("""SELECT 'text' AS "column", min(length(text)) AS minimum_length, max(length(text)) AS maximum_length, round(avg(length(text)), 4) AS average_length, count(DISTINCT text) AS unique_count FROM documents""")
+def text_statistics(spark, folder):
+    got = profile.profile(table(spark, folder, "documents"), ["text"]).columns
+    return rounded(got.select("column", "minimum_length", "maximum_length", "average_length", "unique_count"))
+
+
+@query("""SELECT 'p_brand' AS "column", p_brand AS value, count(*) AS n FROM part GROUP BY 2 QUALIFY row_number() OVER (ORDER BY count(*) DESC, p_brand) <= 10
+    UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2 QUALIFY row_number() OVER (ORDER BY count(*) DESC, p_type) <= 10""")
+def top_values(spark, folder):
+    return profile.top_values(profile.value_table(table(spark, folder, "part"), ["p_brand", "p_type"]), 10).drop("place")
+
+
+@query("""SELECT unnest(['date', 'material', 'quantity', 'brand', 'category', 'supplier', 'unit', 'record_id', 'value']) AS "column",
+    unnest(['date', 'material', 'quantity', 'brand', 'category', 'supplier', 'category', 'identifier', 'currency']) AS semantic_role,
+    unnest(['date', 'material_name', 'quantity', 'brand', 'product_category', 'supplier', 'category', 'record_id', 'currency_value']) AS business_role,
+    unnest(['time_dimension', 'dimension', 'measure', 'dimension', 'dimension', 'dimension', 'dimension', 'identifier', 'measure']) AS analytical_role FROM (SELECT count(*) FROM lineitem)""")
+def semantic_roles(spark, folder):
+    fields = ["date", "material", "quantity", "brand", "category", "supplier", "unit", "record_id", "value"]
+    roles = profile.semantic_roles(profile.profile(usage(spark, folder), fields).columns)
+    return roles.select("column", "semantic_role", "business_role", "analytical_role")
+
+
+@query("""SELECT 'value' AS "column", count(value) AS numeric_count, round(sum(value), 2) AS sum, count(*) FILTER (WHERE value = 0) AS zero_count FROM events""")
+def describe_numeric(spark, folder):
+    profiled = profile.profile(events(spark, folder), ["value", "event_type", "ts"])
+    got = profile.describe(profiled, profile.semantic_roles(profiled.columns))["numeric"]
+    return rounded(got.select("column", "numeric_count", "sum", "zero_count"), 2)
+
+
+@query("SELECT count(*) AS rows, true AS same_in_any_order, false AS same_after_change FROM orders")
+def fingerprint(spark, folder):
+    rows = table(spark, folder, "orders")
+    one = profile.fingerprint(rows).select("rows", F.col("fingerprint").alias("a"), F.lit(1).alias("_one"))
+    two = profile.fingerprint(rows.repartition(7, "o_custkey")).select(F.col("fingerprint").alias("b"), F.lit(1).alias("_one"))
+    changed = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") == 0, 0.0).otherwise(F.col("o_totalprice")))
+    three = profile.fingerprint(changed).select(F.col("fingerprint").alias("c"), F.lit(1).alias("_one"))
+    both = one.join(two, "_one").join(three, "_one")  # one-row tables
+    return both.select("rows", (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") == F.col("c")).alias("same_after_change"))
+
+
+# ---- quality ---------------------------------------------------------------------------
+
+FAULTY = """WITH f AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS status, CASE WHEN l_linenumber = 3 THEN -l_quantity ELSE l_quantity END AS quantity,
+    'x' AS fixed FROM lineitem), d AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS u, count(*) FILTER (WHERE status IS NULL) AS gaps,
+    count(*) FILTER (WHERE quantity < 0) AS neg, count(DISTINCT id) AS ids FROM f), dup AS (SELECT count(*) AS n FROM (SELECT id FROM f GROUP BY id HAVING count(*) > 1)) """
+
+
+def faulty(spark, folder):
+    line = F.col("l_linenumber")
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.when(line != 2, F.col("l_returnflag")).alias("status"),
+        F.when(line == 3, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"), F.lit("x").alias("fixed"))
+
+
+ISSUES = FAULTY + """, i AS (SELECT 'missing-status' AS id, 'missing_values' AS type, CASE WHEN gaps / n >= 0.5 THEN 'high' WHEN gaps / n >= 0.1 THEN 'medium' ELSE 'low' END AS severity, gaps AS count FROM d
+    UNION ALL SELECT 'constant-fixed', 'constant_column', 'low', NULL FROM d UNION ALL SELECT 'negative-quantity', 'negative_values', 'medium', neg FROM d
+    UNION ALL SELECT 'duplicate-rows', 'duplicate_rows', CASE WHEN (n - u) / n >= 0.05 THEN 'high' ELSE 'medium' END, n - u FROM d WHERE n > u
+    UNION ALL SELECT 'business-key-id', 'business_key_duplicates', 'high', n FROM dup) """
+
+
+def issues(spark, folder):
+    rows = faulty(spark, folder)
+    roles = profile.semantic_roles(profile.profile(rows).columns)
+    return rows, quality.quality_audit(rows, roles)
+
+
+@query(ISSUES + "SELECT * FROM i")
+def quality_issues(spark, folder):
+    return issues(spark, folder)[1].select("id", "type", "severity", "count")
+
+
+@query(ISSUES + """SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 65 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'E' END AS grade, high, medium, low FROM (
+    SELECT CAST(greatest(0, floor(100.5 - least(45.0, (SELECT gaps / (4.0 * n) FROM d) * 55) - least(25.0, (SELECT (n - u) / n FROM d) * 80)
+        - least(25.0, 4.0 * count(*) FILTER (WHERE severity = 'high')) - least(15.0, 1.5 * count(*) FILTER (WHERE severity = 'medium')))) AS BIGINT) AS score,
+        count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM i)""")
+def quality_score(spark, folder):
+    rows, found = issues(spark, folder)
+    return rounded(quality.quality_score(found, rows.count(), 4).select("score", "grade", "high", "medium", "low"))
+
+
+@query("""SELECT count(*) AS copies, 1 AS dummy FROM lineitem GROUP BY l_partkey, l_quantity HAVING count(*) > 1 ORDER BY 1 DESC LIMIT 50""")
+def duplicate_examples(spark, folder):
+    return rounded(quality.duplicate_examples(table(spark, folder, "lineitem"), ["l_partkey", "l_quantity"]).select("copies", F.lit(1).alias("dummy")))
+
+
+@query("""SELECT 'duplicate-rows' AS id, CASE WHEN x / n >= 0.05 THEN 'high' ELSE 'medium' END AS severity, x AS count, round(x / n, 6) AS ratio FROM (
+    SELECT count(*) AS n, count(*) - count(DISTINCT (l_partkey, l_quantity)) AS x FROM lineitem)""")
+def duplicate_rows(spark, folder):
+    return rounded(quality.duplicate_issue(table(spark, folder, "lineitem"), ["l_partkey", "l_quantity"]).select("id", "severity", "count", "ratio"), 6)
+
+
+@query("""SELECT 'l_orderkey' AS "column", count(*) AS duplicate_values, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)
+    UNION ALL SELECT 'l_partkey', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 1)""")
+def key_duplicates(spark, folder):
+    return quality.key_duplicates(table(spark, folder, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("""SELECT 'p_name' AS "column", 0 AS empty, count(DISTINCT p_name) AS different, NULL AS minimum, NULL AS maximum, NULL AS mean, 100 AS filled_percent FROM part
+    UNION ALL SELECT 'size', count(*) FILTER (WHERE p_size % 4 = 0), count(DISTINCT CASE WHEN p_size % 4 <> 0 THEN p_size END), min(p_size) FILTER (WHERE p_size % 4 <> 0), max(p_size) FILTER (WHERE p_size % 4 <> 0),
+    round(avg(p_size) FILTER (WHERE p_size % 4 <> 0), 4), CAST(floor(100.0 * count(*) FILTER (WHERE p_size % 4 <> 0) / count(*) + 0.5) AS BIGINT) FROM part""")
+def quality_table(spark, folder):
+    rows = table(spark, folder, "part").select("p_name", F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("size"))
+    return rounded(quality.quality_table(rows).drop("rows"))
+
+
+@query("""SELECT 'rows' AS "check", count(*) AS "left", count(*) AS "right", true AS passed FROM part UNION ALL SELECT 'columns', 6, 6, true FROM (SELECT count(*) FROM part)""")
+def row_accounting(spark, folder):
+    rows = table(spark, folder, "part")
+    return quality.row_accounting(rows, rows, profile.profile(rows).columns)
+
+
+# ---- anomalies ---------------------------------------------------------------------------
+
+BOUNDS = """b AS (SELECT {g} quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3, mad(value) AS mad, count(*) AS n FROM events {by})"""
+
+
+@query("WITH " + BOUNDS.format(g="event_type AS grp,", by="GROUP BY event_type") + """ SELECT grp, n, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(mad, 6) AS mad,
+    round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper FROM b""")
+def robust_bounds(spark, folder):
+    cells = stats.melt(events(spark, folder).withColumnRenamed("event_type", "grp"), ["value"], ["grp"])
+    return rounded(stats.robust_bounds(cells, ["grp"]).drop("iqr"), 6)
+
+
+JUDGE = """SELECT {keep}, value, 0.6745 * (value - med) / mad AS z, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS outside,
+    CASE WHEN value > q3 + 1.5 * (q3 - q1) THEN (value - q3 - 1.5 * (q3 - q1)) / (q3 - q1) ELSE (q1 - 1.5 * (q3 - q1) - value) / (q3 - q1) END AS dist FROM events {join}"""
+
+
+@query("WITH " + BOUNDS.format(g="", by="") + ", j AS (" + JUDGE.format(keep="event_id", join=", b") + """) SELECT event_id, value, round(z, 6) AS robust_z, round(dist, 6) AS distance,
+    CASE WHEN outside AND abs(z) >= 3.5 THEN 'IQR + robust Z-score' WHEN outside THEN 'IQR' ELSE 'robust Z-score' END AS method,
+    CASE WHEN greatest(abs(z), dist) >= 8 THEN 'high' WHEN greatest(abs(z), dist) >= 4.5 THEN 'medium' ELSE 'low' END AS severity FROM j WHERE outside OR abs(z) >= 3.5""")
+def outliers_global(spark, folder):
+    got = stats.outliers(events(spark, folder), ["value"], ["event_id"])
+    return rounded(got.select("event_id", "value", "robust_z", "distance", "method", "severity"), 6)
+
+
+LOCAL = "WITH " + BOUNDS.format(g="", by="") + ", g AS (" + JUDGE.format(keep="event_id, user_id", join=", b") + "), " + BOUNDS.format(
+    g="user_id,", by="GROUP BY user_id HAVING count(*) >= 8").replace("b AS", "lb AS", 1) + ", l AS (" + JUDGE.format(
+    keep="event_id", join="JOIN lb USING (user_id)") + """),
+    f AS (SELECT g.event_id, g.value, g.outside OR abs(g.z) >= 3.5 AS glob, coalesce(l.outside OR abs(l.z) >= 3.5, false) AS loc, g.z AS gz, l.z AS lz, g.dist AS gd, l.dist AS ld
+        FROM g LEFT JOIN l USING (event_id)),
+    k AS (SELECT event_id, value, loc, CASE WHEN glob THEN gz ELSE lz END AS robust_z, CASE WHEN loc THEN lz END AS local_z,
+        CASE WHEN loc THEN greatest(CASE WHEN glob THEN gd ELSE 0 END, ld) ELSE gd END AS distance FROM f WHERE glob OR loc),
+    m AS (SELECT *, greatest(abs(robust_z), abs(coalesce(local_z, 0)), distance) AS mag FROM k) """
+
+
+def local_outliers(spark, folder):
+    return stats.outliers(events(spark, folder), ["value"], ["event_id"], "user_id")
+
+
+@query(LOCAL + """SELECT event_id, loc AS local, round(robust_z, 6) AS robust_z, round(local_z, 6) AS local_z, round(distance, 6) AS distance,
+    round(least(1.0, 0.68 + least(0.3, mag / 20) + CASE WHEN loc THEN 0.04 ELSE 0 END), 3) AS confidence FROM m""")
+def outliers_by_group(spark, folder):
+    return rounded(local_outliers(spark, folder).select("event_id", "local", "robust_z", "local_z", "distance", "confidence"), 6)
+
+
+@query(LOCAL + """SELECT count(*) AS total, count(*) FILTER (WHERE mag >= 8) AS high, count(*) FILTER (WHERE mag >= 4.5 AND mag < 8) AS medium, count(*) FILTER (WHERE mag < 4.5) AS low FROM m""")
+def outlier_severity(spark, folder):
+    return stats.outlier_summary(local_outliers(spark, folder))
+
+
+# ---- series ------------------------------------------------------------------------------
+
+SERIES = """p AS (SELECT 'quantity' AS measure, strftime(date, '%Y-%m') AS period, sum(quantity) AS value, count(*) AS records FROM usage GROUP BY 2
+    UNION ALL SELECT 'value', strftime(date, '%Y-%m'), avg(value), count(*) FROM usage GROUP BY 2)"""
+HOW = {"quantity": "sum", "value": "average"}
+
+
+def points(spark, folder):
+    return stats.series(usage(spark, folder), "date", HOW, "month")
+
+
+@query(with_views("usage") + ", " + SERIES + " SELECT measure, period, round(value, 4) AS value, records FROM p")
+def monthly_series(spark, folder):
+    return rounded(points(spark, folder))
+
+
+@query("""SELECT 'value' AS measure, isoyear(ts) || '-W' || lpad(CAST(week(ts) AS VARCHAR), 2, '0') AS period, arg_max(value, (ts, event_id)) AS value, count(*) AS records FROM events GROUP BY 2""")
+def latest_series(spark, folder):
+    return stats.series(events(spark, folder), "ts", {"value": "latest"}, "week", sequence=["event_id"])
+
+
+@query(with_views("usage") + ", " + SERIES + """, x AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY measure) AS c, row_number() OVER (PARTITION BY measure ORDER BY period DESC) AS back FROM p
+        WINDOW w AS (PARTITION BY measure ORDER BY period)),
+    t AS (SELECT measure, max(c) AS periods, arg_min(value, i) AS first, arg_max(value, i) AS last, regr_slope(value, i) AS slope, regr_r2(value, i) AS r2, avg(value) AS a, stddev_pop(value) AS sd,
+        avg(value) FILTER (WHERE back <= 3) AS now, avg(value) FILTER (WHERE back BETWEEN 4 AND 6) AS before FROM x GROUP BY measure)
+    SELECT measure, periods, round(first, 4) AS first, round(last, 4) AS last, round(last - first, 4) AS change, round((last - first) / abs(first), 6) AS change_percent, round(slope, 4) AS slope, round(r2, 6) AS r2,
+    round((now - before) / abs(before), 6) AS recent_change_percent, round(slope / abs(a), 6) AS normalized_slope, round(sd / abs(a), 6) AS volatility,
+    CASE WHEN abs(slope / abs(a)) < 0.01 THEN 'stable' WHEN slope > 0 THEN 'up' ELSE 'down' END AS direction, round(least(1.0, r2 * 0.55 + least(0.35, periods / 30) + 0.1), 3) AS confidence FROM t""")
+def trends(spark, folder):
+    return rounded(stats.trends(points(spark, folder)), 4, change_percent=6, r2=6, recent_change_percent=6, normalized_slope=6, volatility=6)
+
+
+@query(with_views("usage") + ", " + SERIES + """, x AS (SELECT *, lag(period) OVER w AS pp, lag(value) OVER w AS pv, row_number() OVER (PARTITION BY measure ORDER BY period DESC) AS back FROM p WINDOW w AS (PARTITION BY measure ORDER BY period))
+    SELECT measure, period AS current_period, pp AS previous_period, round(value, 4) AS current_value, round(pv, 4) AS previous_value, round(value - pv, 4) AS absolute_change,
+    round((value - pv) / abs(pv), 6) AS percentage_change, CASE WHEN value > pv THEN 'up' WHEN value < pv THEN 'down' ELSE 'stable' END AS direction FROM x WHERE back = 1""")
+def previous_period(spark, folder):
+    return rounded(stats.previous_period(points(spark, folder)).drop("current_records", "previous_records"), 4, percentage_change=6)
+
+
+@query(with_views("usage") + ", " + SERIES + """, x AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS back FROM p WHERE measure = 'quantity'),
+    v AS (SELECT brand, coalesce(sum(quantity) FILTER (WHERE back = 1), 0) AS c, coalesce(sum(quantity) FILTER (WHERE back = 2), 0) AS o FROM usage u JOIN x ON strftime(u.date, '%Y-%m') = x.period WHERE back <= 2 GROUP BY brand)
+    SELECT 'quantity' AS measure, brand AS dimension, c AS current_value, o AS previous_value, c - o AS change, row_number() OVER (ORDER BY abs(c - o) DESC, brand) AS place FROM v QUALIFY place <= 10""")
+def period_contributors(spark, folder):
+    return rounded(stats.contributors(usage(spark, folder), "date", {"quantity": "sum"}, "brand", "month"))
+
+
+# ---- associations --------------------------------------------------------------------------
+
+PAIRS = """SELECT 'l_quantity' AS left_field, 'l_extendedprice' AS right_field, count(*) AS n, {f}('l_quantity', 'l_extendedprice') FROM lineitem"""
+
+
+@query("""SELECT 'l_quantity' AS left_field, 'l_extendedprice' AS right_field, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem
+    UNION ALL SELECT 'l_quantity', 'l_discount', count(*), round(corr(l_quantity, l_discount), 6) FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', 'l_discount', count(*), round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
+def pearson(spark, folder):
+    return rounded(stats.pearson(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 6)
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_tax) + (count(*) OVER (PARTITION BY l_tax) - 1) / 2 AS b,
+        rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2 AS c FROM lineitem)
+    SELECT 'l_quantity' AS left_field, 'l_tax' AS right_field, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r
+    UNION ALL SELECT 'l_quantity', 'l_discount', count(*), round(corr(a, c), 6) FROM r UNION ALL SELECT 'l_tax', 'l_discount', count(*), round(corr(b, c), 6) FROM r""")
+def spearman(spark, folder):
+    return rounded(stats.spearman(table(spark, folder, "lineitem"), ["l_quantity", "l_tax", "l_discount"]), 6)
+
+
+@query("""SELECT l_quantity AS value, count(*) AS n, max(r) AS avg_rank FROM (SELECT l_quantity, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem) GROUP BY 1""")
+def average_ranks(spark, folder):
+    return ordered.average_ranks(table(spark, folder, "lineitem").select(F.col("l_quantity").alias("value")), "value")
+
+
+def _eta(cat: str, num: str) -> str:
+    return f"""SELECT '{cat}' AS category_field, '{num}' AS measure_field, (SELECT count(*) FROM usage) AS n, count(*) AS groups, round(sum(c * (m - (SELECT avg({num}) FROM usage)) ** 2) /
+        (SELECT var_pop({num}) * count(*) FROM usage), 8) AS eta_squared FROM (SELECT count(*) AS c, avg({num}) AS m FROM usage GROUP BY {cat})"""
+
+
+@query(with_views("usage") + " " + " UNION ALL ".join(_eta(c, n) for c in ("brand", "category") for n in ("quantity", "value")))
+def eta_squared(spark, folder):
+    return rounded(stats.eta_squared(usage(spark, folder), ["brand", "category"], ["quantity", "value"]), 8)
+
+
+def _cramer(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS left_field, '{b}' AS right_field, max(n) AS n, max(ra) AS "rows", max(cb) AS "columns", round(sqrt(sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)) / (max(n) * least(max(ra) - 1, max(cb) - 1))), 8) AS cramers_v
+        FROM (SELECT {a} AS x, count(*) AS r, (SELECT count(*) FROM usage) AS n, (SELECT count(DISTINCT {a}) FROM usage) AS ra, (SELECT count(DISTINCT {b}) FROM usage) AS cb FROM usage GROUP BY {a}),
+             (SELECT {b} AS y, count(*) AS c FROM usage GROUP BY {b}) LEFT JOIN (SELECT {a} AS x, {b} AS y, count(*) AS o FROM usage GROUP BY ALL) USING (x, y)"""
+
+
+@query(with_views("usage") + " " + " UNION ALL ".join(_cramer(a, b) for a, b in (("brand", "category"), ("brand", "unit"), ("category", "unit"))))
+def cramers_v(spark, folder):
+    return rounded(stats.cramers_v(usage(spark, folder), ["brand", "category", "unit"]), 8)
+
+
+@query("""SELECT event_type, round((least(1.0, log10(count(*)) / 3) + 1.0 + 0.5 + least(1.0, avg(value) / 100)) / 4, 3) AS score,
+    CASE WHEN round((least(1.0, log10(count(*)) / 3) + 1.5 + least(1.0, avg(value) / 100)) / 4, 3) >= 0.85 THEN 'wysoka'
+         WHEN round((least(1.0, log10(count(*)) / 3) + 1.5 + least(1.0, avg(value) / 100)) / 4, 3) >= 0.65 THEN 'średnia' ELSE 'ograniczona' END AS label FROM events GROUP BY 1""")
+def confidence_scores(spark, folder):
+    groups = events(spark, folder).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("v"))
+    score = stats.score_confidence(F.col("n"), F.lit(1.0), F.lit(0.5), F.col("v") / 100)
+    return groups.select("event_type", score.alias("score"), stats.confidence_label(score).alias("label"))
+
+
+__all__ = ["ORDER", "PAIRS"]
