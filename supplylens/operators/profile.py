@@ -198,7 +198,7 @@ class Profile:
     def __init__(self, df: DataFrame, fields: list[str] | None = None, declared: dict[str, str] | None = None,
                  labels: dict[str, str] | None = None, total_rows: int | None = None):
         self.df, self.fields = df, fields or df.columns
-        self.parsed = parsed_values(checkpointed(value_table(df, self.fields)))
+        self.parsed = checkpointed(parsed_values(checkpointed(value_table(df, self.fields))))
         self.labels, self.declared, self.total_rows = labels or {}, declared or {}, total_rows
         self.columns = checkpointed(self._columns())
 

@@ -21,6 +21,16 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value, F.lit(low))))
 
 
+#: Names the results below use for their own columns.
+OWN_NAMES = {"measure", "value", "period", "records", "method", "distance", "local", "severity", "confidence"}
+
+
+def free_names(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """Row columns under names that cannot clash: ``value`` becomes ``row_value``."""
+    names = [f"row_{c}" if c in OWN_NAMES else c for c in columns]
+    return df.withColumns({n: F.col(c) for n, c in zip(names, columns) if n != c}), names
+
+
 def melt(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
     """``keep..., measure, value`` with one row per filled number."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), number_of(df, m, "analytics").alias("value"))
@@ -59,6 +69,7 @@ def outliers(df: DataFrame, measures: list[str], row: list[str], dimension: str
     ``row`` columns identify a row. Global and local judgement meet in one pass over the
     values: each value looks up the bounds of its measure and of its group.
     """
+    df, row = free_names(df, row)
     keep = [F.col(c) for c in row]
     cells = melt(df.withColumn("_group", F.when(~is_blank(F.col(dimension)), cell_text(df, dimension))
                                if dimension else F.lit(None).cast("string")), measures, [*row, "_group"])
@@ -102,6 +113,7 @@ def severity(magnitude: Column) -> Column:
 
 
 def top_findings(found: DataFrame, row: list[str], limit: int = 300) -> DataFrame:
+    row = [f"row_{c}" if c in OWN_NAMES else c for c in row]
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     return found.orderBy(rank, F.desc("distance"), "measure", *row).limit(limit)
 
@@ -119,6 +131,7 @@ def aggregation_for(role: str) -> str:
 
 def _per_period(df: DataFrame, date: str, measures: dict[str, str], granularity: str, convention: str,
                 sequence: list[str], by: Column | None = None) -> DataFrame:
+    df, sequence = free_names(df, sequence)
     stamp, day = timestamp_of(df, date, "analytics", convention), date_of(df, date, "analytics", convention)
     cells = melt(df.withColumns({"_at": stamp, "_period": period_key(day, granularity),
                                  "_by": by if by is not None else F.lit("")}),

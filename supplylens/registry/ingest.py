@@ -129,7 +129,7 @@ def supplier_headers(spark, folder):
 
 def _expected_headers() -> str:
     parts = [f"SELECT {i} AS position, ['{a}', '{b}', '{c}'] AS words, '{f}' AS field" for i, ((a, b, c), f) in enumerate(zip(HEADERS, FIELDS))]
-    return f"SELECT s_suppkey AS name, field, words[1 + s_suppkey % 3] AS header, 1.0 AS score FROM supplier, ({' UNION ALL '.join(parts)})"
+    return f"SELECT s_suppkey AS name, field, words[1 + s_suppkey % 3] AS header, 1.0::DOUBLE AS score FROM supplier, ({' UNION ALL '.join(parts)})"
 
 
 @query(_expected_headers())

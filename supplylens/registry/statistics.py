@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from supplylens.operators import profile, quality, stats
 from supplylens.plans import ordered
 from supplylens.registry import query, rounded
-from supplylens.registry.views import ORDER, table, usage, with_views
+from supplylens.registry.views import table, usage, with_views
 
 EVENT_FIELDS = ["event_id", "ts", "user_id", "event_type", "value"]
 
@@ -37,7 +37,7 @@ def histogram(spark, folder):
     return rounded(profile.histograms(parsed), 6)
 
 
-@query("""SELECT unnest(['ts', 'event_type', 'value']) AS "column", unnest(['date', 'text', 'number']) AS physical_type, unnest([1.0, 0.95, 1.0]) AS type_confidence,
+@query("""SELECT unnest(['ts', 'event_type', 'value']) AS "column", unnest(['date', 'text', 'number']) AS physical_type, unnest([1.0::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE]) AS type_confidence,
     unnest([count(ts), count(event_type), count(value)]) AS non_null_count, unnest([count(DISTINCT date_trunc('second', ts)), count(DISTINCT event_type), count(DISTINCT value)]) AS unique_count,
     unnest([NULL, NULL, min(value)]) AS minimum, unnest([NULL, NULL, max(value)]) AS maximum, unnest([min(ts)::DATE, NULL, NULL]) AS first_day, unnest([max(ts)::DATE, NULL, NULL]) AS last_day,
     unnest([NULL, max(length(event_type)), NULL]) AS maximum_length FROM events""")
@@ -107,7 +107,7 @@ def fingerprint(spark, folder):
 # ---- quality ---------------------------------------------------------------------------
 
 FAULTY = """WITH f AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS status, CASE WHEN l_linenumber = 3 THEN -l_quantity ELSE l_quantity END AS quantity,
-    'x' AS fixed FROM lineitem), d AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS u, count(*) FILTER (WHERE status IS NULL) AS gaps,
+    'x' AS fixed FROM lineitem), d AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = 'N') / count(status) AS no_share, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS u, count(*) FILTER (WHERE status IS NULL) AS gaps,
     count(*) FILTER (WHERE quantity < 0) AS neg, count(DISTINCT id) AS ids FROM f), dup AS (SELECT count(*) AS n FROM (SELECT id FROM f GROUP BY id HAVING count(*) > 1)) """
 
 
@@ -119,6 +119,7 @@ def faulty(spark, folder):
 
 
 ISSUES = FAULTY + """, i AS (SELECT 'missing-status' AS id, 'missing_values' AS type, CASE WHEN gaps / n >= 0.5 THEN 'high' WHEN gaps / n >= 0.1 THEN 'medium' ELSE 'low' END AS severity, gaps AS count FROM d
+    UNION ALL SELECT 'mixed-status', 'mixed_type', 'medium', NULL FROM d WHERE no_share BETWEEN 0.2 AND 0.9 -- 'N' reads as no
     UNION ALL SELECT 'constant-fixed', 'constant_column', 'low', NULL FROM d UNION ALL SELECT 'negative-quantity', 'negative_values', 'medium', neg FROM d
     UNION ALL SELECT 'duplicate-rows', 'duplicate_rows', CASE WHEN (n - u) / n >= 0.05 THEN 'high' ELSE 'medium' END, n - u FROM d WHERE n > u
     UNION ALL SELECT 'business-key-id', 'business_key_duplicates', 'high', n FROM dup) """
@@ -162,7 +163,7 @@ def key_duplicates(spark, folder):
 
 
 @query("""SELECT 'p_name' AS "column", 0 AS empty, count(DISTINCT p_name) AS different, NULL AS minimum, NULL AS maximum, NULL AS mean, 100 AS filled_percent FROM part
-    UNION ALL SELECT 'size', count(*) FILTER (WHERE p_size % 4 = 0), count(DISTINCT CASE WHEN p_size % 4 <> 0 THEN p_size END), min(p_size) FILTER (WHERE p_size % 4 <> 0), max(p_size) FILTER (WHERE p_size % 4 <> 0),
+    UNION ALL SELECT 'size', count(*) FILTER (WHERE p_size % 4 = 0), count(DISTINCT CASE WHEN p_size % 4 <> 0 THEN p_size END), CAST(min(p_size) FILTER (WHERE p_size % 4 <> 0) AS DOUBLE), CAST(max(p_size) FILTER (WHERE p_size % 4 <> 0) AS DOUBLE),
     round(avg(p_size) FILTER (WHERE p_size % 4 <> 0), 4), CAST(floor(100.0 * count(*) FILTER (WHERE p_size % 4 <> 0) / count(*) + 0.5) AS BIGINT) FROM part""")
 def quality_table(spark, folder):
     rows = table(spark, folder, "part").select("p_name", F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("size"))
@@ -202,10 +203,10 @@ def outliers_global(spark, folder):
 LOCAL = "WITH " + BOUNDS.format(g="", by="") + ", g AS (" + JUDGE.format(keep="event_id, user_id", join=", b") + "), " + BOUNDS.format(
     g="user_id,", by="GROUP BY user_id HAVING count(*) >= 8").replace("b AS", "lb AS", 1) + ", l AS (" + JUDGE.format(
     keep="event_id", join="JOIN lb USING (user_id)") + """),
-    f AS (SELECT g.event_id, g.value, g.outside OR abs(g.z) >= 3.5 AS glob, coalesce(l.outside OR abs(l.z) >= 3.5, false) AS loc, g.z AS gz, l.z AS lz, g.dist AS gd, l.dist AS ld
+    f AS (SELECT g.event_id, g.value, g.outside OR abs(g.z) >= 3.5 AS gf, coalesce(l.outside OR abs(l.z) >= 3.5, false) AS loc, g.z AS gz, l.z AS lz, g.dist AS gd, l.dist AS ld
         FROM g LEFT JOIN l USING (event_id)),
-    k AS (SELECT event_id, value, loc, CASE WHEN glob THEN gz ELSE lz END AS robust_z, CASE WHEN loc THEN lz END AS local_z,
-        CASE WHEN loc THEN greatest(CASE WHEN glob THEN gd ELSE 0 END, ld) ELSE gd END AS distance FROM f WHERE glob OR loc),
+    k AS (SELECT event_id, value, loc, CASE WHEN gf THEN gz ELSE lz END AS robust_z, CASE WHEN loc THEN lz END AS local_z,
+        CASE WHEN loc THEN greatest(CASE WHEN gf THEN gd ELSE 0 END, ld) ELSE gd END AS distance FROM f WHERE gf OR loc),
     m AS (SELECT *, greatest(abs(robust_z), abs(coalesce(local_z, 0)), distance) AS mag FROM k) """
 
 
@@ -272,9 +273,6 @@ def period_contributors(spark, folder):
 
 # ---- associations --------------------------------------------------------------------------
 
-PAIRS = """SELECT 'l_quantity' AS left_field, 'l_extendedprice' AS right_field, count(*) AS n, {f}('l_quantity', 'l_extendedprice') FROM lineitem"""
-
-
 @query("""SELECT 'l_quantity' AS left_field, 'l_extendedprice' AS right_field, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem
     UNION ALL SELECT 'l_quantity', 'l_discount', count(*), round(corr(l_quantity, l_discount), 6) FROM lineitem
     UNION ALL SELECT 'l_extendedprice', 'l_discount', count(*), round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
@@ -307,8 +305,8 @@ def eta_squared(spark, folder):
 
 def _cramer(a: str, b: str) -> str:
     return f"""SELECT '{a}' AS left_field, '{b}' AS right_field, max(n) AS n, max(ra) AS "rows", max(cb) AS "columns", round(sqrt(sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)) / (max(n) * least(max(ra) - 1, max(cb) - 1))), 8) AS cramers_v
-        FROM (SELECT {a} AS x, count(*) AS r, (SELECT count(*) FROM usage) AS n, (SELECT count(DISTINCT {a}) FROM usage) AS ra, (SELECT count(DISTINCT {b}) FROM usage) AS cb FROM usage GROUP BY {a}),
-             (SELECT {b} AS y, count(*) AS c FROM usage GROUP BY {b}) LEFT JOIN (SELECT {a} AS x, {b} AS y, count(*) AS o FROM usage GROUP BY ALL) USING (x, y)"""
+        FROM ((SELECT {a} AS x, count(*) AS r, (SELECT count(*) FROM usage) AS n, (SELECT count(DISTINCT {a}) FROM usage) AS ra, (SELECT count(DISTINCT {b}) FROM usage) AS cb FROM usage GROUP BY {a})
+             CROSS JOIN (SELECT {b} AS y, count(*) AS c FROM usage GROUP BY {b})) LEFT JOIN (SELECT {a} AS x, {b} AS y, count(*) AS o FROM usage GROUP BY ALL) USING (x, y)"""
 
 
 @query(with_views("usage") + " " + " UNION ALL ".join(_cramer(a, b) for a, b in (("brand", "category"), ("brand", "unit"), ("category", "unit"))))
@@ -324,5 +322,3 @@ def confidence_scores(spark, folder):
     score = stats.score_confidence(F.col("n"), F.lit(1.0), F.lit(0.5), F.col("v") / 100)
     return groups.select("event_type", score.alias("score"), stats.confidence_label(score).alias("label"))
 
-
-__all__ = ["ORDER", "PAIRS"]
