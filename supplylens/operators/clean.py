@@ -141,9 +141,12 @@ def row_checks(df: DataFrame, required: tuple[str, ...] = ()) -> Column:
 
 
 def validate(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``errors`` and ``warnings``; rows without errors are valid."""
-    checked = df.withColumn("_checks", row_checks(df, required))
-    return checked.select(*df.columns, "_checks.errors", "_checks.warnings")
+    """Add ``errors`` and ``warnings``; rows without errors are valid.
+
+    The codes come out of a one-row generator, so that a later filter on them does not make
+    Spark parse the cells a second time.
+    """
+    return df.select(*df.columns, F.inline(F.array(row_checks(df, required))))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -296,7 +296,11 @@ def confidence_from_evidence(score: Column, size: Column, minimum: int = 20) ->
 
 
 def semantic_roles(columns: DataFrame) -> DataFrame:
-    """Add ``semantic_role, business_role, analytical_role, expected_unique, semantic_confidence``."""
+    """Add ``semantic_role, business_role, analytical_role, expected_unique, semantic_confidence``.
+
+    The table has one row per column; each step of the rules is checkpointed, because one
+    plan of all nested rules takes far longer to optimize than the few rows to compute.
+    """
     none = F.lit(None).cast("string")
     rules = F.array(*[F.struct(
         F.lit(i).alias("place"), F.lit(role).alias("role"), F.lit(business).alias("business"),
@@ -322,6 +326,7 @@ def semantic_roles(columns: DataFrame) -> DataFrame:
     rows = named.join(best, "column", "left").select(
         "*", F.col("_best.role").alias("role"), F.col("_best.business").alias("business"),
         F.coalesce("_best.score", F.lit(0.0)).alias("score"), F.coalesce("_best.priority", F.lit(0)).alias("priority"))
+    rows = checkpointed(rows)
 
     # value patterns count for text only and give way to strong names
     texts = F.filter(F.transform(F.coalesce("examples", F.array()), analytics_text), lambda x: x != "")
@@ -335,6 +340,7 @@ def semantic_roles(columns: DataFrame) -> DataFrame:
             "business": F.when(take, business).otherwise(F.col("business")),
             "score": F.when(take, level).otherwise(F.col("score")),
             "priority": F.when(take, 200).otherwise(F.col("priority"))})
+    rows = checkpointed(rows)
 
     kind, role, unique = F.col("physical_type"), F.col("role"), F.col("unique_ratio")
     as_date = (kind == "date") & (role.isNull() | (role == "date"))
@@ -368,6 +374,7 @@ def semantic_roles(columns: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "semantic_role": final_role, "business_role": F.coalesce(new_business, business, final_role),
         "_score": F.coalesce(new_score, "score")})
+    rows = checkpointed(rows)
     percent = ((F.col("semantic_role") == "percentage") & (kind == "number") & (F.col("minimum") >= 0)
                & (F.col("maximum") <= 1.5))
     analytical = (F.when(F.col("semantic_role") == "date", "time_dimension")
@@ -376,11 +383,11 @@ def semantic_roles(columns: DataFrame) -> DataFrame:
                   .when(F.col("semantic_role").isin(DIMENSION_ROLES), "dimension").otherwise("attribute"))
     expected = (F.col("business_role") == "record_id") | (
         (F.col("semantic_role") == "identifier") & (unique >= 0.995) & F.col("_search").rlike(r"(^|\s)id(\s|$)"))
-    return rows.select(
+    return checkpointed(rows.select(
         *columns.columns, "semantic_role", "business_role", analytical.alias("analytical_role"),
         expected.alias("expected_unique"),
         confidence_from_evidence(F.col("_score") + F.when(percent, 0.05).otherwise(0.0), F.col("non_null_count"))
-        .alias("semantic_confidence"))
+        .alias("semantic_confidence")))
 
 
 # ---- descriptions --------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
     if raw["domain"] == "hierarchical_delivery_plan":
         rows = checkpointed(dom.prepare_hierarchy(df, raw["material"], order, fields).drop("filled_down"))
     profiled = profile(rows, fields, mode)
-    roles = checkpointed(semantic_roles(profiled.columns))
+    roles = semantic_roles(profiled.columns)
     table = sorted(roles.collect(), key=lambda r: r["position"])  # one row per column
     size = table[0]["row_count"] if table else 0
     domain = dom.refine_domain(raw, {r["business_role"] for r in table})
