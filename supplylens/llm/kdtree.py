@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from supplylens.llm.store import Workspace
 
 BINS = 4096
+#: a cut ends where what is left to part is this share of the weight wanted below it
+FINE = 0.0005
 
 
 @dataclass
@@ -31,7 +33,8 @@ def _cuts(rows: DataFrame, asked: dict[int, tuple[list[str], float]]) -> dict[in
     ``asked`` has per box the dimensions, the second and later ones for ties, and the weight
     wanted below the cut. A cut is found by histograms of at most ``BINS`` sums: each pass goes
     into the bin that holds the median, until the bin is one value; then the next dimension is
-    cut within that value.
+    cut within that value. A bin with one row, or at most ``FINE`` of the weight wanted, is
+    not parted.
     """
     found: dict[int, list[tuple[str, int]]] = {k: [] for k in asked}
     inside: dict[int, Column] = {k: F.col("leaf") == k for k in asked}
@@ -53,17 +56,21 @@ def _cuts(rows: DataFrame, asked: dict[int, tuple[list[str], float]]) -> dict[in
                 bin_ = F.when((F.col("leaf") == k) & F.col("v").between(lo, hi),
                               F.expr(f"(v - ({lo}L)) div {step[k]}L")).otherwise(bin_)
             sums: dict[int, list] = {k: [] for k in open_}
-            for r in held.withColumn("bin", bin_).where("bin is not null").groupBy("leaf", "bin").agg(F.sum("weight").alias("w")).collect():
-                sums[r.leaf].append((int(r.bin), float(r.w)))
+            for r in held.withColumn("bin", bin_).where("bin is not null").groupBy("leaf", "bin").agg(
+                    F.sum("weight").alias("w"), F.count("*").alias("n")).collect():
+                sums[r.leaf].append((int(r.bin), float(r.w), r.n))
             after = {}
             for k, own in sums.items():
                 (lo, hi), goal = open_[k], asked[k][1]
-                for b, w in sorted(own):
-                    if below[k] + w >= goal or b == max(x for x, _ in own):
+                for b, w, n in sorted(own):
+                    if below[k] + w >= goal or b == max(own)[0]:
                         low, high = lo + b * step[k], min(hi, lo + (b + 1) * step[k] - 1)
                         break
                     below[k] += w
-                if low == high:
+                if n == 1 or w <= FINE * goal:
+                    found[k].append((dims[k][0], high))
+                    dims[k] = []
+                elif low == high:
                     found[k].append((dims[k].pop(0), low))
                     inside[k] = inside[k] & (F.col(found[k][-1][0]) == low)
                 else:

@@ -187,8 +187,8 @@ def _audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int)
                 for i, n in zip(ids.tolist(), (part.column("size").to_numpy() @ close).tolist(), strict=True):
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
-    true = vectors.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("true")).where("true > 0")
-    r = true.join(found, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("f")).first()
+    true = vectors.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("links")).where("links > 0")
+    r = true.join(found, "id", "left").agg(F.sum("links").alias("t"), F.sum(F.least("links", F.coalesce("n", F.lit(0)))).alias("f")).first()
     return 1.0 if not r.t else r.f / r.t
 
 

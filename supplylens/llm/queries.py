@@ -119,7 +119,7 @@ p AS (SELECT doc_id, unnest([{'i': i, 'x': md5(array_to_string(ws[i:i + 49], ' '
 m AS (SELECT p.x AS x, min(doc_id) AS d FROM p GROUP BY p.x),
 g AS (SELECT doc_id, list_distinct(flatten(list(range(p.i, p.i + 50)))) AS gone FROM p JOIN m ON p.x = m.x AND doc_id > d GROUP BY doc_id),
 k AS (SELECT w.doc_id, ws, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN ws ELSE
-      list_transform(list_filter(range(1, len(ws) + 1), i -> NOT list_contains(gone, i)), i -> ws[i]) END AS kept
+      [ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(gone, i)] END AS kept
       FROM w LEFT JOIN g USING (doc_id))
 SELECT doc_id, len(ws)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """

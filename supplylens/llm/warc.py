@@ -77,7 +77,7 @@ class _Shards:
             return
         name = f"part-{self.bucket:06d}-{self.number:06d}.warc.gz"
         raw, temporary = self.buffer.getvalue(), f"{self.path}/_temporary-{uuid.uuid4().hex}-{name}"
-        with self.store.open_output_stream(temporary) as out:
+        with self.store.open_output_stream(temporary, compression=None) as out:
             out.write(raw)
         self.store.move(temporary, f"{self.path}/{name}")
         yield name, self.records, len(raw), hashlib.sha256(raw).hexdigest()
