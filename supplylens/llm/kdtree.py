@@ -121,15 +121,17 @@ def kd_leaves(rows: DataFrame, work: Workspace, dims: list[str], ties: list[str]
     return rows
 
 
-def sharded(spark: SparkSession, docs: DataFrame, shards: int = 8, slice_rows: int = 5000) -> DataFrame:
+def sharded(spark: SparkSession, docs: DataFrame, shards: int = 8, slice_rows: int = 5000,
+            together: float = 0.01) -> DataFrame:
     """Put all documents into ``shards`` shards of near equal bytes.
 
     Returns one row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
     The law is ``bytes``: a document weighs its UTF-8 bytes plus 1, and the tree is split until a
     leaf holds the total over ``shards``. The metadata dimensions are source, language, size and
-    id; ties fall to the checksum of the text, then the id, so equal texts stay together unless a
-    cut falls among them. Slots number the rows of a shard from 0 without gaps; they are counted
-    in slices of about ``slice_rows`` rows.
+    id; ties fall to the checksum of the text, then the id. Equal texts share the least metadata
+    among them and stay together, unless they weigh more than ``together`` of a shard: such a
+    group is split like other rows, so it cannot make shards uneven. Slots number the rows of a
+    shard from 0 without gaps; they are counted in slices of about ``slice_rows`` rows.
 
     Null texts have no bytes and checksum 0; null ids and other null metadata come first in
     their dimension. Rows alike in everything fall on one side of a cut. A table without
@@ -143,15 +145,21 @@ def sharded(spark: SparkSession, docs: DataFrame, shards: int = 8, slice_rows: i
         F.col("doc_id").cast("long"), (F.octet_length(text) + F.lit(1)).cast("long").alias("weight"), F.crc32(text).alias("crc"),
         code("source").alias("source"), code("lang").alias("lang"), # two bits less, so that differences of any two values are longs
         F.coalesce(F.shiftright(F.col("doc_id").cast("long"), 2), F.lit(-2**61 - 1)).alias("id"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", text), 2).alias("h")))
-    rows = rows.withColumn("size", F.col("weight"))
+        F.shiftrightunsigned(F.xxhash64("doc_id", text), 2).alias("h"), F.xxhash64(text).alias("t")))
+    most = (rows.agg(F.sum("weight").alias("w")).first().w or 0) * together / shards
+    point = ["source", "lang", "id", "h"]
+    groups = (rows.groupBy("crc", "t").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), *(F.min(c).alias(f"g_{c}") for c in point))
+              .where((F.col("n") > 1) & (F.col("w") <= most)).drop("n", "w"))
+    rows = work.keep(rows.join(groups, ["crc", "t"], "left").select(
+        "doc_id", "weight", F.col("weight").alias("size"), "crc", F.col("h").alias("row"),
+        *(F.coalesce(f"g_{c}", c).alias(c) for c in point)))
     leaves = work.keep(kd_leaves(rows, work, ["source", "lang", "size", "id"], ["crc", "id", "h"], shards))
     total = leaves.count()
     slices = max(1, -(-total // slice_rows))
-    sliced = leaves.withColumn("slice", F.pmod(F.col("h"), F.lit(slices)))
+    sliced = leaves.withColumn("slice", F.pmod(F.col("row"), F.lit(slices)))
     before = (sliced.groupBy("leaf", "slice").agg(F.count("*").alias("n"))
               .withColumn("before", F.sum("n").over(Window.partitionBy("leaf").orderBy("slice")) - F.col("n")).drop("n"))
-    own = Window.partitionBy("leaf", "slice").orderBy("h")
+    own = Window.partitionBy("leaf", "slice").orderBy("row")
     return (sliced.withColumn("k", F.row_number().over(own)).join(before, ["leaf", "slice"])
             .select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("leaf").alias("shard"),
                     (F.col("k") - 1 + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")))

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplylens.llm.store import Workspace
@@ -149,12 +149,13 @@ def write_archives(pages: DataFrame, folder: str, range_bytes: int = 32 << 20, s
 
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(edges, ids.fillna(0).astype("int64"), "right")))
+        return pd.Series(np.searchsorted(edges, ids, "right"))
 
-    ranged = rows.unionByName(notes).withColumn("bucket", bucket("page_id"))
+    ranged = rows.unionByName(notes).withColumn(
+        "bucket", F.when(F.col("page_id").isNull(), 0).otherwise(bucket(F.coalesce("page_id", F.lit(0)))))
     store, path = pafs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    manifest = (ranged.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "page_id", "digest", "kind")
+    manifest = (ranged.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "page_id", "digest", "kind")
                 .mapInArrow(_written(folder, shard_bytes), MANIFEST))
     manifest.write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
