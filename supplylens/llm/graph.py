@@ -25,11 +25,11 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = work.keep(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")))
         large = (both.where("b > a").join(least, "a")
                  .select(F.col("m").alias("a"), F.col("b")).where("a < b").distinct())
         large = work.keep(large)
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = work.keep(large.groupBy("b").agg(F.min("a").alias("m")))
         joined = large.join(least, "b")
         small = (joined.select(F.col("m").alias("a"), F.col("b"))
                  .union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct())

@@ -148,7 +148,8 @@ def sharded(spark: SparkSession, docs: DataFrame, shards: int = 8, slice_rows: i
         F.shiftrightunsigned(F.xxhash64("doc_id", text), 2).alias("h"), F.xxhash64(text).alias("t")))
     most = (rows.agg(F.sum("weight").alias("w")).first().w or 0) * together / shards
     point = ["source", "lang", "id", "h"]
-    groups = (rows.groupBy("crc", "t").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), *(F.min(c).alias(f"g_{c}") for c in point))
+    # written, so that the join is free to split the rows of a large group
+    groups = work.keep(rows.groupBy("crc", "t").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), *(F.min(c).alias(f"g_{c}") for c in point))
               .where((F.col("n") > 1) & (F.col("w") <= most)).drop("n", "w"))
     rows = work.keep(rows.join(groups, ["crc", "t"], "left").select(
         "doc_id", "weight", F.col("weight").alias("size"), "crc", F.col("h").alias("row"),

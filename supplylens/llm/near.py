@@ -143,7 +143,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     # (coordinate, value) as one key, with the number of sets that have it
     values = sets.select("rep", "n", F.posexplode("signature").alias("c", "v")).select(
         "rep", "n", (F.col("c").cast("long") * (1 << 32) + F.col("v") + (1 << 31)).alias("key"))
-    shared = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = work.keep(values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     # a set with u values of its own has posted its first u coordinates: they meet nobody
     lists = (values.join(shared, "key").groupBy("rep", "n")
              .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
@@ -163,7 +163,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     tested = None
     for turn in range(stars + 1):
         open_lists = postings.join(labels, "rep")
-        mixed = (open_lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+        mixed = work.keep(open_lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                                F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
                  .where("lo < hi").select("key", (-F.col("top.r")).alias("centre")))
         if turn < stars:

@@ -12,7 +12,9 @@ class Workspace:
     """A new folder under ``spark.checkpoint.dir`` for one job's tables.
 
     Lineage is cut by writing a table and reading it back, so a lost executor costs only
-    the tasks it was running. Only a local session without the setting makes its own folder.
+    the tasks it was running. Aggregates that are joined back are written first: the join then
+    reads two plain shuffles, and adaptive execution may split the rows of a very common key or
+    broadcast the side that has turned out small. Only a local session without the setting makes its own folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):

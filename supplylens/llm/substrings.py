@@ -158,17 +158,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 50, se
                                      "seeds array<long>, extents array<long>"))
     pairs = rows.select("doc", F.explode(F.arrays_zip("seeds", "extents")).alias("x")).select(
         "doc", F.col("x.seeds").alias("s"), F.col("x.extents").alias("e"))
-    met = (pairs.groupBy("s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("e").alias("e1"),
+    met = work.keep(pairs.groupBy("s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("e").alias("e1"),
                                   F.max("e").alias("e2"))
            .where("lo < hi").select("s", (F.col("e1") < F.col("e2")).alias("differ")))
     seeds = work.keep(pairs.join(met, "s").select("doc", "e", "differ"))
-    least = seeds.groupBy("e").agg(F.min("doc").alias("lo"))
+    least = work.keep(seeds.groupBy("e").agg(F.min("doc").alias("lo")))
     marks = (seeds.join(least, "e").groupBy("doc").agg(
         F.collect_set(F.when(F.col("doc") > F.col("lo"), F.col("e"))).alias("whole"),
         F.collect_set(F.when((F.col("doc") == F.col("lo")) & F.col("differ"), F.col("e"))).alias("open")))
     texts = work.keep(docs.drop("doc_id").join(marks, "doc"))
     windows = work.keep(texts.where(F.size("open") > 0).mapInArrow(_windows(seed, length), "w long, doc long"))
-    least = windows.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    least = work.keep(windows.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi"))
     single = (windows.join(least, "w").where("doc > lo").groupBy("doc").agg(F.collect_set("w").alias("single")))
     cut = (texts.select("doc", "h", "text", "whole").join(single, "doc", "left")
            .where((F.size("whole") > 0) | F.col("single").isNotNull())

@@ -183,10 +183,10 @@ def _refined(rows: DataFrame, work: Workspace, names: tuple[str, str]) -> DataFr
     identifier, one document of each goes on to the next, finer level. Returns per document the
     identifiers to remove and those to go on with.
     """
-    met = (rows.groupBy("s").agg(F.sum("times").alias("n"), F.min("e").alias("e1"), F.max("e").alias("e2"))
+    met = work.keep(rows.groupBy("s").agg(F.sum("times").alias("n"), F.min("e").alias("e1"), F.max("e").alias("e2"))
            .where("n > 1").select("s", (F.col("e1") < F.col("e2")).alias("differ")))
     members = work.keep(rows.join(met, "s").select("doc", "e", "times", "differ"))
-    size = members.groupBy("e").agg(F.sum("times").alias("n"), F.min("doc").alias("lo"))
+    size = work.keep(members.groupBy("e").agg(F.sum("times").alias("n"), F.min("doc").alias("lo")))
     joined = members.join(size, "e")
     return joined.groupBy("doc").agg(
         F.collect_set(F.when(F.col("n") > 1, F.col("e"))).alias(names[0]),
@@ -228,7 +228,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, length: int = 200, q:
     windows = work.keep(opened.join(second.where(F.size("open_pieces") > 0), "doc")
                         .select("doc", "text", "open", "open_pieces")
                         .mapInArrow(_open_windows(q, length), "w long, doc long, times int"))
-    repeated = windows.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w")
+    repeated = work.keep(windows.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w"))
     single = windows.join(repeated, "w").groupBy("doc").agg(F.collect_set("w").alias("single"))
     none = F.array().cast("array<long>")
     cut = (texts.join(second.select("doc", "whole_pieces"), "doc", "left").join(single, "doc", "left")
