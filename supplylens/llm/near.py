@@ -121,9 +121,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
       members are all in one component are not merged again.
     * Merging: in each list the member with the most common values is the centre, and the others
       are compared with it, first by counting agreements, then on the full sets. After ``stars``
-      such rounds the pairs left in lists that still hold several components are compared one by
-      one, unless their sizes alone rule the threshold out. A large group of copies so costs
-      comparisons in proportion to its size.
+      such rounds the lists that still hold several components are taken apart: whoever is not
+      with the centre is compared with all others, unless a bound rules the threshold out. The
+      bound is exact: two sets share no more than either has in common with any other set, so the
+      shingles that a set has alone count against it. A large group of copies so costs comparisons
+      in proportion to its size, and copies with many edits of their own cost none.
 
     Equal sets are one class from the start and are never paired. Text that is null, empty or
     without words has no shingles and is linked with nothing. Rows without a ``doc_id`` keep a
@@ -172,13 +174,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
                 labels.select(F.col("rep").alias("c"), F.col("component").alias("cc")), "c")
             pairs = pairs.distinct().join(other, "c").where("component <> cc")
         else:
-            left = open_lists.join(mixed.select("key"), "key")
-            groups = left.select("key", "component").distinct()
-            split = groups.alias("x").join(groups.alias("y"), "key").where("x.component < y.component").select(
-                "key", F.col("x.component").alias("component"), F.col("y.component").alias("cc"))
-            one = left.join(split, ["key", "component"]).select("key", "cc", "rep", "n")
-            two = left.select("key", F.col("component").alias("cc"), F.col("rep").alias("c"), F.col("n").alias("cn"))
-            pairs = one.join(two, ["key", "cc"]).select("rep", "n", "c", "cn")
+            left = open_lists.join(mixed, "key").join(
+                labels.select(F.col("rep").alias("centre"), F.col("component").alias("main")), "centre")
+            left = work.keep(left.join(_overlaps(left.select("rep").distinct(), texts, width), "rep")
+                             .where(f"100 * most >= {percent} * n").select("key", "rep", "n", "most", "component", "main"))
+            one, two = left.where("component <> main").alias("x"), left.alias("y")
+            pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & F.expr(
+                f"{100 + percent} * least(x.most, y.most) >= {percent} * (x.n + y.n)")).select(
+                "x.rep", "x.n", F.col("y.rep").alias("c"), F.col("y.n").alias("cn"))
         pairs = (pairs.where("100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
                  .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).where("a < b").distinct())
         if tested is not None:
@@ -205,6 +208,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column("rep").to_numpy()
+            for chunk, hashes, bounds in shingle_sets(batch.column("text"), width):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(reps[chunk.first:chunk.first + chunk.n], np.diff(bounds))),
+                     pa.array(hashes.view(np.int64))], ["rep", "s"])
+    return run
+
+
+def _overlaps(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``rep, most``: the shingles of each set that any other of these sets has, so its greatest overlap."""
+    rows = texts.join(reps, "rep").select("rep", "text").mapInArrow(_shingles(width), "rep long, s long")
+    met = rows.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    own = met.where("lo = hi").groupBy(F.col("lo").alias("rep")).agg(F.count("*").alias("own"))
+    size = rows.groupBy("rep").agg(F.count("*").alias("all"))
+    return size.join(own, "rep", "left").select("rep", (F.col("all") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
 def _agreeing(pairs: DataFrame, texts: DataFrame, matches: int) -> DataFrame:
     side = texts.select("rep", "signature")
     return (pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
