@@ -14,6 +14,7 @@ from supplylens.llm.graph import components
 from supplylens.llm.store import Workspace
 
 COORDINATES = 64
+CENTRES = 4
 LETTERS = T.separators(T.SPACES)
 
 
@@ -119,13 +120,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
       document has need no posting.
     * Skip: a document with fewer than ``matches`` shared values is left out, and lists whose
       members are all in one component are not merged again.
-    * Merging: in each list the member with the most common values is the centre, and the others
-      are compared with it, first by counting agreements, then on the full sets. After ``stars``
+    * Merging: in each list some members with the most common values (one from each of four parts,
+      by hash) are centres, and the others are compared with them, first by counting agreements, then on the full sets. After ``stars``
       such rounds the lists that still hold several components are taken apart: whoever is not
-      with the centre is compared with all others, unless a bound rules the threshold out. The
-      bound is exact: two sets share no more than either has in common with any other set, so the
-      shingles that a set has alone count against it. A large group of copies so costs comparisons
-      in proportion to its size, and copies with many edits of their own cost none.
+      with the first centre meets the others in the join of the list with itself, whose condition
+      has the size and overlap bounds, so only pairs that reach the threshold leave it. A large
+      group of copies costs comparisons in proportion to its size; members that are linked with
+      no centre cost one more for each member of their lists.
 
     Equal sets are one class from the start and are never paired. Text that is null, empty or
     without words has no shingles and is linked with nothing. Rows without a ``doc_id`` keep a
@@ -165,22 +166,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     tested = None
     for turn in range(stars + 1):
         open_lists = postings.join(labels, "rep")
-        mixed = work.keep(open_lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                               F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"))
-                 .where("lo < hi").select("key", (-F.col("top.r")).alias("centre")))
+        place = F.struct("weight", (-F.col("rep")).alias("r"), F.col("component").alias("main"))
+        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(CENTRES))
+        mixed = work.keep(open_lists.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(place).alias("top"),
+            F.array(*(F.max(F.when(slot == k, place)) for k in range(CENTRES))).alias("centres")).where("lo < hi")
+            .select("key", F.col("top.main").alias("main"),
+                    F.transform(F.filter("centres", lambda c: c.isNotNull()), lambda c: -c["r"]).alias("centres")))
         if turn < stars:
-            pairs = open_lists.join(mixed, "key").select("rep", "n", "component", F.col("centre").alias("c"))
+            pairs = open_lists.join(mixed.select("key", F.explode("centres").alias("c")), "key").select("rep", "n", "component", "c")
             other = sets.select(F.col("rep").alias("c"), F.col("n").alias("cn")).join(
                 labels.select(F.col("rep").alias("c"), F.col("component").alias("cc")), "c")
             pairs = pairs.distinct().join(other, "c").where("component <> cc")
         else:
-            left = open_lists.join(mixed, "key").join(
-                labels.select(F.col("rep").alias("centre"), F.col("component").alias("main")), "centre")
-            left = work.keep(left.join(_overlaps(left.select("rep").distinct(), texts, width), "rep")
-                             .where(f"100 * most >= {percent} * n").select("key", "rep", "n", "most", "component", "main"))
+            left = open_lists.join(mixed.select("key", "main"), "key")
+            # half of each shingle hash: an overlap may come out too large, never too small
+            short = texts.join(left.select("rep").distinct(), "rep").select("rep", "text").mapInArrow(_short_sets(width), "rep long, s array<int>")
+            left = work.keep(left.join(short, "rep").select("key", "rep", "n", "s", "component", "main"))
             one, two = left.where("component <> main").alias("x"), left.alias("y")
             pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & F.expr(
-                f"{100 + percent} * least(x.most, y.most) >= {percent} * (x.n + y.n)")).select(
+                f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") & F.expr(
+                f"{100 + percent} * size(array_intersect(x.s, y.s)) >= {percent} * (x.n + y.n)")).select(
                 "x.rep", "x.n", F.col("y.rep").alias("c"), F.col("y.n").alias("cn"))
         pairs = (pairs.where("100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
                  .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).where("a < b").distinct())
@@ -208,26 +214,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
-def _shingles(width: int):
+def _short_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps = batch.column("rep").to_numpy()
             for chunk, hashes, bounds in shingle_sets(batch.column("text"), width):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(reps[chunk.first:chunk.first + chunk.n], np.diff(bounds))),
-                     pa.array(hashes.view(np.int64))], ["rep", "s"])
+                    [batch.column("rep")[chunk.first:chunk.first + chunk.n], pa.ListArray.from_arrays(
+                        pa.array(bounds.astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
+                    ["rep", "s"])
     return run
 
 
-def _overlaps(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``rep, most``: the shingles of each set that any other of these sets has, so its greatest overlap."""
-    rows = texts.join(reps, "rep").select("rep", "text").mapInArrow(_shingles(width), "rep long, s long")
-    met = rows.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    own = met.where("lo = hi").groupBy(F.col("lo").alias("rep")).agg(F.count("*").alias("own"))
-    size = rows.groupBy("rep").agg(F.count("*").alias("all"))
-    return size.join(own, "rep", "left").select("rep", (F.col("all") - F.coalesce("own", F.lit(0))).alias("most"))
-
-
 def _agreeing(pairs: DataFrame, texts: DataFrame, matches: int) -> DataFrame:
     side = texts.select("rep", "signature")
     return (pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")

@@ -17,6 +17,8 @@ from supplylens.llm.substrings import list_sets
 
 _LAST = 2**63 - 1
 STRIDE = 16
+#: bytes that a task looks at together: it holds some ten numbers for each
+SHARE = 1 << 20
 
 
 def _all(*parts: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def _lists(bounds: np.ndarray, values: np.ndarray) -> pa.ListArray:
 def _scan(q: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch.column("text")):
+            for chunk in T.chunks(batch.column("text"), SHARE):
                 part = slice(chunk.first, chunk.first + chunk.n)
                 s = Suffixes(chunk, q, length)
                 extents, row, times, initial = _counted(s.extents(), s.blocks.row, s.initial())
@@ -118,7 +120,7 @@ def _open_pieces(q: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, docs = list_sets(batch.column("open")), batch.column("doc").to_numpy()
-            for chunk in T.chunks(batch.column("text")):
+            for chunk in T.chunks(batch.column("text"), SHARE):
                 s = Suffixes(chunk, q, length)
                 some = A.own(s.extents(), chunk.first + s.blocks.row, sets)
                 _, row, common, union = s.pieces(some, docs[chunk.first:chunk.first + chunk.n].view(np.uint64))
@@ -134,7 +136,7 @@ def _open_windows(q: int, length: int):
         for batch in batches:
             sets, docs = list_sets(batch.column("open")), batch.column("doc").to_numpy()
             pieces = list_sets(batch.column("open_pieces"))
-            for chunk in T.chunks(batch.column("text")):
+            for chunk in T.chunks(batch.column("text"), SHARE):
                 s = Suffixes(chunk, q, length)
                 some = A.own(s.extents(), chunk.first + s.blocks.row, sets)
                 start, row, _, union = s.pieces(some, docs[chunk.first:chunk.first + chunk.n].view(np.uint64))
@@ -152,7 +154,7 @@ def _cut(q: int, length: int):
         for batch in batches:
             docs = batch.column("doc").to_numpy()
             whole, opened, pieces, single = (list_sets(batch.column(c)) for c in ("whole", "open", "whole_pieces", "single"))
-            for chunk in T.chunks(batch.column("text")):
+            for chunk in T.chunks(batch.column("text"), SHARE):
                 part = slice(chunk.first, chunk.first + chunk.n)
                 s = Suffixes(chunk, q, length)
                 b, extents = s.blocks, s.extents()
