@@ -135,6 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int = 18
     rows = (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
     found = rows.repartition(1).sortWithinPartitions("order", "doc_id").mapInArrow(_train(bits, scale, epochs), "weights binary, bias double").first()
+    if found is None:
+        return Model(np.zeros(1 << bits, np.float32), 0.0, bits, scale)
     return Model(np.frombuffer(found.weights, np.float32), found.bias, bits, scale)
 
 
@@ -175,5 +177,6 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, that reach the threshold."""
-    return docs.mapInArrow(_kept(fit(docs, labels.where(~held_out())), threshold), docs.schema)
+    """The rows of ``docs``, all columns, that reach the threshold; all of them if no label can be used."""
+    model = fit(docs, labels.where(~held_out()))
+    return docs if model.bias == 0 and not model.weights.any() else docs.mapInArrow(_kept(model, threshold), docs.schema)
