@@ -52,8 +52,9 @@ def _squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
-#: Printable ASCII words with single spaces: nothing to clean.
-_TIDY = r"^[\x21-\x7E]+(?: [\x21-\x7E]+)*$"
+#: Printable ASCII words with single spaces: nothing to clean. No group repeats, as the matcher
+#: would take a stack frame for each word of a long text.
+_TIDY = r"^(?! )(?!.*  )(?!.* \z)[\x20-\x7E]+\z"
 _ASCII = r"^[\x20-\x7E]*$"
 
 

@@ -173,6 +173,8 @@ def delivery_kpis(df: DataFrame, roles: dict[str, str]) -> DataFrame:
         else F.lit(None).cast("bigint")
     bad = [F.count_if(~is_blank(F.col(roles[n])) & F.col(c).isNull())
            for n, c in (("ordered", "o"), ("delivered", "d"), ("remaining", "r")) if n in roles]
+    bad += [F.count_if(~is_blank(F.col(roles[n])) & number_of(df, roles[n], "analytics").isNull())
+            for n in ("ordered_pallets", "delivered_pallets", "remaining_pallets") if n in roles]
     pallets = {name: F.sum(number_of(df, roles[name], "analytics"))
                for name in ("ordered_pallets", "delivered_pallets", "remaining_pallets") if name in roles}
     facts = rows.agg(

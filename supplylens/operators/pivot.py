@@ -185,13 +185,12 @@ def pivot_summary(df: DataFrame, row: str, column: str | None, value: str, agg:
 
 
 def long_pivot_top(df: DataFrame, row: str, column: str | None, value: str, agg: str = "sum",
-                   limit: int = 5000, **options) -> DataFrame:
-    """The cells of the largest absolute value, at most 50,000."""
+                   limit: int | None = None, **options) -> DataFrame:
+    """The ``limit`` cells of the largest absolute value; all cells where none is given."""
     if agg == "latest" and not options.get("order_by"):
         raise ValueError("latest needs an ordering column")
     cells = summary_cells(df, row, column, value, agg, **options)
-    return cells.orderBy(F.abs("value").desc_nulls_last(), "row_key", "column_key").limit(
-        max(1, min(50_000, limit)))
+    return cells if limit is None else cells.orderBy(F.abs("value").desc_nulls_last(), "row_key", "column_key").limit(max(1, limit))
 
 
 def long_to_wide(cells: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def delivery_findings(kpis: DataFrame) -> DataFrame:
     done = F.col("completion")
     level = F.when(done < 0.8, "high").when(done < 0.98, "medium").otherwise("low")
     head = _finding(kpis.where("completion IS NOT NULL"), F.lit("domain-delivery-completion"), "delivery", level,
-                    F.lit("completion"), done, F.lit(0.97))
+                    F.lit("completion"), done, F.lit(0.96))
     controls = ["invalid_numbers", "inconsistent", "over_delivered", "missing_documents"]
     found = F.filter(F.array(*[F.struct(F.lit(c).alias("subject"), F.col(c).cast("double").alias("value"))
                                for c in controls]), lambda x: x["value"] > 0)

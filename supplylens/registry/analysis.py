@@ -87,7 +87,7 @@ def classify_domain(spark, folder):
 
 
 @query(with_views("delivery") + """, k AS (SELECT sum(delivered) / sum(ordered) AS c, count(*) FILTER (WHERE delivered > 0 AND document_id IS NULL) AS m FROM delivery)
-    SELECT 'domain-delivery-completion' AS id, 'delivery' AS type, CASE WHEN c < 0.8 THEN 'high' WHEN c < 0.98 THEN 'medium' ELSE 'low' END AS severity, 'completion' AS subject, round(c, 6) AS value, 0.97::DOUBLE AS confidence FROM k
+    SELECT 'domain-delivery-completion' AS id, 'delivery' AS type, CASE WHEN c < 0.8 THEN 'high' WHEN c < 0.98 THEN 'medium' ELSE 'low' END AS severity, 'completion' AS subject, round(c, 6) AS value, 0.96::DOUBLE AS confidence FROM k
     UNION ALL SELECT 'domain-delivery-warning-0', 'delivery_control', 'medium', 'missing_documents', m, 0.95::DOUBLE FROM k WHERE m > 0""")
 def delivery_findings(spark, folder):
     return rounded(findings.delivery_findings(domain.delivery_kpis(delivery(spark, folder), DELIVERY)), 6)

@@ -11,8 +11,7 @@ from supplylens.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "6g",
-        "spark.driver.extraJavaOptions": "-Xss8m"})
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

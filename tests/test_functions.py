@@ -115,3 +115,13 @@ def test_calculated_columns_follow_dependencies(rows):
     assert (row.a, row.b) == (60.0, 61.0)
     with pytest.raises(ValueError):
         exprs.calculate(df, {"x": (["y"], lambda e: F.col("y"), "number"), "y": (["x"], lambda e: F.col("x"), "number")})
+
+
+def test_text_of_any_length_is_cleaned(spark):
+    from pyspark.sql import functions as F
+
+    from supplylens.functions.text import analytics_text, clean_text
+    long = "word " * 200_000
+    frame = spark.createDataFrame([(long,), (long.strip(),), ("a\u00a0 b",), ("abc\n",)], "t string")
+    got = frame.select(clean_text(F.col("t")).alias("a"), analytics_text(F.col("t")).alias("b")).collect()
+    assert got[0].a == got[1].a == got[1].b == long.strip() and got[2].a == "a b" and got[3].a == "abc"
