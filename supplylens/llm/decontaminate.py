@@ -19,7 +19,7 @@ from supplylens.llm.substrings import list_sets
 #: words are runs of digits, letters and all bytes beyond ASCII
 LETTERS = np.zeros(256, bool)
 LETTERS[0x30:0x3A] = LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 _TABLE_BITS = 20
 
 

@@ -16,7 +16,7 @@ from supplylens.llm.store import Workspace
 
 CAPACITY = 2048
 END = 0
-_CACHE_PIECES = 1 << 20
+_CACHE_PIECES = 1 << 18
 _ASCII = np.zeros(256, bool)
 _ASCII[0x21:0x7F] = True
 _BREAK = np.zeros(256, bool)

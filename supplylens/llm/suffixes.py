@@ -18,7 +18,7 @@ from supplylens.llm.substrings import list_sets
 _LAST = 2**63 - 1
 STRIDE = 16
 #: bytes that a task looks at together: it holds some ten numbers for each
-SHARE = 1 << 20
+SHARE = 512 << 10
 
 
 def _all(*parts: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 SPACES = b" \t\n\v\f\r"
 
 
