@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supplylens.llm import textarrays as T
@@ -14,6 +14,7 @@ from supplylens.llm.graph import components
 from supplylens.llm.store import Workspace
 
 COORDINATES = 64
+_SLICE = 1 << 16
 LETTERS = T.separators(T.SPACES)
 
 
@@ -121,11 +122,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
       members are all in one component are not merged again.
     * Merging: in each list the member with the most common values is the centre, and the others
       are compared with it, first by counting agreements, then on the full sets. After ``stars``
-      such rounds the lists that still hold several components are taken apart: whoever is not
-      with the centre is compared with all others, unless a bound rules the threshold out. The
-      bound is exact: two sets share no more than either has in common with any other set, so the
-      shingles that a set has alone count against it. A large group of copies so costs comparisons
-      in proportion to its size, and copies with many edits of their own cost none.
+      such rounds the members of lists that still hold several components are compared on the
+      rarest shingles of their full sets (``_refined``), an exact bound on what two sets can
+      share. A large group of copies so costs comparisons in proportion to its size, and copies
+      with many edits of their own cost none.
 
     Equal sets are one class from the start and are never paired. Text that is null, empty or
     without words has no shingles and is linked with nothing. Rows without a ``doc_id`` keep a
@@ -174,14 +174,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
                 labels.select(F.col("rep").alias("c"), F.col("component").alias("cc")), "c")
             pairs = pairs.distinct().join(other, "c").where("component <> cc")
         else:
-            left = open_lists.join(mixed, "key").join(
-                labels.select(F.col("rep").alias("centre"), F.col("component").alias("main")), "centre")
-            left = work.keep(left.join(_overlaps(left.select("rep").distinct(), texts, width), "rep")
-                             .where(f"100 * most >= {percent} * n").select("key", "rep", "n", "most", "component", "main"))
-            one, two = left.where("component <> main").alias("x"), left.alias("y")
-            pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & F.expr(
-                f"{100 + percent} * least(x.most, y.most) >= {percent} * (x.n + y.n)")).select(
-                "x.rep", "x.n", F.col("y.rep").alias("c"), F.col("y.n").alias("cn"))
+            left = open_lists.join(mixed, "key").select("rep", "component").distinct()
+            pairs = _refined(left, texts, width, percent, work)
         pairs = (pairs.where("100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
                  .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).where("a < b").distinct())
         if tested is not None:
@@ -211,21 +205,43 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps = batch.column("rep").to_numpy()
             for chunk, hashes, bounds in shingle_sets(batch.column("text"), width):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(reps[chunk.first:chunk.first + chunk.n], np.diff(bounds))),
-                     pa.array(hashes.view(np.int64))], ["rep", "s"])
+                part, size = slice(chunk.first, chunk.first + chunk.n), np.diff(bounds)
+                row = np.repeat(np.arange(chunk.n), size)
+                for at in range(0, len(hashes), _SLICE):
+                    some = pa.array(row[at:at + _SLICE])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("rep")[part].take(some), batch.column("h")[part].take(some),
+                         pa.array(size).take(some), pa.array(hashes[at:at + _SLICE].view(np.int64))], ["rep", "h", "n", "s"])
     return run
 
 
-def _overlaps(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``rep, most``: the shingles of each set that any other of these sets has, so its greatest overlap."""
-    rows = texts.join(reps, "rep").select("rep", "text").mapInArrow(_shingles(width), "rep long, s long")
-    met = rows.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    own = met.where("lo = hi").groupBy(F.col("lo").alias("rep")).agg(F.count("*").alias("own"))
-    size = rows.groupBy("rep").agg(F.count("*").alias("all"))
-    return size.join(own, "rep", "left").select("rep", (F.col("all") - F.coalesce("own", F.lit(0))).alias("most"))
+def _refined(left: DataFrame, texts: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
+    """``rep, n, c, cn``: pairs of ``left`` from two components that their rarest shingles let reach the threshold.
+
+    The shingles of a set are ordered from the rarest. If two sets first meet in a shingle with x
+    and y of their shingles left from there on, they share no more than min(x, y); pairs for
+    which this is too few are never made. Each shingle's most common component is not compared
+    within itself.
+    """
+    rows = work.keep(texts.join(left.select("rep"), "rep").select("rep", "h", "text").mapInArrow(
+        _shingles(width), "rep long, h long, n long, s long"))
+    shared = work.keep(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    rank = F.row_number().over(Window.partitionBy("rep", "h").orderBy(F.desc("df"), F.desc("s")))
+    prefix = rows.join(shared, "s").select("rep", "n", "s", rank.alias("rest")).where(f"100 * rest >= {percent} * n")
+    prefix = work.keep(prefix.join(left, "rep"))
+    heads = work.keep(prefix.groupBy("s", "component").agg(F.count("*").alias("m"), F.min("n").alias("n"))
+                      .groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"),
+                                        F.max(F.struct("m", "component")).alias("top"))
+                      .where("lo < hi").select("s", "least", F.col("top.component").alias("main")))
+    met = work.keep(prefix.join(heads, "s").where(f"{100 + percent} * rest >= {percent} * (n + least)")
+                    .select("s", "rep", "n", "rest", "component", (F.col("component") == F.col("main")).alias("inside")))
+    x, y = met.where("not inside").alias("x"), met.alias("y")
+    return x.join(y, F.expr(
+        f"x.s = y.s and x.component <> y.component and (y.inside or x.rep < y.rep) "
+        f"and {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n) "
+        f"and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).select(
+        "x.rep", "x.n", F.col("y.rep").alias("c"), F.col("y.n").alias("cn"))
 
 
 def _agreeing(pairs: DataFrame, texts: DataFrame, matches: int) -> DataFrame:
