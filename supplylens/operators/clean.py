@@ -233,14 +233,19 @@ def validation_summary(checked: DataFrame) -> DataFrame:
     return checked.select(F.inline(events)).groupBy("kind", "code").agg(F.count("*").alias("rows"))
 
 
-def revalidate(fixed: DataFrame, valid: DataFrame, source_columns: list[str],
+def revalidate(fixed: DataFrame, valid: DataFrame, source_columns: list[str], order: list[str],
                required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Fixed rows that now pass and whose key is not among the valid rows; and the rest."""
+    """Fixed rows that now pass and whose key no valid row has; and the rest.
+
+    An accepted row joins the valid ones, so of fixed rows with one key only the first by
+    ``order`` is accepted.
+    """
     checked = validate(fixed.drop("errors", "warnings"), required)
     checked = checked.withColumn("duplicate_key", duplicate_key(checked, source_columns))
     good, bad = split_valid(checked)
     taken = valid.select("duplicate_key").distinct()
-    accepted = good.join(taken, "duplicate_key", "left_anti")
-    repeated = good.join(taken, "duplicate_key", "left_semi").withColumn(
-        "errors", F.array(F.lit("duplicate_record")))
-    return accepted, bad.unionByName(repeated)
+    tagged = tag_duplicates(good.join(taken, "duplicate_key", "left_anti"), F.col("duplicate_key"), order)
+    accepted = tagged.where("duplicate_of IS NULL").drop("duplicate_of")
+    repeated = good.join(taken, "duplicate_key", "left_semi").unionByName(
+        tagged.where("duplicate_of IS NOT NULL").drop("duplicate_of"))
+    return accepted, bad.unionByName(repeated.withColumn("errors", F.array(F.lit("duplicate_record"))))

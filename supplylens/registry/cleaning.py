@@ -80,16 +80,16 @@ def process_dataset(spark, folder):
                                 F.lower("material").alias("material"), "validation_status"))
 
 
-@query(CLEAN + """SELECT 'accepted' AS outcome, count(*) AS n FROM raw r WHERE len(errors) > 0 AND NOT EXISTS (
-        SELECT 1 FROM kept k WHERE k.place = 1 AND k.record_id = r.record_id)
-    UNION ALL SELECT 'duplicate_record', count(*) FROM raw r WHERE len(errors) > 0 AND EXISTS (
-        SELECT 1 FROM kept k WHERE k.place = 1 AND k.record_id = r.record_id)""")
+@query(CLEAN + """SELECT unnest(['accepted', 'duplicate_record']) AS outcome, unnest([accepted, fixed - accepted]) AS n FROM (
+    SELECT count(*) AS fixed, count(DISTINCT CASE WHEN NOT EXISTS (
+        SELECT 1 FROM kept k WHERE k.place = 1 AND k.record_id = r.record_id) THEN r.record_id END) AS accepted
+    FROM raw r WHERE len(errors) > 0)""")
 def revalidate_rows(spark, folder):
     raw = raw_usage(spark, folder)
     good, bad = clean.split_valid(clean.validate(raw))
     kept, _ = clean.dedupe(good, SOURCE, ORDER)
     fixed = bad.withColumns({"date": F.lit("2001-01-01"), "material": F.lit("x"), "quantity": F.lit("1")})
-    accepted, rest = clean.revalidate(fixed, kept, SOURCE)
+    accepted, rest = clean.revalidate(fixed, kept, SOURCE, ORDER)
     counts = [accepted.agg(F.lit("accepted").alias("outcome"), F.count("*").alias("n")),
               rest.agg(F.lit("duplicate_record").alias("outcome"), F.count("*").alias("n"))]
     return counts[0].unionByName(counts[1])

@@ -101,8 +101,12 @@ def test_validate_and_dedupe(rows):
     assert summary[("total", "all")] == 8 and summary[("total", "valid")] == 2 and summary[("total", "duplicate")] == 2
     fixed = df.where("source_row IN (2, 4)").withColumn("date", F.lit("2024-02-02")).withColumn("quantity", F.lit("3"))
     fixed = fixed.withColumn("record_id", F.when(F.col("source_row") == 4, "R1").otherwise(F.col("record_id")))
-    accepted, rest = clean.revalidate(fixed, valid, columns)
+    accepted, rest = clean.revalidate(fixed, valid, columns, ["source_row"])
     assert [r.source_row for r in accepted.collect()] == [2] and [r.source_row for r in rest.collect()] == [4]
+    same = fixed.withColumn("record_id", F.lit("R77"))  # two fixed rows of one key: the first wins
+    accepted, rest = clean.revalidate(same, valid, columns, ["source_row"])
+    assert [r.source_row for r in accepted.collect()] == [2]
+    assert [(r.source_row, r.errors) for r in rest.collect()] == [(4, ["duplicate_record"])]
 
 
 def test_canonical_spelling(rows):
