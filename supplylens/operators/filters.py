@@ -134,5 +134,12 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame:
-    """The same ``n`` rows for the same data: those with the lowest hash of their content."""
-    return df.orderBy(F.xxhash64(*(key or df.columns)), *(key or df.columns)).limit(n)
+    """The ``n`` rows with the lowest hash, the same ones for the same data.
+
+    ``key`` columns tell all rows apart. Without them the row's place in its input is hashed,
+    so that equal rows are drawn one by one and keep their share.
+    """
+    if key:
+        return df.orderBy(F.xxhash64(*key), *key).limit(n)
+    placed = df.withColumn("_draw", F.xxhash64(F.monotonically_increasing_id()))
+    return placed.orderBy("_draw").limit(n).drop("_draw")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +50,30 @@ def normalize_role_table(df: DataFrame, role: str, stock_mode: str = "snapshot")
     return df
 
 
-def union_role(tables: list[DataFrame], fields: list[str]) -> DataFrame:
-    """All tables of one role; extra source columns stay, renamed where they clash."""
-    def safe(table: DataFrame, mapped: list[str]) -> DataFrame:
-        return table.select(*[F.col(f"`{c}`").alias(c if c in mapped or c not in fields else f"Źródło: {c}")
-                              for c in table.columns])
+def source_labels(headers: list[str], fields: list[str]) -> dict[str, str]:
+    """A free name per source header: marked as source where a field has it, numbered where taken."""
+    names = dict.fromkeys(fields)
+    labels = {}
+    for header in dict.fromkeys(headers):
+        base = f"Źródło: {header}" if header in names else header
+        labels[header] = next(n for n in chain([base], (f"{base} ({i})" for i in count(2))) if n not in names)
+        names[labels[header]] = None
+    return labels
 
-    stacked = safe(tables[0], fields)
-    for table in tables[1:]:
-        stacked = stacked.unionByName(safe(table, fields), allowMissingColumns=True)
+
+def union_role(tables: list[DataFrame], fields: list[str], unmapped: list[set[int]] | None = None) -> DataFrame:
+    """All tables of one role; extra source columns stay, renamed where they clash.
+
+    ``unmapped`` has, for each table, the positions of the columns that the mapping left as they
+    came: such a column stays apart from a field of the same name. Without it, columns named as
+    a field are that field.
+    """
+    extra = unmapped or [{i for i, c in enumerate(t.columns) if c not in fields} for t in tables]
+    labels = source_labels([c for t, x in zip(tables, extra) for i, c in enumerate(t.columns) if i in x], fields)
+    renamed = [t.toDF(*[labels[c] if i in x else c for i, c in enumerate(t.columns)]) for t, x in zip(tables, extra)]
+    stacked = renamed[0]
+    for table in renamed[1:]:
+        stacked = stacked.unionByName(table, allowMissingColumns=True)
     return stacked
 
 

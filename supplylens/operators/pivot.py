@@ -225,8 +225,23 @@ def chart_series(long: DataFrame, rows: list[str], value: str, kind: str = "bar"
     return cells.join(shown, test, "left_semi")
 
 
+def class_statistics(valid: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows per class, with quantity and date ranges of the valid rows; one row.
+
+    ``rejected`` has the ``errors`` of each row; a row with ``duplicate_record`` is a duplicate.
+    """
+    kind = F.when(F.array_contains("errors", "duplicate_record"), "duplicate").otherwise("invalid")
+    rows = valid.select(F.lit("valid").alias("kind"), "quantity", "date").unionByName(
+        rejected.select(kind.alias("kind")), allowMissingColumns=True)
+    counts = [F.count_if(F.col("kind") == k).alias(f"{k}_rows") for k in ("valid", "invalid", "duplicate")]
+    return rows.agg(F.count("*").alias("source_rows"), *counts, F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity_sum"),
+                    F.coalesce(F.avg("quantity"), F.lit(0.0)).alias("quantity_avg"),
+                    F.min("quantity").alias("quantity_min"), F.max("quantity").alias("quantity_max"),
+                    F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+
+
 def dataset_statistics(df: DataFrame) -> DataFrame:
-    """Rows per validation status with quantity and date ranges, one row."""
+    """Rows with quantity and date ranges, one row; :func:`class_statistics` counts the classes."""
     return df.agg(F.count("*").alias("rows"), F.count("quantity").alias("quantities"),
                   F.sum("quantity").alias("quantity_sum"), F.avg("quantity").alias("quantity_avg"),
                   F.min("quantity").alias("quantity_min"), F.max("quantity").alias("quantity_max"),

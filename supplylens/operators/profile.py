@@ -278,12 +278,15 @@ class Profile:
 
 
 def profile(df: DataFrame, fields: list[str] | None = None, mode: str = "full", sample: int = 20_000,
-            **options) -> Profile:
-    """Full mode reads all rows; quick mode a repeatable sample and scales missing counts."""
+            key: list[str] | None = None, **options) -> Profile:
+    """Full mode reads all rows; quick mode a repeatable sample and scales missing counts.
+
+    ``key`` columns tell the rows apart for the sample.
+    """
     if mode == "full":
         return Profile(df, fields, **options)
     from supplylens.operators.filters import sample_rows
-    return Profile(sample_rows(df, sample, fields), fields, total_rows=df.count(), **options)
+    return Profile(sample_rows(df, sample, key), fields, total_rows=df.count(), **options)
 
 
 # ---- roles -------------------------------------------------------------------------------

@@ -132,15 +132,23 @@ def quality_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.withColumn("filled_percent", F.floor((1 - F.col("empty") / F.col("rows")) * 100 + 0.5).cast("int"))
 
 
-def row_accounting(original: DataFrame, analyzed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``check, left, right, passed``: rows and columns add up."""
+def row_accounting(original: DataFrame, analyzed: DataFrame, profiles: DataFrame,
+                   excluded: DataFrame | None = None) -> DataFrame:
+    """``check, left, right, passed``: rows and columns add up.
+
+    ``excluded`` are the rows that the analysis leaves out, found by what leaves them out and
+    not as a difference of counts.
+    """
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.lit(1).alias("_one"), F.count("*").alias(name))
 
-    counts = count(original, "o").join(count(analyzed, "a"), "_one").join(count(profiles, "p"), "_one")
+    left_out = original.limit(0) if excluded is None else excluded
+    counts = (count(original, "o").join(count(analyzed, "a"), "_one").join(count(profiles, "p"), "_one")
+              .join(count(left_out, "x"), "_one"))
+    total = F.col("a") + F.col("x")
     columns = F.lit(len(analyzed.columns)).cast("bigint")
     return counts.select(F.inline(F.array(
         F.struct(F.lit("rows").alias("check"), F.col("o").alias("left"),
-                 (F.col("a") + (F.col("o") - F.col("a"))).alias("right"), (F.col("a") <= F.col("o")).alias("passed")),
+                 total.alias("right"), (F.col("o") == total).alias("passed")),
         F.struct(F.lit("columns").alias("check"), columns.alias("left"), F.col("p").alias("right"),
                  (columns == F.col("p")).alias("passed")))))

@@ -328,6 +328,18 @@ def cramers_v(df: DataFrame, dimensions: list[str], maximum_levels: int = 50) ->
     return sizes.join(sums, pair, "left").select(*pair, "n", "rows", "columns", value.alias("cramers_v"))
 
 
+def reported(found: DataFrame, value: str) -> DataFrame:
+    """Associations worth a report, strongest first, with ``strength`` and ``confidence``.
+
+    Values from fewer than 8 rows are left out; the sample adds up to 0.25 to the confidence.
+    """
+    strength, n = F.col("strength"), F.col("n")
+    score = clamp(F.lit(0.45) + F.least(F.lit(0.25), n / 1000) + strength * 0.3)
+    kept = found.where((n >= 8) & F.col(value).isNotNull()).withColumn("strength", F.col(value))
+    names = [c for c in found.columns if c.endswith("_field")]
+    return kept.withColumn("confidence", F.round(score, 3)).orderBy(strength.desc(), *names)
+
+
 def score_confidence(sample: Column, completeness: Column, stability: Column, effect: Column) -> Column:
     """Mean of four factors between 0 and 1; the sample counts by its magnitude up to 1000."""
     size = clamp(F.log10(F.greatest(F.lit(1), sample)) / 3)

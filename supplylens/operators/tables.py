@@ -96,8 +96,8 @@ def header_jaccard(left: Column, right: Column) -> Column:
 
 
 def row_signatures(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct digests of the first 12 cells of each row that is not empty."""
-    text = F.concat_ws("␟", *[F.nullif(analytics_text(cell_text(df, c)), F.lit("")) for c in columns[:12]])
+    """Distinct digests of the cells of each row that is not empty."""
+    text = F.concat_ws("␟", *[F.nullif(analytics_text(cell_text(df, c)), F.lit("")) for c in columns])
     return df.select(text.alias("t")).where("t != ''").select(F.sha2("t", 256).alias("signature")).distinct()
 
 

@@ -48,19 +48,21 @@ def auto_pivots(roles: list, date: str | None, measure: str | None, granularity:
 
 def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mode: str = "full",
             associations_sample: int | None = None, maximum_findings: int = 300,
-            maximum_pivot_rows: int = 100) -> dict[str, DataFrame]:
+            maximum_pivot_rows: int = 100, maximum_measures: int | None = None, maximum_dimensions: int | None = None,
+            maximum_levels: int = 50) -> dict[str, DataFrame]:
     """Run every stage on one table; returns named DataFrames.
 
     ``order`` columns identify a row and give the source order. The driver reads only the
     profile, one row per column, to choose fields. Associations use all rows unless a sample
-    size is given.
+    size is given, and all measures and all dimensions of up to ``maximum_levels`` values unless
+    a maximum is given.
     """
     fields = fields or [c for c in df.columns if not c.startswith("source_")]
     raw = dom.classify_raw(df, fields)
     rows = df
     if raw["domain"] == "hierarchical_delivery_plan":
         rows = checkpointed(dom.prepare_hierarchy(df, raw["material"], order, fields).drop("filled_down"))
-    profiled = profile(rows, fields, mode)
+    profiled = profile(rows, fields, mode, key=order)
     roles = semantic_roles(profiled.columns)
     table = sorted(roles.collect(), key=lambda r: r["position"])  # one row per column
     size = table[0]["row_count"] if table else 0
@@ -85,7 +87,7 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
         parts.append(findings.outlier_findings(results["outlier_summary"]))
 
     granularity, line, movers, trend = "month", None, None, None
-    kept = sorted((r for r in measures if (r["numeric_count"] or 0) >= 3), key=lambda r: -r["numeric_count"])[:8]
+    kept = sorted((r for r in measures if (r["numeric_count"] or 0) >= 3), key=lambda r: -r["numeric_count"])[:maximum_measures]
     if date and kept:
         day = date_of(rows, date, "analytics", convention)
         granularity = rows.agg(granularity_for(F.min(day), F.max(day)).alias("g")).first()["g"]
@@ -103,19 +105,19 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
 
     sampled = sample_rows(rows, associations_sample, order) if associations_sample else rows
     numeric = [r["column"] for r in sorted((r for r in measures if (r["numeric_count"] or 0) >= 5),
-                                           key=lambda r: -r["numeric_count"])[:10]]
+                                           key=lambda r: -r["numeric_count"])[:maximum_measures]]
     dimensions = [r["column"] for r in sorted(
-        (r for r in table if r["analytical_role"] == "dimension" and 2 <= r["unique_count"] <= 50),
-        key=lambda r: r["unique_count"])[:8]]
+        (r for r in table if r["analytical_role"] == "dimension" and 2 <= r["unique_count"] <= maximum_levels),
+        key=lambda r: r["unique_count"])[:maximum_dimensions]]
     pairs = None
     if len(numeric) > 1:
         pairs = checkpointed(stats.numeric_associations(sampled, numeric))
         results["correlations"] = pairs
         parts.append(findings.correlation_findings(pairs))
     if numeric and dimensions:
-        results["category_measure"] = stats.eta_squared(sampled, dimensions[:5], numeric[:6])
+        results["category_measure"] = stats.reported(stats.eta_squared(sampled, dimensions, numeric), "eta_squared")
     if len(dimensions) > 1:
-        results["category_pairs"] = stats.cramers_v(sampled, dimensions[:6])
+        results["category_pairs"] = stats.reported(stats.cramers_v(sampled, dimensions), "cramers_v")
 
     ranking = None
     for spec in auto_pivots(table, date, chosen["measure"], granularity):
@@ -159,5 +161,6 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
             best = trend.orderBy(F.desc("confidence"), "measure").limit(1).select("measure")
             top = movers.join(F.broadcast(best), "measure", "left_semi")
         results["charts"] = findings.chart_datasets(line, trend, ranking, pairs, scatter, bars, top)
-    results["checks"] = quality.row_accounting(df, rows.select(*fields), roles)
+    left_out = None if rows is df else df.join(rows.select(*order), order, "left_anti")
+    results["checks"] = quality.row_accounting(df, rows.select(*fields), roles, left_out)
     return results

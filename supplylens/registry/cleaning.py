@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.operators import clean, filters, transform
+from supplylens.operators import clean, filters, pivot, transform
 from supplylens.registry import query, rounded
 from supplylens.registry.texts import _pick
 from supplylens.registry.views import CTE, ORDER, table, usage, with_views
@@ -80,6 +80,13 @@ def process_dataset(spark, folder):
                                 F.lower("material").alias("material"), "validation_status"))
 
 
+@query(CLEAN + """SELECT (SELECT count(*) FROM raw) AS source_rows, count(*) AS valid_rows, (SELECT count(*) FROM raw WHERE len(errors) > 0) AS invalid_rows,
+    (SELECT count(*) FROM kept WHERE place > 1) AS duplicate_rows, round(sum(q), 4) AS quantity_sum, round(avg(q), 4) AS quantity_avg, min(q) AS quantity_min, max(q) AS quantity_max,
+    min(d) AS date_min, max(d) AS date_max FROM kept WHERE place = 1""")
+def class_statistics(spark, folder):
+    return rounded(pivot.class_statistics(*clean.process_dataset(raw_usage(spark, folder), SOURCE, ORDER)))
+
+
 @query(CLEAN + """SELECT unnest(['accepted', 'duplicate_record']) AS outcome, unnest([accepted, fixed - accepted]) AS n FROM (
     SELECT count(*) AS fixed, count(DISTINCT CASE WHEN NOT EXISTS (
         SELECT 1 FROM kept k WHERE k.place = 1 AND k.record_id = r.record_id) THEN r.record_id END) AS accepted

@@ -226,13 +226,13 @@ def combine_tables(spark, folder):
     return identity.combine(parts).withColumnRenamed("source_sheet", "side")
 
 
-@query("""SELECT 'a' AS t, l_orderkey AS record, l_quantity AS quantity, l_tax AS extra, NULL AS "Źródło: quantity" FROM lineitem WHERE l_returnflag = 'A'
-    UNION ALL SELECT 'b', l_orderkey, NULL, NULL, l_quantity FROM lineitem WHERE l_returnflag <> 'A'""")
+@query("""SELECT 'a' AS t, l_orderkey AS record, l_quantity AS quantity, l_tax AS "Źródło: quantity", NULL AS "Źródło: quantity (2)" FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT 'b', l_orderkey, l_discount, NULL, l_quantity FROM lineitem WHERE l_returnflag <> 'A'""")
 def union_role_tables(spark, folder):
     line = table(spark, folder, "lineitem")
-    a = line.where("l_returnflag = 'A'").select(F.lit("a").alias("t"), F.col("l_orderkey").alias("record"), F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("extra"))
-    b = line.where("l_returnflag <> 'A'").select(F.lit("b").alias("t"), F.col("l_orderkey").alias("record"), F.col("l_quantity").alias("Źródło: quantity"))
-    return rounded(identity.union_role([a, b], ["t", "record", "quantity"]))
+    a = line.where("l_returnflag = 'A'").select(F.lit("a").alias("t"), F.col("l_orderkey").alias("record"), F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("Źródło: quantity"))
+    b = line.where("l_returnflag <> 'A'").select(F.lit("b").alias("t"), F.col("l_orderkey").alias("record"), F.col("l_discount").alias("quantity"), F.col("l_quantity").alias("quantity"))
+    return rounded(identity.union_role([a, b], ["t", "record", "quantity"], [{3}, {3}]))
 
 
 @query(with_views("usage") + """ SELECT count(*) AS n, count(DISTINCT material_code) AS codes, sum(quantity) AS quantity,

@@ -170,10 +170,13 @@ def quality_table(spark, folder):
     return rounded(quality.quality_table(rows).drop("rows"))
 
 
-@query("""SELECT 'rows' AS "check", count(*) AS "left", count(*) AS "right", true AS passed FROM part UNION ALL SELECT 'columns', 6, 6, true FROM (SELECT count(*) FROM part)""")
+@query("""SELECT 'rows' AS "check", count(*) AS "left", count(*) FILTER (WHERE p_size > 10) + count(*) FILTER (WHERE p_size <= 10) AS "right",
+    count(*) = count(*) FILTER (WHERE p_size > 10) + count(*) FILTER (WHERE p_size <= 10) AS passed FROM part
+    UNION ALL SELECT 'columns', count(*), count(*), true FROM (DESCRIBE part)""")
 def row_accounting(spark, folder):
     rows = table(spark, folder, "part")
-    return quality.row_accounting(rows, rows, profile.profile(rows).columns)
+    kept = rows.where("p_size > 10")
+    return quality.row_accounting(rows, kept, profile.profile(kept).columns, rows.where("p_size <= 10"))
 
 
 # ---- anomalies ---------------------------------------------------------------------------
@@ -303,6 +306,13 @@ def eta_squared(spark, folder):
     return rounded(stats.eta_squared(usage(spark, folder), ["brand", "category"], ["quantity", "value"]), 8)
 
 
+@query(with_views("usage") + " SELECT category_field, measure_field, n, eta_squared AS strength, round(0.45 + least(0.25, n / 1000) + 0.3 * eta_squared, 3) AS confidence FROM (" + " UNION ALL ".join(
+    _eta(c, n) for c in ("brand", "category") for n in ("quantity", "value")) + ") WHERE n >= 8")
+def category_associations(spark, folder):
+    found = stats.eta_squared(usage(spark, folder), ["brand", "category"], ["quantity", "value"])
+    return rounded(stats.reported(found, "eta_squared").select("category_field", "measure_field", "n", "strength", "confidence"), 8)
+
+
 def _cramer(a: str, b: str) -> str:
     return f"""SELECT '{a}' AS left_field, '{b}' AS right_field, max(n) AS n, max(ra) AS "rows", max(cb) AS "columns", round(sqrt(sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)) / (max(n) * least(max(ra) - 1, max(cb) - 1))), 8) AS cramers_v
         FROM ((SELECT {a} AS x, count(*) AS r, (SELECT count(*) FROM usage) AS n, (SELECT count(DISTINCT {a}) FROM usage) AS ra, (SELECT count(DISTINCT {b}) FROM usage) AS cb FROM usage GROUP BY {a})

@@ -81,7 +81,26 @@ def test_types_and_errors(rows):
 def test_quick_profile_scales_missing(rows):
     df = rows([(i, None if i % 2 else "a") for i in range(100)], "i int, v string")
     row = profile.profile(df, ["i", "v"], "quick", 20).columns.where("column = 'v'").first()
-    assert abs(row.missing_ratio - 0.5) <= 0.35 and row.row_count == 100 and row.analyzed_rows == 20
+    assert row.row_count == 100 and row.analyzed_rows == 20
+    few = rows([("abc"[i % 3] if i % 4 else None,) for i in range(4000)], "v string")
+    row = profile.profile(few, ["v"], "quick", 400).columns.first()
+    assert abs(row.missing_ratio - 0.25) <= 0.1 and row.unique_count == 3
+
+
+def test_reported_associations_need_eight_values(rows):
+    few = rows([(str(i % 2), float(i)) for i in range(7)], "k string, a double")
+    assert stats.reported(stats.eta_squared(few, ["k"], ["a"]), "eta_squared").count() == 0
+    more = rows([(str(i % 2), float(i % 2)) for i in range(8)], "k string, a double")
+    row = stats.reported(stats.eta_squared(more, ["k"], ["a"]), "eta_squared").first()
+    assert row.strength == pytest.approx(1.0) and row.confidence == pytest.approx(0.758)
+
+
+def test_row_accounting_finds_a_lost_row(rows):
+    df = rows([(i,) for i in range(6)], "i int")
+    columns = rows([("i",)], "column string")
+    found = {r["check"]: r for r in quality.row_accounting(df, df.where("i > 2"), columns, df.where("i < 2")).collect()}
+    assert not found["rows"].passed and found["rows"].right == 5 and found["columns"].passed
+    assert all(r.passed for r in quality.row_accounting(df, df, columns).collect())
 
 
 def test_histogram_and_quantiles(rows):

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from supplylens.operators import filters, identity, inventory, pivot
+from supplylens.operators import filters, identity, inventory, pivot, tables
 from supplylens.plans import planning
 
 USAGE = "source_row int, date date, material string, material_code string, sku string, quantity double, unit string"
@@ -209,3 +209,13 @@ def test_combine(rows):
         identity.combine([a, a.withColumnRenamed("x", "y")])
     extra = identity.union_role([a.withColumn("quantity", F.lit("q")), b.withColumn("z", F.lit(1))], ["x", "quantity"])
     assert set(extra.columns) == {"x", "source_file", "quantity", "z"}
+    both = identity.union_role([a.toDF("x", "Źródło: x"), b.toDF("x", "x")], ["x"], [{1}, {1}])
+    assert both.columns == ["x", "Źródło: x", "Źródło: x (2)"] and both.where("x = 2").first()[2] == "g"
+    assert identity.source_labels(["x", "Źródło: x"], ["x"]) == {"x": "Źródło: x", "Źródło: x": "Źródło: Źródło: x"}
+
+
+def test_overlap_reads_all_columns(rows):
+    names = [f"c{i}" for i in range(14)]
+    schema = ", ".join(f"{c} string" for c in names)
+    a, b = (rows([tuple("v" * 13 + end)], schema) for end in "xy")
+    assert tables.overlap(a, b, names, names).first().common == 0
