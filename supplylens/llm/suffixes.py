@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +57,12 @@ class Suffixes:
         b = self.blocks
         return _all(self.span(b.first, self.length), self.span(b.last, self.length), b.last - b.first, b.anchor - b.first)
 
-    def pieces(self, some: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pieces(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of ``STRIDE`` windows, at fixed distances from the anchor, that some blocks touch.
 
         Returns the start of each (each place once), its row, the bucket of what all its windows
-        have in common, and the bucket of all of them. The latter is unlike any other where the
-        piece goes over the ends of the row.
+        have in common, the bucket of all of them, and whether the piece goes over the ends of
+        the row. There is no bucket of all (0) where it does.
         """
         b = self.blocks
         anchor = b.anchor[some]
@@ -73,9 +74,9 @@ class Suffixes:
         common = self.span(start + STRIDE - 1, self.length - STRIDE + 1)
         over = (start < self.bounds[row]) | (start + STRIDE - 1 + self.length > self.bounds[row + 1])
         fits = np.flatnonzero(~over)
-        union = _all(start, rows[row])
+        union = np.zeros(len(start), np.uint64)
         union[fits] = self.span(start[fits], self.length + STRIDE - 1)
-        return start, row, common, union
+        return start, row, common, union, over
 
     def windows_of(self, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.unique((start[:, None] + np.arange(STRIDE)).ravel())
@@ -118,12 +119,17 @@ def _scan(q: int, length: int):
 
 def _open_pieces(q: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             sets, docs = list_sets(batch.column("open")), batch.column("doc").to_numpy()
             for chunk in T.chunks(batch.column("text"), SHARE):
                 s = Suffixes(chunk, q, length)
                 some = A.own(s.extents(), chunk.first + s.blocks.row, sets)
-                _, row, common, union = s.pieces(some, docs[chunk.first:chunk.first + chunk.n].view(np.uint64))
+                _, row, common, union, over = s.pieces(some)
+                # over an end: unlike any other, and never looked up again
+                ends = np.flatnonzero(over)
+                union[ends] = _all(np.full(len(ends), task), made + np.arange(len(ends)))
+                made += len(ends)
                 union, row, times, common = _counted(union, row, common)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(common.view(np.int64)), pa.array(union.view(np.int64)),
@@ -139,8 +145,8 @@ def _open_windows(q: int, length: int):
             for chunk in T.chunks(batch.column("text"), SHARE):
                 s = Suffixes(chunk, q, length)
                 some = A.own(s.extents(), chunk.first + s.blocks.row, sets)
-                start, row, _, union = s.pieces(some, docs[chunk.first:chunk.first + chunk.n].view(np.uint64))
-                wanted = A.own(union, chunk.first + row, pieces)
+                start, row, _, union, over = s.pieces(some)
+                wanted = over | A.own(union, chunk.first + row, pieces)
                 at, row = s.windows_of(start[wanted], row[wanted])
                 hashes, row, times = _counted(s.span(at, length), row)
                 yield pa.RecordBatch.from_arrays(
@@ -159,8 +165,8 @@ def _cut(q: int, length: int):
                 s = Suffixes(chunk, q, length)
                 b, extents = s.blocks, s.extents()
                 some = A.own(extents, chunk.first + b.row, whole)
-                start, row, _, union = s.pieces(A.own(extents, chunk.first + b.row, opened), docs[part].view(np.uint64))
-                hit = A.own(union, chunk.first + row, pieces)
+                start, row, _, union, over = s.pieces(A.own(extents, chunk.first + b.row, opened))
+                hit = A.own(union, chunk.first + row, pieces) & ~over
                 at, row = s.windows_of(start, row)
                 one = A.own(s.span(at, length), chunk.first + row, single)
                 gone = A.covered(len(s.row), np.concatenate([b.first[some], start[hit], at[one]]), np.concatenate(
@@ -211,7 +217,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, length: int = 200, q:
 
     Every level is a sum per identifier, combined before the shuffle, and a join back, so a
     string with very many copies is never gathered. A third level piece is dropped early when
-    what all its windows have in common occurs once.
+    what all its windows have in common occurs once. A piece over an end of its text has no
+    identifier that another could share; the windows of such pieces are always counted.
 
     Null texts are empty. Rows that repeat an id, and repeated rows, count as places of their own.
     Other columns are ignored.

@@ -106,6 +106,39 @@ def test_strings_against_brute_force(spark, docs, nothing):
     assert suffixes.repeated_strings(spark, nothing).count() == 0
 
 
+def test_strings_at_the_ends_of_texts(spark):
+    """Repeats that begin or end a text, with other neighbours and offsets in every partition."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    rows = []
+    for k in range(60):
+        repeat = noise(200 + k % 3)
+        rows += [(k, repeat + noise(rng.randrange(50, 900))), (100 + k, noise(rng.randrange(50, 900)) + repeat), (200 + k, noise(rng.randrange(900)))]
+        short = noise(150)  # too short to count, yet long enough to be looked at
+        rows += [(-1 - k, short + noise(rng.randrange(50, 900))), (-100 - k, noise(rng.randrange(50, 900)) + short + noise(70))]
+    rows += [(400, rows[0][1]), (401, rows[1][1] + " tail"), (7, "x" + rows[4][1]), (None, rows[7][1]), (None, rows[7][1]), (None, noise(300))]
+    rng.shuffle(rows)
+    count = Counter(t[a:a + 200] for _, t in rows for a in range(len(t) - 199))
+    want = Counter()
+    for k, t in rows:
+        gone = [False] * len(t)
+        for a in range(len(t) - 199):
+            if count[t[a:a + 200]] > 1:
+                gone[a:a + 200] = [True] * 200
+        kept = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        want[(k, len(t), sum(gone), sum(g and not b for g, b in zip(gone, [False, *gone], strict=False)), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.enabled": "false"}
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+        assert Counter(tuple(r) for r in suffixes.repeated_strings(spark, docs).collect()) == want
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
 @pytest.mark.parametrize("block", [4 << 20, 40])
 def test_contamination_against_brute_force(spark, docs, texts, nothing, block):
     items = [(1, " ".join(texts[7].split()[5:30])), (2, "ONE two"), (10, texts[8]), (11, ""), (12, None), (3, "not here")]
