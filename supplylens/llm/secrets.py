@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # words around which a string that nothing explains is likely to be a secret
 SENSITIVE = re.compile(r"(?:passw|passwd|secret|token|api.?key|credential|private|auth|bearer|signature|licen[cs]e.?key)", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,512}")
+SHORTEST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: a run is judged on this many characters first, and on all of it where they do not suffice
+HEAD = 512
+# what continues a reported run: parts joined by dots, the last one long; lines that hold nothing else
+DOTTED = re.compile(r"(?:\.[A-Za-z0-9+/_=-]*)*\.[A-Za-z0-9+/_=-]{20,}")
+LINE = re.compile(r"""(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_=-]+)(?=[ \t]*(?:\r?\n|\\r|\\n|["'`,;]|\Z))""")
+LAST = re.compile(r"(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)-----END")
 IDENTIFIERS = (b"username password passwd secret token api_key apikey access_key private_key client_id client_secret "
                b"authorization bearer credential signature session cookie header request response config settings "
                b"environment variable production development staging endpoint connection database localhost "
@@ -50,26 +59,97 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _continued(text: str, start: int, end: int, novel) -> int:
+    """Where the run ``start`` to ``end`` ends with its dot-joined parts and the lines of its block.
+
+    A line belongs to the block if it is as wide as the first one or is novel by itself. A shorter
+    line than candidates are is the last one, if it has more than letters or the end mark follows.
+    """
+    dotted = DOTTED.match(text, end)
+    if dotted:
+        return dotted.end()
+    escaped = text.startswith("\\n", start - 1)  # the n of a written line break is not of the first line
+    width = end - start - escaped
+    while m := LINE.match(text, end):
+        a, b = m.span(1)
+        line = m.group(1)
+        if not re.search("[A-Za-z0-9]", line):
+            break
+        if b - a == width or b - a >= SHORTEST and novel(a, b):
+            end = b
+            continue
+        if b - a < min(width, SHORTEST) and (re.search("[0-9+/=]", line) or LAST.match(text, b)):
+            end = b
+        break
+    return end
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, reach: int = 256,
                 near: int = 48, share: float = 0.7) -> list[tuple[int, int, int]]:
-    """Strings within ``near`` characters after a sensitive word that add ``share`` of their length.
+    """Strings that start within ``near`` characters after a sensitive word and add ``share`` of their length.
 
-    They have letters and digits; those that overlap a base span are left to it.
+    They have letters and digits and any length; those that overlap a base span are left to it.
+    A string goes on over its dot-joined parts or the further lines of its block, also after a
+    base span. Runs are found in one pass; a word within a run starts it anew.
     """
+    words = [m.end() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    runs = [m.span() for m in CANDIDATE.finditer(text, words[0])]
+    taken: list[list[int]] = []
+    for a, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    begins = [a for a, _ in taken]
+    spare = "+/_=-"
+    known: dict[int, bool] = {}
+    ends: dict[int, tuple[int, int]] = {}
+    size: dict[int, int] = {}
+
+    def added(start: int, end: int) -> int:
+        before, after = text[max(0, start - reach):start].encode(), text[end:end + reach].encode()
+        return novelty.marginal(before, text[start:end].encode(), after)
+
+    def novel(start: int, end: int) -> bool:
+        if end not in ends:  # behind the last digit, behind the last letter
+            run = text[start:end]
+            ends[end] = (start + len(run.rstrip(LETTERS + spare)), start + len(run.rstrip(DIGITS + spare)))
+        if min(ends[end]) <= start:
+            return False
+        head = min(end, start + HEAD)
+        if added(start, head) >= share * (head - start):
+            return True
+        # the rest of a run takes no more than the run did, but for the frame
+        if head == end or end in size and size[end] + 64 < share * (end - start):
+            return False
+        size[end] = added(start, end)
+        return size[end] >= share * (end - start)
+
     out: list[tuple[int, int, int]] = []
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + near + 512)):
-            start, end = m.span()
-            if start - word.end() > near:
+    at = 0
+    for word in words:
+        while at < len(runs) and runs[at][1] - word < SHORTEST:
+            at += 1
+        for begin, end in runs[at:at + near // SHORTEST + 2]:
+            start = max(begin, word)
+            if start - word > near:
                 break
-            if out and start < out[-1][2] or any(a < end and start < b for a, _, b in base):
+            if out and start < out[-1][2]:
+                continue
+            if start not in known:
+                known[start] = novel(start, end)
+            if not known[start]:
                 continue
-            value = m.group()
-            if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+            k = bisect_right(begins, end - 1) - 1
+            if k >= 0 and taken[k][1] > start:
+                stop = max(end, taken[k][1])
+                more = _continued(text, start, stop, novel)
+                if more > stop:
+                    out.append((taken[k][1], 3, more))
                 continue
-            before, after = text[max(0, start - reach):start].encode(), text[end:end + reach].encode()
-            if novelty.marginal(before, value.encode(), after) >= share * len(value):
-                out.append((start, 3, end))
+            out.append((start, 3, _continued(text, start, end, novel)))
     return out
 
 
@@ -114,8 +194,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Assignments, access keys and hexadecimal strings are found by patterns. Further strings near
     a sensitive word are candidates: each is compressed with a zstandard dictionary of common
-    identifiers and the text around it, and is reported as ``novel`` where it still takes 70 % of
-    its length. Ordinary words, repeated values and placeholders are explained by the dictionary.
+    identifiers and the text around it, and is reported as ``novel`` where it, or its first 512
+    characters, still takes 70 % of its length. Candidates have any length; a reported one goes on
+    over dot-joined parts and adjoining lines (tokens in three parts, key blocks). Ordinary words, repeated values and placeholders are explained by the dictionary.
 
     Documents never move. Null and empty texts have no spans; repeated rows have the same result;
     other columns are ignored.
