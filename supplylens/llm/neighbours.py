@@ -14,6 +14,8 @@ from supplylens.llm.store import Workspace
 
 BLOCK = 64
 WIDE = 256
+#: block of the comparison of everything, where the lists did not reach the target
+WIDEST = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -44,14 +46,14 @@ def _codes(tables: int, bits: int, seed: int):
     """Random-hyperplane codes: the first lists come from vectors with equal codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims = np.array([len(v) // 4 for v in batch.column("v").to_pylist()])
+        for part in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
+            whole, dims = part, np.array([len(v) // 4 for v in part.column("v").to_pylist()])
             for d in np.unique(dims):
-                part = batch.filter(pa.array(dims == d))
+                part = whole.filter(pa.array(dims == d))
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), tables * bits))
                 side = (_matrix(part.column("v")) @ planes[d] > 0).reshape(-1, tables, bits)
-                code = side @ (1 << np.arange(bits)) + (np.arange(tables) << 40) + (int(d) << 48)
+                code = side @ (1 << np.arange(bits)) + (np.arange(tables) << 32) + (int(d) << 44)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(), tables)),
                                                   pa.array(code.ravel().astype(np.int64))], ["id", "g"])
     return run
@@ -147,6 +149,33 @@ def _counted(threshold: float):
     return run
 
 
+def _crossing(threshold: float):
+    """One link for each two components that are linked within a block or across a pair of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["g", "x", "y"]):
+            own, label = group.column("id").to_numpy(), group.column("c").to_numpy()
+            x, side = _unit(_matrix(group.column("v"))), group.column("side").to_numpy()
+            p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            q = q if len(q) else p
+            i, j = np.nonzero((x[p] @ x[q].T >= threshold) & (label[p][:, None] != label[q]))
+            i, j = p[i], q[j]
+            pair = np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])])
+            _, once = np.unique(pair, axis=1, return_index=True)
+            if len(once):
+                yield pa.RecordBatch.from_arrays([pa.array(own[i[once]]), pa.array(own[j[once]])], ["a", "b"])
+    return run
+
+
+def _in_blocks(members: DataFrame, size: int, *more: str) -> DataFrame:
+    """Each member of a group ``g`` once for each pair of blocks (``x``, ``y``) that its block is in."""
+    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / size).alias("m"))
+    member = members.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")))
+    member = member.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    member = member.select("g", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "id", "size", "v",
+                           (F.col("own") > F.col("with")).cast("int").alias("side"), *more)
+    return _spread(member, ["g", "x", "y"])
+
+
 def _parted(rows: DataFrame, group: str, size: int) -> DataFrame:
     """Split groups with more than ``size`` rows into parts by hash; no row is lost."""
     count = rows.groupBy(group).agg(F.count("*").alias("m")).where("m > 1")
@@ -166,7 +195,11 @@ def _lists(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of ``queries`` vectors that have been counted; the queries are bounded."""
+    """Share of its true links that has been counted, as the mean of those of ``queries`` vectors that have links.
+
+    Each vector counts once, so a large cluster does not hide what small groups and lone pairs
+    miss. The queries are bounded.
+    """
     asked = vectors.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
     by_dim: dict[int, list] = {}
     for r in asked:
@@ -188,8 +221,22 @@ def _audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int)
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
     true = vectors.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("links")).where("links > 0")
-    r = true.join(found, "id", "left").agg(F.sum("links").alias("t"), F.sum(F.least("links", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return 1.0 if not r.t else r.f / r.t
+    r = true.join(found, "id", "left").agg(F.avg(F.least("links", F.coalesce("n", F.lit(0))) / F.col("links")).alias("share")).first()
+    return 1.0 if r.share is None else r.share
+
+
+def _tables(least: int, bits: int, threshold: float, sure: float = 0.99) -> int:
+    """How many tables let a pair at the threshold have equal codes in one of them with ``sure``."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return least if same >= 1 else max(least, min(4095, int(np.ceil(np.log(1 - sure) / np.log1p(-same)))))
+
+
+def _totals(points: DataFrame, links: DataFrame, threshold: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The components of the links, and each member's number of links within its component."""
+    joined = work.keep(components(links, work))
+    members = points.join(joined.toDF("id", "g"), "id").select("id", "size", "v", "g")
+    counted = _in_blocks(members, WIDE).mapInArrow(_counted(threshold), "id long, n long")
+    return joined, work.keep(counted.groupBy("id").agg(F.sum("n").alias("n")))
 
 
 def embedding_neighbours(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, k: int = 10, tables: int = 10,
@@ -205,8 +252,12 @@ def embedding_neighbours(spark: SparkSession, vectors: DataFrame, threshold: flo
     * A list that is full of links is saturated; it is enlarged to its whole component, whose
       members are compared block by block and counted, not listed. So any number of links is
       exact within a component, in memory bounded by the block.
-    * The recall is audited on ``queries`` vectors against all; refinement goes on while it is
-      below ``target``, for ``most_rounds`` at most.
+    * There are as many tables (``tables`` at least) as let a lone pair at the threshold meet in
+      one of them with 99 %: the codes get longer with the rows.
+    * The recall is audited on ``queries`` vectors against all, each vector with links counting
+      once. While it is below ``target``, fresh tables and a further round are added; if
+      ``most_rounds`` do not suffice, all vectors are compared block by block, which is exact
+      and costs the square of the rows.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, nor
     do vectors of different lengths. Rows without a ``vec_id`` have no component. Rows that
@@ -222,6 +273,7 @@ def embedding_neighbours(spark: SparkSession, vectors: DataFrame, threshold: flo
                        .select("id", "c.size", "c.v", "c.k1", "c.k2"))
     n = points.count()
     bits = max(1, min(30, int(np.ceil(np.log2(max(2, n) / 32)))))
+    tables = _tables(tables, bits, threshold)
     coded = points.mapInArrow(_codes(tables, bits, 1), "id long, g long")
     floor = F.lit(-1.5)
     side = points.select("id", "v")
@@ -237,20 +289,23 @@ def embedding_neighbours(spark: SparkSession, vectors: DataFrame, threshold: flo
                 near.select(F.col("other").alias("g"), "id")).union(lists.select(F.col("id").alias("g"), "id")).distinct()
             worst = lists.select("id", F.when(F.size("list") >= k, F.col("list")[k - 1]["s"]).otherwise(floor).alias("least"))
             group = _parted(spokes, "g", BLOCK).select("g", "part", "id").join(side.join(worst, "id"), "id")
+            if turn > rounds:  # the audit asked for more: fresh tables; their codes are apart from ids by their part
+                fresh = _parted(points.mapInArrow(_codes(tables, bits, turn), "id long, g long"), "g", BLOCK)
+                group = group.union(fresh.select("g", (-1 - F.col("part")).alias("part"), "id")
+                                    .join(side.join(worst, "id", "left").withColumn("least", F.coalesce("least", floor)), "id")
+                                    .select(*group.columns))
             pairs = work.keep(_spread(group, ["g", "part"]).mapInArrow(_local_join(k, threshold), "a long, b long, s double"))
             links = links.union(pairs.where(F.col("s") >= threshold).select("a", "b"))
             old = lists.select(F.col("id").alias("a"), F.explode("list").alias("x")).select("a", F.col("x.other").alias("b"), F.col("x.s").alias("s"))
             lists = work.keep(_lists(pairs.union(old), k))
-        joined = work.keep(components(links, work))
-        members = points.join(joined.toDF("id", "g"), "id").select("id", "size", "v", "g")
-        blocks = members.groupBy("g").agg(F.ceil(F.count("*") / WIDE).alias("m"))
-        member = members.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")))
-        member = member.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-        member = member.select("g", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "id", "size", "v",
-                               (F.col("own") > F.col("with")).cast("int").alias("side"))
-        counted = work.keep(_spread(member, ["g", "x", "y"]).mapInArrow(_counted(threshold), "id long, n long")
-                            .groupBy("id").agg(F.sum("n").alias("n")))
-        if turn >= most_rounds or _audit(points, counted, threshold, queries) >= target:
+        joined, counted = _totals(points, links, threshold, work)
+        if _audit(points, counted, threshold, queries) >= target:
+            break
+        if turn >= most_rounds:
+            labels = (points.join(joined.toDF("id", "c"), "id", "left")
+                      .select(F.length("v").alias("g"), "id", "size", "v", F.coalesce("c", "id").alias("c")))
+            links = links.union(_in_blocks(labels, WIDEST, "c").mapInArrow(_crossing(threshold), "a long, b long"))
+            joined, counted = _totals(points, links, threshold, work)
             break
     known = (points.join(counted, "id", "left").join(joined.toDF("id", "c"), "id", "left")
              .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("c", "id").alias("c")))

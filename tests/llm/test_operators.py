@@ -325,3 +325,26 @@ def test_neighbours_against_brute_force(spark):
         else:
             assert r.n_links == 0 and r.component_id == r.vec_id
     assert neighbours.embedding_neighbours(spark, frame.limit(0)).count() == 0
+
+
+def test_neighbours_reach_the_target(spark, monkeypatch):
+    """A hot cluster and many lone pairs, with groups too small for the lists to find much."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 24))
+    x[:200] = x[0] + 0.1 * rng.standard_normal((200, 24))
+    x[201::2] = x[200::2] + 0.3 * rng.standard_normal((200, 24))
+    frame = spark.createDataFrame([(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y = neighbours._unit(x.astype(np.float32))
+    close = y @ y.T >= 0.9
+    np.fill_diagonal(close, False)
+    label = np.arange(600)
+    for _ in range(10):
+        label = np.minimum(label, np.where(close, label, 999).min(1))
+    points = spark.createDataFrame([(k, 1, v.astype(np.float32).tobytes()) for k, v in enumerate(x)], "id long, size long, v binary")
+    found = spark.createDataFrame([(k, int(close[k].sum())) for k in range(200)], "id long, n long")
+    want = close.any(1)
+    assert abs(neighbours._audit(points, found, 0.9, 600) - want[:200].sum() / want.sum()) < 1e-9
+    monkeypatch.setattr(neighbours, "BLOCK", 1)
+    for most in (1, 2):
+        got = neighbours.embedding_neighbours(spark, frame, tables=1, rounds=1, most_rounds=most, queries=600, target=1.0).collect()
+        assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, close[k].sum(), label[k]) for k in range(600)}
