@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from supplylens.llm import decontaminate, kdtree, near, neighbours, packing, quality, secrets, substrings, suffixes, warc
+from supplylens.llm import (
+    codes, crosstokens, decontaminate, kdtree, near, neighbours, packing, quality, secrets, substrings, suffixes, topk, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +135,54 @@ c AS (SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id),
 n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
+
+
+@query
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstokens.aligned_documents(spark, table(spark, sf_dir, "documents")).drop("groups")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compressed_vectors(spark, table(spark, sf_dir, "embeddings"))
+    return codes.label_errors(spark, coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+SQL["op11_exact_topk"] = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Rounds of k-means as a chain of tables."""
+    steps = ["""v AS (SELECT vec_id, label, i, floor(4096 * embedding[i + 1]::DOUBLE)::HUGEINT AS x, i // (len(embedding) // 8) AS p
+  FROM embeddings, range(len(embedding)) r(i)
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+             """b0 AS MATERIALIZED (SELECT e, i, p, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e
+  FROM (SELECT DISTINCT vec_id FROM v ORDER BY vec_id LIMIT 16)) USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, e, d FROM (SELECT vec_id, p, e, sum((x - c) * (x - c)) AS d
+  FROM v JOIN b{r} USING (p, i) GROUP BY vec_id, p, e) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT e, i, p, coalesce(m, c) AS c FROM b{r} LEFT JOIN
+  (SELECT p, i, e, floor(sum(x)::DOUBLE / count(*))::HUGEINT AS m FROM v JOIN a{r} USING (vec_id, p) GROUP BY p, i, e) USING (p, i, e))""")
+    return f"""WITH {', '.join(steps)},
+t AS (SELECT vec_id, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+l AS (SELECT t.*, label FROM t JOIN embeddings USING (vec_id))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256 FROM l
+"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
