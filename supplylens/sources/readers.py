@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from supplylens.functions.parse import date_of, number_of
 from supplylens.functions.text import clean_text
+from supplylens.sources.csvgrid import csv_records
 from supplylens.sources.grid import unique_headers
 
 
@@ -34,17 +34,14 @@ def read_csv_grid(spark: SparkSession, paths: str | list[str], sep: str = ";",
                   width: int | None = None) -> tuple[DataFrame, list[str]]:
     """All cells as text, empty lines kept; returns the grid and its cell columns.
 
-    Without ``width`` one pass over the files counts the separators.
+    Quoted separators and line breaks are text, see ``csvgrid.csv_records``. Without ``width``
+    one more pass counts the cells of the records; shorter records end in NULL.
     """
-    lines = read_lines(spark, paths).withColumn("value", F.regexp_replace("value", "^﻿", ""))
+    records = csv_records(spark, paths, sep)
     if width is None:
-        pieces = F.length("value") - F.length(F.replace("value", F.lit(sep))) + 1
-        width = lines.agg(F.max(pieces)).first()[0] or 1
+        width = records.agg(F.max(F.size("cells"))).first()[0] or 1
     columns = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    cells = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"'})
-    return lines.select("source_file", "source_row", cells.alias("_cells")).select(
-        "source_file", "source_row", "_cells.*"), columns
+    return records.select("source_file", "source_row", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]), columns
 
 
 def read_raw(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
