@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplylens.llm import textarrays as T
-from supplylens.llm.pieces import Memory, after_letters, distinct
+from supplylens.llm.pieces import ByteLevel, Memory, after_letters, distinct
 from supplylens.llm.store import Workspace
 
 CHUNK_BYTES = 4 << 20
@@ -26,36 +25,29 @@ _CHUNK = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_g
 _ROW = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string")
 
 
-def byte_signs() -> dict[str, int]:
-    """The sign that a byte-level vocabulary writes for each byte: its own if printable, else one past 255."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+def common_slices(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups end in the first and in the second list of cumulative ends.
 
-
-def slices(a_ends: list[int], b_ends: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Groups as (from, to) in the first and the second list of cumulative ends.
-
-    Dictionaries lead from an end to its place; the ends that both hold are the cuts.
+    Dictionaries lead from an end to its place; the ends that both hold, sorted, cut both lists.
     """
-    a_at = {end: i + 1 for i, end in enumerate(a_ends)}
-    b_at = {end: i + 1 for i, end in enumerate(b_ends)}
-    a, b = 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        yield a, a_at[end], b, b_at[end]
-        a, b = a_at[end], b_at[end]
-
-
-def links(a_ends: list[int], b_ends: list[int], a: int, to_a: int, b: int, to_b: int) -> Iterator[tuple[int, int]]:
-    """Places of tokens of one group whose byte ranges overlap."""
-    while a < to_a and b < to_b:
-        yield a, b
-        if a_ends[a] == b_ends[b]:
-            a, b = a + 1, b + 1
-        elif a_ends[a] < b_ends[b]:
-            a += 1
-        else:
-            b += 1
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return np.array([a_at[end] for end in common], np.int64), np.array([b_at[end] for end in common], np.int64)
+
+
+def slice_links(a_ends: np.ndarray, b_ends: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens whose byte ranges overlap, slice after slice."""
+    a_size, b_size = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    single = (a_size == 1) & (b_size == 1)
+    rest = np.flatnonzero(~single)
+    # within the other slices each token of A meets the run of B tokens from its first to its last byte
+    i = _flat(to_a[rest] - a_size[rest], a_size[rest])
+    begin = np.concatenate([[0], a_ends])[i]
+    first, last = np.searchsorted(b_ends, begin, "right"), np.searchsorted(b_ends, a_ends[i], "left")
+    many = last - first + 1
+    a, b = np.concatenate([to_a[single] - 1, np.repeat(i, many)]), np.concatenate([to_b[single] - 1, _flat(first, many)])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
 
 
 class Tokenizers:
@@ -68,37 +60,60 @@ class Tokenizers:
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a = ByteLevel(a_path, plain=True)
         self.b = SentencePieceProcessor(model_file=b_path)
-        signs = byte_signs()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(_SPACE, " ").encode() for i, name in enumerate(names)]
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         self.cuts = not any(_SPACE in name.lstrip(_SPACE) for name in names)
-        self.memory = Memory(self._aligned)
+        # the decimal names of all ids of A, then of B, each with room for one sign
+        texts = [f"{i} ".encode() for n in (len(self.a.bytes), len(names)) for i in range(n)]
+        self.names = np.frombuffer(b"".join(texts), np.uint8)
+        self.name_sizes = np.array([len(x) - 1 for x in texts], np.int64)
+        self.name_starts = np.cumsum(self.name_sizes + 1) - self.name_sizes - 1
+        self.memory = Memory(self._aligned, 1 << 18)
 
     def _aligned(self, pieces: list[bytes]) -> list[tuple | bool]:
         """For each piece its counts, its groups as text and its linked ids; False where the tokens are not its bytes."""
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        a_all = self.a.encode_batch(texts, add_special_tokens=False)
-        b_all = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self._one(p, a.ids, b) for p, a, b in zip(pieces, a_all, b_all, strict=True)]
-
-    def _one(self, piece: bytes, a_ids: list[int], b_ids: list[int]) -> tuple | bool:
-        a, b = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a) != piece or b"".join(b) != piece:
-            return False
-        a_ends, b_ends = np.cumsum([len(x) for x in a]).tolist(), np.cumsum([len(x) for x in b]).tolist()
-        groups, pairs = [], []
-        for at_a, to_a, at_b, to_b in slices(a_ends, b_ends):
-            groups.append(",".join(map(str, a_ids[at_a:to_a])) + "|" + ",".join(map(str, b_ids[at_b:to_b])))
-            pairs += [a_ids[i] << 32 | b_ids[j] for i, j in links(a_ends, b_ends, at_a, to_a, at_b, to_b)]
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups).encode(), np.array(pairs, np.int64).tobytes()
+        a, a_bounds = self.a.encode(pieces)
+        lists = self.b.encode([p.decode("utf-8", "replace")[1:] for p in pieces], num_threads=1)
+        flat = [i for x in lists for i in x]
+        whole = b"".join(pieces)
+        if b"".join([self.b_bytes[i] for i in flat]) == whole and b"".join([self.a.bytes[i] for i in a.tolist()]) == whole:
+            return self._all(pieces, a, a_bounds, np.array(flat, np.int64), np.cumsum([0, *map(len, lists)]))
+        good = [b"".join([self.b_bytes[j] for j in lists[i]]) == p and b"".join([self.a.bytes[j] for j in a[a_bounds[i]:a_bounds[i + 1]].tolist()]) == p
+                for i, p in enumerate(pieces)]
+        right = iter(self._aligned([p for p, g in zip(pieces, good) if g]) if any(good) else ())
+        return [next(right) if g else False for g in good]
+
+    def _all(self, pieces: list[bytes], a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray) -> list[tuple]:
+        """Pieces laid one after another: both token lists cover the same bytes, and no group crosses a piece's end."""
+        a_ends, b_ends = np.cumsum(self.a.sizes[a]), np.cumsum(self.b_sizes[b])
+        to_a, to_b = common_slices(a_ends.tolist(), b_ends.tolist())
+        text, text_ends = self._group_texts(a, b, to_a, to_b)
+        i, j = slice_links(a_ends, b_ends, to_a, to_b)
+        pairs = (a[i].astype(np.int64) << 32 | b[j]).tobytes()
+        groups = np.concatenate([[0], np.searchsorted(to_a, a_bounds[1:], "left") + 1])
+        cuts = np.concatenate([[0], text_ends])[groups].tolist()
+        linked = (8 * np.searchsorted(i, a_bounds)).tolist()
+        counts = (np.diff(a_bounds).tolist(), np.diff(b_bounds).tolist(), np.diff(groups).tolist())
+        return [(n_a, n_b, n, text[at:to - 1], pairs[x:y]) for n_a, n_b, n, at, to, x, y in zip(
+            *counts, cuts[:-1], cuts[1:], linked[:-1], linked[1:])]
+
+    def _group_texts(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as ``a1,a2|b1;``, one after another, and where each ends."""
+        # ids in the order they are written: the A ids of a group, then its B ids
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(to_b - n_b, n_a)] = a
+        order[np.arange(len(b)) + np.repeat(to_a, n_b)] = b + len(self.a.bytes)
+        sign = np.full(len(order), ord(","), np.uint8)
+        sign[to_a + to_b - n_b - 1], sign[to_a + to_b - 1] = ord("|"), ord(";")
+        size = self.name_sizes[order] + 1
+        ends = np.cumsum(size)
+        out = self.names[_flat(self.name_starts[order], size)]
+        out[ends - 1] = sign
+        return out.tobytes(), ends[to_a + to_b - 1]
 
 
 def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -155,14 +170,13 @@ def _chunk(both: Tokenizers, number: int, ids: pa.Array, data: np.ndarray, bound
     wrong = np.flatnonzero(_total(~good[which], at)) if not good.all() else np.empty(0, np.int64)
     whole = [data[bounds[r]:bounds[r + 1]].tobytes() for r in wrong]  # a whole text decides where its pieces fail
     found = [v or (0, 0, 0, b"", b"") for v in found + both.memory.values(whole)]
-    runs = [which[at[r]:at[r + 1]] for r in range(n)]
-    for k, r in enumerate(wrong):
-        runs[r] = np.array([len(pieces) + k] if found[len(pieces) + k][0] else [], np.int64)
-    size = np.array([len(x) for x in runs], np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    which = np.concatenate(runs).astype(np.int64) if n else np.empty(0, np.int64)
-    used, which = np.unique(which, return_inverse=True)
-    found = [found[i] for i in used]
+    if len(wrong):
+        runs = [which[at[r]:at[r + 1]] for r in range(n)]
+        for k, r in enumerate(wrong):
+            runs[r] = np.array([len(pieces) + k] if found[len(pieces) + k][0] else [], np.int64)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in runs])])
+        used, which = np.unique(np.concatenate(runs).astype(np.int64), return_inverse=True)
+        found = [found[i] for i in used]
     counts = [np.array([v[i] for v in found], np.int64)[which] for i in range(3)]
     texts = [v[3] for v in found]
     groups = [b";".join([texts[i] for i in which[at[r]:at[r + 1]].tolist()]) for r in range(n)]
@@ -170,8 +184,7 @@ def _chunk(both: Tokenizers, number: int, ids: pa.Array, data: np.ndarray, bound
     n_links = np.array([len(v[4]) >> 3 for v in found], np.int64)
     pairs, local = np.unique(linked, return_inverse=True)
     often = np.bincount(which, minlength=len(found))
-    times = np.zeros(len(pairs), np.int64)
-    np.add.at(times, local, np.repeat(often, n_links))
+    times = np.bincount(local, np.repeat(often, n_links), len(pairs)).astype(np.int64)  # exact: far below 2**53
     wide = len(found) > 1 << 16
     return pa.RecordBatch.from_arrays([
         pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
