@@ -41,5 +41,5 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
 def load() -> None:
     """Import every module that registers queries."""
     from supplylens.registry import (  # noqa: F401
-        analysis, cleaning, expressions, ingest, joins, pivots, planning, statistics, texts,
+        analysis, cleaning, exports, expressions, ingest, joins, pivots, planning, statistics, texts,
     )

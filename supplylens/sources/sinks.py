@@ -1,4 +1,8 @@
-"""Writing results: CSV for spreadsheets, clean data, errors, role tables, JSON."""
+"""Writing results: CSV for spreadsheets, clean data, errors, role tables, JSON.
+
+These write plain folders; ``published.publish`` takes any of them as its writer where readers
+must see a whole table or none.
+"""
 
 from __future__ import annotations
 
