@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplylens.functions.dates import MONTHS, SEASONS, WEEKDAYS
 from supplylens.functions.parse import date_of, number_of, parse_date, parse_number, timestamp_of
 from supplylens.functions.text import comparable_text, is_blank
+from supplylens.session import checkpointed
 
 EMPTY = "__empty__"
 MAXIMUM_OPTIONS = 1000
@@ -133,13 +135,57 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def sample_rows(df: DataFrame, n: int, key: list[str] | None = None) -> DataFrame:
-    """The ``n`` rows with the lowest hash, the same ones for the same data.
+def row_digest(df: DataFrame) -> Column:
+    """32 hex digits of a row's content; NULLs count by their place, maps by their JSON."""
+    parts = [F.to_json(f"`{c}`") if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in df.dtypes]
+    parts += [p.isNull() for p in parts]
+    return F.concat(*[F.lower(F.lpad(F.hex(F.xxhash64(F.lit(i), *parts)), 16, "0")) for i in (1, 2)])
 
-    ``key`` columns tell all rows apart. Without them the row's place in its input is hashed,
-    so that equal rows are drawn one by one and keep their share.
+
+def sample_rows(df: DataFrame, n: int, key: list[str] | None = None, digest: Column | None = None) -> DataFrame:
+    """``n`` whole rows, the same ones for the same data however it is partitioned.
+
+    ``key`` columns tell all rows apart: the rows with the lowest hash of them are drawn.
+    Without a key equal rows are drawn one by one: rows stand in the order of ``digest`` (hex
+    digits of their content, ``row_digest`` unless given), equal ones side by side, and one is
+    taken at each place ``(2 i + 1) N / 2 n``. So the copies of a row keep their share to within
+    one. No table is sorted for that: counts by the first digits of the digest show where the
+    places fall, and only rows with these digits are counted on, by more digits each round.
     """
     if key:
         return df.orderBy(F.xxhash64(*key), *key).limit(n)
-    placed = df.withColumn("_draw", F.xxhash64(F.monotonically_increasing_id()))
-    return placed.orderBy("_draw").limit(n).drop("_draw")
+    digest = row_digest(df) if digest is None else digest
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), digest.alias("_digest"))
+    digits = max(2, math.ceil(math.log(max(2, 4 * n), 16)))
+    counts = checkpointed(rows.groupBy(F.left("_digest", F.lit(digits)).alias("_head")).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    if total <= n:
+        return df
+
+    def below(place: Column) -> Column:
+        """How many places lie below a row number; whole numbers throughout."""
+        return F.call_function("div", F.lit(2 * n) * place + F.lit(total - 1), F.lit(2 * total))
+
+    def chosen(counted: DataFrame, order: WindowSpec) -> DataFrame:
+        """Stretches of rows in which a place lies, with the rows before them and the places in them."""
+        before = F.col("_before") + F.sum("_n").over(order) - F.col("_n")
+        return counted.withColumn("_before", before).withColumn(
+            "_take", below(F.col("_before") + F.col("_n")) - below(F.col("_before"))).where("_take > 0")
+
+    # at most 64 times as many heads as places
+    heads = checkpointed(chosen(counts.withColumn("_before", F.lit(0).cast("bigint")), Window.orderBy("_head")))
+    while digits < 30 and (heads.agg(F.max("_n")).first()[0] or 0) > 100_000:
+        narrow = rows.withColumn("_of", F.left("_digest", F.lit(digits))).join(
+            F.broadcast(heads.select(F.col("_head").alias("_of"), "_before")), "_of")
+        digits += 2
+        counts = narrow.groupBy("_of", "_before", F.left("_digest", F.lit(digits)).alias("_head")).agg(F.count("*").alias("_n"))
+        grown = checkpointed(chosen(counts, Window.partitionBy("_of").orderBy("_head")).drop("_of"))
+        if grown.agg(F.max("_n")).first()[0] == heads.agg(F.max("_n")).first()[0]:
+            heads = grown
+            break  # one row with very many copies: more digits do not split it
+        heads = grown
+    places = F.broadcast(heads.select("_head", "_before"))  # at most one per row drawn
+    same = (rows.withColumn("_head", F.left("_digest", F.lit(digits))).join(places, "_head")
+            .groupBy("_head", "_before", "_digest").agg(F.count("*").alias("_n"), F.first("_row").alias("_row")))
+    drawn = chosen(same, Window.partitionBy("_head").orderBy("_digest"))
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("_take")))).select("_row.*")

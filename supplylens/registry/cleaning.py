@@ -341,3 +341,24 @@ def sample_rows(spark, folder):
     strange = picked.join(parts, ["p_partkey", "p_name"], "left_anti").agg(F.count("*").alias("foreign_rows"), F.lit(1).alias("_one"))
     counts = picked.agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("different"), F.lit(1).alias("_one"))
     return counts.join(strange, "_one").drop("_one")
+
+
+SHARES = """WITH c AS (SELECT {fields}, count(*) AS n, md5({text}) AS h FROM {table} GROUP BY ALL),
+    b AS (SELECT *, sum(n) OVER (ORDER BY h) - n AS before, sum(n) OVER () AS total FROM c),
+    t AS (SELECT *, ((2 * {k} * (before + n) + total - 1) // (2 * total) - (2 * {k} * before + total - 1) // (2 * total))::BIGINT AS take FROM b)
+    SELECT {names} FROM (SELECT *, unnest(range(take)) FROM t)"""
+
+
+@query(SHARES.format(fields="l_returnflag AS flag, CASE WHEN l_linenumber > 3 THEN l_linenumber END AS line, l_tax AS tax", k=500, table="lineitem", names="flag, line, tax",
+                     text="l_returnflag || '|' || coalesce(CASE WHEN l_linenumber > 3 THEN l_linenumber END::VARCHAR, '-') || '|' || round(l_tax * 100)::BIGINT"))
+def sample_shares(spark, folder):
+    """Rows with many copies, drawn without a key: each keeps its share."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("line"), F.col("l_tax").alias("tax"))
+    digest = F.md5(F.concat_ws("|", "flag", F.coalesce(F.col("line").cast("string"), F.lit("-")), F.round(F.col("tax") * 100).cast("bigint").cast("string")))
+    return filters.sample_rows(rows, 500, digest=digest)
+
+
+@query(SHARES.format(fields="o_orderkey, o_totalprice", k=2000, table="orders", names="o_orderkey, o_totalprice", text="o_orderkey::VARCHAR"))
+def sample_without_key(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return filters.sample_rows(rows, 2000, digest=F.md5(F.col("o_orderkey").cast("string")))

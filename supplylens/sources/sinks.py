@@ -6,6 +6,10 @@ must see a whole table or none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +63,18 @@ def export_columns(df: DataFrame, forecast: bool = False) -> DataFrame:
     return df.select(*out)
 
 
+def _headed(head: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], schema=first.schema)
+            yield first
+            yield from batches
+        elif TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+    return run
+
+
 def write_csv(df: DataFrame, path: str, forecast: bool = False, mode: str = "errorifexists") -> None:
     """``;`` separated, CRLF lines, a byte-order mark on the heading of every file."""
     text = export_columns(df, forecast)
@@ -69,10 +85,9 @@ def write_csv(df: DataFrame, path: str, forecast: bool = False, mode: str = "err
     head = "﻿" + ";".join('"' + c.replace('"', '""') + '"' if any(m in c for m in ';"\r\n') else c
                                for c in text.columns)
     line = F.concat_ws(";", *[cell(F.col(f"`{c}`")) for c in text.columns])
-    # the heading is the csv header of a one-column file whose cells are whole lines
-    (text.select(line.alias(head)).write.mode(mode)
-     .options(header=True, sep="\u0001", quote="", escape="", lineSep="\r\n", emptyValue="",
-              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    # a text file has no heading of its own: each task that writes a file begins with one
+    lines = text.select(line.alias("value")).mapInArrow(_headed(head), "value string")
+    lines.write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
 def clean_data(df: DataFrame, internal: list[str] | None = None) -> DataFrame:

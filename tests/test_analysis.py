@@ -82,6 +82,9 @@ def test_quick_profile_scales_missing(rows):
     df = rows([(i, None if i % 2 else "a") for i in range(100)], "i int, v string")
     row = profile.profile(df, ["i", "v"], "quick", 20).columns.where("column = 'v'").first()
     assert row.row_count == 100 and row.analyzed_rows == 20
+    half = rows([(None if i < 50 else float(i),) for i in range(100)], "v double")
+    row = profile.profile(half, ["v"], "quick", 20).columns.first()
+    assert abs(row.missing_ratio - 0.5) <= 0.1 and 40 <= row.missing_count <= 60
     few = rows([("abc"[i % 3] if i % 4 else None,) for i in range(4000)], "v string")
     row = profile.profile(few, ["v"], "quick", 400).columns.first()
     assert abs(row.missing_ratio - 0.25) <= 0.1 and row.unique_count == 3
