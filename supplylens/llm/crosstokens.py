@@ -15,12 +15,12 @@ from supplylens.llm import textarrays as T
 from supplylens.llm.pieces import ByteLevel, Memory, after_letters, distinct
 from supplylens.llm.store import Workspace
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _SPACE = "▁"
 _workers: dict[tuple[str, str], "Tokenizers"] = {}
 
 _CHUNK = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-          "groups_sha256 array<string>, groups array<string>, segments binary, wide boolean, segment_bounds binary, links binary, "
+          "groups_sha256 array<string>, groups array<string>, segments binary, planes int, segment_bounds binary, links binary, "
           "link_bounds binary, pairs array<long>, times array<long>")
 _ROW = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string")
 
@@ -139,6 +139,16 @@ def _total(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def _planes(numbers: np.ndarray, n: int) -> bytes:
+    """All lowest bytes, then all next ones: pieces are numbered as they first come, so higher bytes are often alike."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return sum(parts[k].astype(np.int64) << 8 * k for k in range(n))
+
+
 def _flat(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of runs, one after another."""
     return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -185,13 +195,13 @@ def _chunk(both: Tokenizers, number: int, ids: pa.Array, data: np.ndarray, bound
     pairs, local = np.unique(linked, return_inverse=True)
     often = np.bincount(which, minlength=len(found))
     times = np.bincount(local, np.repeat(often, n_links), len(pairs)).astype(np.int64)  # exact: far below 2**53
-    wide = len(found) > 1 << 16
+    planes = 1 + (len(found).bit_length() - 1 >> 3) if found else 1  # bytes that the number of a piece takes
     return pa.RecordBatch.from_arrays([
         pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
         *(pa.array([_total(x, at).tolist()], pa.list_(pa.int64())) for x in (*counts, n_links[which])),
         pa.array([[hashlib.sha256(g).hexdigest() if g else "" for g in groups]], pa.list_(pa.string())),
         pa.array([[g.decode() for g in groups] if with_groups else None], pa.list_(pa.string())),
-        pa.array([which.astype(np.uint32 if wide else np.uint16).tobytes()], pa.binary()), pa.array([wide]), pa.array([at.tobytes()], pa.binary()),
+        pa.array([_planes(which, planes)], pa.binary()), pa.array([planes], pa.int32()), pa.array([at.tobytes()], pa.binary()),
         pa.array([local.astype(np.uint32).tobytes()], pa.binary()),
         pa.array([np.concatenate([[0], np.cumsum(n_links)]).tobytes()], pa.binary()),
         pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([times.tolist()], pa.list_(pa.int64()))],
@@ -207,7 +217,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = np.array([x["best"] for x in looked], bool)
             local = np.frombuffer(row["links"], np.uint32)
             link_bounds, at = np.frombuffer(row["link_bounds"], np.int64), np.frombuffer(row["segment_bounds"], np.int64)
-            which = np.frombuffer(row["segments"], np.uint32 if row["wide"] else np.uint16)
+            which = _from_planes(row["segments"], row["planes"])
             sums = [_total(_total(x[local].astype(np.int64), link_bounds)[which], at) if len(which) else np.zeros(len(at) - 1, np.int64) for x in (best, total)]
             yield pa.RecordBatch.from_arrays([
                 *(pa.array(row[c], pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *(pa.array(x) for x in sums),
@@ -232,7 +242,7 @@ def aligned_documents(spark: SparkSession, docs: DataFrame, a_path: str | None =
     both share cut them into groups; all A-B occurrences with overlapping bytes are links.
     ``groups`` (``a1,a2|b1;a3|b2,b3``) is null unless ``with_groups``.
 
-    Texts are read in chunks of about 4 MB. A chunk keeps its distinct pieces once; the counts of
+    Texts are read in chunks of about 2 MB. A chunk keeps its distinct pieces once; the counts of
     id pairs are summed first within chunks, so even a pair that every document holds has one row
     per chunk, and each chunk gets the counts of its own pairs back. Nothing comes to the driver.
 

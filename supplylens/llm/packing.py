@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -12,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supplylens.llm import textarrays as T
+from supplylens.llm.pieces import ByteLevel, Memory, after_letters, distinct
 from supplylens.llm.store import Workspace
 
 CAPACITY = 2048
 END = 0
-_CACHE_PIECES = 1 << 18
-_ASCII = np.zeros(256, bool)
-_ASCII[0x21:0x7F] = True
+CHUNK_BYTES = 2 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x0A]] = True
 _tokenizers: dict[str, "Pieces"] = {}
@@ -28,68 +26,35 @@ class Pieces:
     """Token ids of texts, piece by piece.
 
     A byte-level tokenizer never joins a blank with the word before it. So a text may be cut
-    before every blank that follows a word, and each distinct piece is encoded once per worker.
+    before every blank that follows a word, and each distinct piece is encoded once while its
+    worker remembers it. Pieces are told apart by their bytes.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.at, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > _CACHE_PIECES:
-            self.clear()
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged)
-        self.keys = merged[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.tokenizer = ByteLevel(path, plain=False)
+        self.memory = Memory(self._ids, 1 << 19)
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        ids, bounds = self.tokenizer.encode(pieces)
+        raw, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+        return [raw[i:j] for i, j in zip(at[:-1], at[1:])]
 
     def encode(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk and their bounds by row."""
         data, n = chunk.data, chunk.n
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(n + 1, np.int64)
-        cut = np.zeros(len(data), bool)
-        # after ASCII signs, or letters of two bytes that begin with C3, no white space can stand
-        after = _ASCII[data[:-1]]
-        after[1:] |= data[:-2] == 0xC3
-        cut[1:] = _BREAK[data[1:]] & after
+        cut = _BREAK[data] & after_letters(data)
         cut[chunk.bounds[:-1][chunk.bounds[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(data))
-        hashes = T.of_bytes(data).spans(starts, ends)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = self._find(keys)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            raw = data.tobytes()
-            self._add(keys[new], [raw[starts[k]:ends[k]].decode("utf-8", "replace") for k in first[new]])
-            at = self._find(keys)
-            if (at < 0).any():  # the memory was emptied on the way: encode this chunk's pieces alone
-                self.clear()
-                self._add(keys, [raw[starts[k]:ends[k]].decode("utf-8", "replace") for k in first])
-                at = self._find(keys)
-        at = at[which]
-        size = self.size[at]
-        place = np.repeat(self.at[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        pieces, which = distinct(data, starts)
+        found = self.memory.values(pieces)
+        size = np.array([len(x) >> 2 for x in found], np.int64)
+        first = np.cumsum(size) - size
+        size = size[which]
         total = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[place], total[np.searchsorted(starts, chunk.bounds)]
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
+        place = np.repeat(first[which] - total[:-1], size) + np.arange(total[-1])
+        return np.frombuffer(b"".join(found), "<u4")[place], total[np.searchsorted(starts, chunk.bounds)]
 
 
 def _tokenizer(path: str) -> Pieces:
@@ -103,7 +68,7 @@ def _tokenized(path: str, capacity: int):
         pieces = _tokenizer(path)
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for chunk in T.chunks(batch.column("text")):
+            for chunk in T.chunks(batch.column("text"), CHUNK_BYTES):
                 ids, bounds = pieces.encode(chunk)
                 doc, number, start, length, crc = [], [], [], [], []
                 for r in range(chunk.n):

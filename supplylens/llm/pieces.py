@@ -30,7 +30,9 @@ def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndar
     if not len(starts):
         return [], np.empty(0, np.int64)
     found = T.binary_array(data, np.append(starts, len(data))).dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy()
+    _, bounds, raw = found.dictionary.buffers()
+    raw, at = raw.to_pybytes(), np.frombuffer(bounds, np.int32)[:len(found.dictionary) + 1].tolist()
+    return [raw[i:j] for i, j in zip(at[:-1], at[1:])], found.indices.to_numpy()
 
 
 class Memory:
@@ -47,19 +49,20 @@ class Memory:
 
     def values(self, pieces: list[bytes]) -> list:
         new, old = self._new, self._old
-        out = [new.get(p) for p in pieces]
+        out = list(map(new.get, pieces))
+        absent = [i for i, value in enumerate(out) if value is None]
         missing = []
-        for i, value in enumerate(out):
+        for i, value in zip(absent, map(old.get, [pieces[i] for i in absent])):
             if value is None:
-                out[i] = value = old.get(pieces[i])
-                if value is None:
-                    missing.append(i)
-                else:
-                    new[pieces[i]] = value
-        for i, value in zip(missing, self._work([pieces[i] for i in missing]) if missing else [], strict=True):
-            out[i] = value
-            if len(pieces[i]) <= self._longest:
-                new[pieces[i]] = value
+                missing.append(i)
+            else:
+                out[i] = new[pieces[i]] = value
+        if missing:
+            asked = [pieces[i] for i in missing]
+            found = self._work(asked)
+            for i, value in zip(missing, found, strict=True):
+                out[i] = value
+            new.update((p, value) for p, value in zip(asked, found) if len(p) <= self._longest)
         if len(new) > self._limit:
             self._new, self._old = {}, new
         return out

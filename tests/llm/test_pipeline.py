@@ -34,5 +34,5 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
