@@ -42,7 +42,7 @@ def features(chunk: T.Chunk, bits: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[:-1], edges[1:]
     word = kind[starts] > 0
     starts, ends = starts[word], ends[word]
-    hashes = T.of_bytes(data).spans(starts, ends)
+    hashes = T.ShortRolling(data).spans(starts, ends)
     upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
     digit = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     ups, size = upper[ends] - upper[starts], ends - starts

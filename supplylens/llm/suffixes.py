@@ -41,7 +41,7 @@ class Suffixes:
         self.q, self.length = q, length
         self.row = np.repeat(np.arange(chunk.n), np.diff(chunk.bounds))
         self.bounds = chunk.bounds
-        self.bucket = T.of_bytes(chunk.data).windows(q)
+        self.bucket = T.ShortRolling(chunk.data).windows(q)
         self.blocks = A.blocks(self.bucket, self.row, q, length)
 
     def span(self, start: np.ndarray, size: int) -> np.ndarray:

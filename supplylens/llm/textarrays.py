@@ -2,8 +2,9 @@
 
 Everything here works on UTF-8 bytes. A chunk is a run of whole rows with about
 ``limit`` bytes, so memory does not grow with the batch; one longer row is a chunk of
-its own. Hashes are 64-bit polynomials over a table of mixed bytes, finished by a
-mixing step; equal spans have equal hashes on every machine.
+its own. Hashes are two polynomials modulo the prime 2**31 - 1 over symbols of their own,
+finished by a mixing step: 62 bits that no pattern of repeated blocks cancels, as it can in a
+polynomial modulo a power of two. Equal spans have equal hashes on every machine.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_140_671_485, 742_938_285)
 CHUNK_BYTES = 512 << 10
 SPACES = b" \t\n\v\f\r"
 
@@ -32,40 +33,103 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same rest modulo the prime; twice from any product: below 2**31 + 2."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    x[x >= _PRIME] -= _PRIME
+    return x
+
+
+def _power_array(base: int, n: int) -> np.ndarray:
+    """The first powers of ``base`` modulo the prime."""
+    have = _powers.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, _rest(have * np.uint64(pow(base, len(have), int(_PRIME))))])
+    _powers[base] = have
+    return have[:n]
+
+
+def _lanes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """31 bits of each symbol for either polynomial."""
+    return symbols & _PRIME, symbols >> np.uint64(33)
+
+
+_BYTE_LANES = _lanes(_BYTES)
 
 
 class Rolling:
     """Hashes of any span of a sequence of 64-bit symbols in constant time."""
 
     def __init__(self, symbols: np.ndarray):
-        power, self._inverse = _power_arrays(len(symbols) + 1)
-        self._sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * power[:-1], out=self._sums[1:])
+        self._set(_lanes(symbols))
+
+    def _set(self, lanes: tuple[np.ndarray, np.ndarray]) -> None:
+        n = len(lanes[0])
+        self._sums, self._inverse = [], []
+        for lane, base in zip(lanes, _BASES):
+            lane *= _power_array(base, n)
+            high = lane >> np.uint64(31)
+            lane &= _PRIME
+            lane += high  # below 2**32, so sums of as many do not pass 64 bits
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(lane, out=sums[1:])
+            self._sums.append(sums)
+            self._inverse.append(_power_array(pow(base, -1, int(_PRIME)), n + 1))
+
+    def _hash(self, starts, ends) -> np.ndarray:
+        first, second = (_rest(_fold(_fold(sums[ends] - sums[starts])) * inverse[starts]) for sums, inverse in zip(self._sums, self._inverse))
+        return mix(first << np.uint64(31) | second)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
+        return self._hash(starts, ends)
 
     def windows(self, length: int) -> np.ndarray:
         """The hash of each span of ``length`` symbols, by start."""
-        n = len(self._sums) - length
+        n = len(self._sums[0]) - length
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self._sums[length:] - self._sums[:n]) * self._inverse[:n])
+        return self._hash(slice(0, n), slice(length, None))
 
 
 def of_bytes(data: np.ndarray) -> Rolling:
-    return Rolling(_BYTES[data])
+    out = Rolling.__new__(Rolling)
+    out._set((_BYTE_LANES[0][data], _BYTE_LANES[1][data]))
+    return out
+
+
+#: an odd base and its inverse modulo 2**64
+_ODD = 0x9E3779B97F4A7C15
+_wrapping: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class ShortRolling:
+    """Hashes of spans of bytes by one polynomial modulo 2**64: faster, and as good for spans of up to
+    some hundred bytes. In longer ones two patterns can be built that cancel; do not decide by it there."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        if len(_wrapping[0]) < n:
+            for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+                steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+                steps[0] = 1
+                _wrapping[k] = np.cumprod(steps, dtype=np.uint64)
+        self._inverse = _wrapping[1][:n]
+        self._sums = np.zeros(n, np.uint64)
+        np.cumsum(_BYTES[data] * _wrapping[0][:n - 1], out=self._sums[1:])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
+
+    def windows(self, length: int) -> np.ndarray:
+        n = len(self._sums) - length
+        return self.spans(slice(0, n), slice(length, None)) if n > 0 else np.empty(0, np.uint64)
 
 
 def separators(of: bytes) -> np.ndarray:
