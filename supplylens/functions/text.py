@@ -52,9 +52,8 @@ def _squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
-#: Printable ASCII words with single spaces: nothing to clean. No group repeats, as the matcher
-#: would take a stack frame for each word of a long text.
-_TIDY = r"^(?! )(?!.*  )(?!.* \z)[\x20-\x7E]+\z"
+#: A sign other than printable ASCII. One class, no group: the matcher takes no stack frame for each word of a long text.
+_STRANGE = r"[^\x20-\x7E]"
 _ASCII = r"^[\x20-\x7E]*$"
 
 
@@ -62,11 +61,16 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def _is_tidy(text: Column) -> Column:
+    """Printable ASCII words with single spaces: nothing to clean."""
+    return (F.trim(text) == text) & ~F.contains(text, F.lit("  ")) & ~text.rlike(_STRANGE)
+
+
 def clean_text(value: Column) -> Column:
     """Import dialect: control characters dropped, white space collapsed, NULL as ''."""
     def tidy(text: Column) -> Column:
         rest = _squeeze(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
-        return F.when(text.rlike(_TIDY), text).otherwise(rest)
+        return F.when(_is_tidy(text), text).otherwise(rest)
 
     return let(_text(value), tidy)
 
@@ -85,7 +89,7 @@ def comparable_text(value: Column) -> Column:
 def analytics_text(value: Column) -> Column:
     """Analytics dialect: control characters count as spaces, NULL as ''."""
     def tidy(text: Column) -> Column:
-        return F.when(text.rlike(_TIDY), text).otherwise(_squeeze(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")))
+        return F.when(_is_tidy(text), text).otherwise(_squeeze(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")))
 
     return let(_text(value), tidy)
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplylens.functions.dates import derive_date_fields
 from supplylens.functions.parse import date_of, number_of, timestamp_of
 from supplylens.functions.text import SPACE, clean_text, comparable_text, is_blank, let
 from supplylens.plans.ordered import attach
-from supplylens.session import checkpointed
+from supplylens.session import checkpointed, kept, spread
 from supplylens.vocab import CLEANABLE_FIELDS, SHIFT_ALIASES, UNIT_ALIASES
 
-SLICES = 64
-
 
 def _alias(key: Column, words: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), key)
@@ -163,21 +161,27 @@ def duplicate_key(df: DataFrame, source_columns: list[str]) -> Column:
     return F.when(identifier != "", F.concat(F.lit("id:"), comparable_text(identifier))).otherwise(by_row)
 
 
+#: A table of repeated keys up to this many rows is sent to every task.
+BROADCAST_KEYS = 1_000_000
+
+
 def tag_duplicates(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """Add ``duplicate_key`` and ``duplicate_of``: the first row's place, NULL on that row.
 
-    Firsts are found per key and slice, then per key over at most 64 slices; the way back
-    joins on key and slice, so a key with very many rows stays spread.
+    The rows are written once with their keys. One aggregate, combined before it is shuffled,
+    finds the keys that occur more than once and their first rows; only keys and places move
+    for that. Few such keys are sent to the rows, which then do not move at all; many are
+    joined, where adaptive execution splits a key with very many rows.
     """
-    place = F.struct(*order)
-    rows = df.withColumn("duplicate_key", key).withColumn(
-        "_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
-    parts = rows.groupBy("duplicate_key", "_slice").agg(F.min(place).alias("_part"))
-    firsts = parts.select("duplicate_key", "_slice", F.min("_part").over(
-        Window.partitionBy("duplicate_key")).alias("_first"))
-    joined = rows.join(firsts, ["duplicate_key", "_slice"])
-    return joined.withColumn("duplicate_of", F.when(place != F.col("_first"), F.col("_first"))).drop(
-        "_slice", "_first")
+    place = F.struct(*[F.col(f"`{c}`") for c in order])
+    rows = kept(spread(df).withColumn("duplicate_key", key))
+    # two hashes of 64 bits stand for the key, which may be a whole row
+    marks = [F.xxhash64(F.lit(i), "duplicate_key").alias(f"_k{i}") for i in (1, 2)]
+    repeated = kept(rows.groupBy(*marks).agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n"))
+    few = repeated.count() <= BROADCAST_KEYS
+    marked = rows.select("*", *marks)
+    joined = marked.join(F.broadcast(repeated) if few else repeated, ["_k1", "_k2"], "left")
+    return joined.select(*rows.columns, F.when(place != F.col("_first"), F.col("_first")).alias("duplicate_of"))
 
 
 def dedupe(df: DataFrame, source_columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "supplylens", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +47,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut, and later reads take only the columns they need."""
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.drop(*void).write.parquet(path)
+    rows = df.sparkSession.read.schema(T.StructType([f for f in df.schema.fields if f.name not in void])).parquet(path)
+    return rows.select(*[F.lit(None).alias(f.name) if f.name in void else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores before costly row work, if its sources are so small that their scan may have fewer tasks."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < size < cores * (32 << 20) else df
