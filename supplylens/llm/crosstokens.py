@@ -20,8 +20,8 @@ _SPACE = "▁"
 _workers: dict[tuple[str, str], "Tokenizers"] = {}
 
 _CHUNK = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-          "groups_sha256 array<string>, groups array<string>, segments binary, planes int, segment_bounds binary, links binary, "
-          "link_bounds binary, pairs array<long>, times array<long>")
+          "groups_sha256 array<string>, groups array<string>, segments binary, segment_bounds binary, links binary, "
+          "link_sizes binary, pairs array<long>, times array<long>")
 _ROW = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string")
 
 
@@ -71,7 +71,7 @@ class Tokenizers:
         self.names = np.frombuffer(b"".join(texts), np.uint8)
         self.name_sizes = np.array([len(x) - 1 for x in texts], np.int64)
         self.name_starts = np.cumsum(self.name_sizes + 1) - self.name_sizes - 1
-        self.memory = Memory(self._aligned, 1 << 18)
+        self.memory = Memory(self._aligned)
 
     def _aligned(self, pieces: list[bytes]) -> list[tuple | bool]:
         """For each piece its counts, its groups as text and its linked ids; False where the tokens are not its bytes."""
@@ -139,14 +139,18 @@ def _total(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def _planes(numbers: np.ndarray, n: int) -> bytes:
-    """All lowest bytes, then all next ones: pieces are numbered as they first come, so higher bytes are often alike."""
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+def _planes(numbers: np.ndarray) -> bytes:
+    """How many bytes the largest number takes, then all lowest bytes, all next ones and so on.
+
+    Pieces and pairs are numbered so that small numbers are common; higher bytes are mostly alike.
+    """
+    n = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([n]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
-def _from_planes(raw: bytes, n: int) -> np.ndarray:
-    parts = np.frombuffer(raw, np.uint8).reshape(n, -1)
-    return sum(parts[k].astype(np.int64) << 8 * k for k in range(n))
+def _from_planes(raw: bytes) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    return sum(parts[k].astype(np.int64) << 8 * k for k in range(raw[0]))
 
 
 def _flat(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,15 +199,12 @@ def _chunk(both: Tokenizers, number: int, ids: pa.Array, data: np.ndarray, bound
     pairs, local = np.unique(linked, return_inverse=True)
     often = np.bincount(which, minlength=len(found))
     times = np.bincount(local, np.repeat(often, n_links), len(pairs)).astype(np.int64)  # exact: far below 2**53
-    planes = 1 + (len(found).bit_length() - 1 >> 3) if found else 1  # bytes that the number of a piece takes
     return pa.RecordBatch.from_arrays([
         pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
         *(pa.array([_total(x, at).tolist()], pa.list_(pa.int64())) for x in (*counts, n_links[which])),
         pa.array([[hashlib.sha256(g).hexdigest() if g else "" for g in groups]], pa.list_(pa.string())),
         pa.array([[g.decode() for g in groups] if with_groups else None], pa.list_(pa.string())),
-        pa.array([_planes(which, planes)], pa.binary()), pa.array([planes], pa.int32()), pa.array([at.tobytes()], pa.binary()),
-        pa.array([local.astype(np.uint32).tobytes()], pa.binary()),
-        pa.array([np.concatenate([[0], np.cumsum(n_links)]).tobytes()], pa.binary()),
+        *(pa.array([_planes(x)], pa.binary()) for x in (which, at, local, n_links)),
         pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([times.tolist()], pa.list_(pa.int64()))],
         [c.split()[0] for c in _CHUNK.split(", ")])
 
@@ -215,9 +216,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             looked = row["looked"] or []
             total = np.array([x["total"] for x in looked], np.int64)
             best = np.array([x["best"] for x in looked], bool)
-            local = np.frombuffer(row["links"], np.uint32)
-            link_bounds, at = np.frombuffer(row["link_bounds"], np.int64), np.frombuffer(row["segment_bounds"], np.int64)
-            which = _from_planes(row["segments"], row["planes"])
+            which, at, local, sizes = (_from_planes(row[c]) for c in ("segments", "segment_bounds", "links", "link_sizes"))
+            link_bounds = np.concatenate([[0], np.cumsum(sizes)])
             sums = [_total(_total(x[local].astype(np.int64), link_bounds)[which], at) if len(which) else np.zeros(len(at) - 1, np.int64) for x in (best, total)]
             yield pa.RecordBatch.from_arrays([
                 *(pa.array(row[c], pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *(pa.array(x) for x in sums),
