@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from supplylens.functions.parse import date_of, number_of, timestamp_of
 from supplylens.functions.text import is_blank
 from supplylens.operators.profile import cell_text
 from supplylens.plans.ordered import attach, quantiles, running_totals, value_counts
+from supplylens.session import checkpointed, kept, spread
 from supplylens.vocab import AGGREGATION_BY_ROLE, MISSING
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -228,46 +230,102 @@ def compare_confidence(trend_confidence: Column) -> Column:
 
 # ---- associations ----------------------------------------------------------------------------
 
-def _pairs(df: DataFrame, measures: list[str]) -> DataFrame:
-    numbers = df.select(*[number_of(df, m, "analytics").alias(m) for m in measures])
+#: pairs of one aggregate; more pairs take one more pass over the (narrow) numbers for each so many
+PAIRS = 120
+
+
+def pair_rows(df: DataFrame, measures: list[str]) -> DataFrame:
+    """``left_field, right_field, x, y`` of every row and pair: for charts of a bounded sample, not for whole tables."""
+    numbers = _numbers(df, measures)
     return numbers.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("left_field"), F.lit(b).alias("right_field"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in combinations(measures, 2)]))).where("x IS NOT NULL AND y IS NOT NULL")
+        F.struct(F.lit(measures[i]).alias("left_field"), F.lit(measures[j]).alias("right_field"), F.col(f"m{i}").alias("x"), F.col(f"m{j}").alias("y"))
+        for i, j in combinations(range(len(measures)), 2)]))).where("x IS NOT NULL AND y IS NOT NULL")
+
+
+def _numbers(df: DataFrame, measures: list[str]) -> DataFrame:
+    return df.select(*[number_of(df, m, "analytics").alias(f"m{i}") for i, m in enumerate(measures)])
+
+
+def _correlations(numbers: DataFrame, pairs: list[tuple[int, int]], prefix: str = "m") -> DataFrame:
+    """``i, j, n, value`` of pairs of columns: their joint moments side by side in one row, whatever the number of pairs.
+
+    A pair counts the rows that have both numbers. ``value`` is NULL without variance.
+    """
+    def block(part: list[tuple[int, int]]) -> DataFrame:
+        parts = []
+        for k, (i, j) in enumerate(part):
+            x, y = F.col(f"{prefix}{i}"), F.col(f"{prefix}{j}")
+            spread_of = [F.var_pop(F.when(other.isNotNull(), one)) for one, other in ((x, y), (y, x))]
+            value = F.try_divide(F.covar_pop(x, y), F.sqrt(spread_of[0] * spread_of[1]))
+            parts += [F.count(x + y).alias(f"n{k}"), value.alias(f"c{k}")]
+        return numbers.agg(*parts).select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{k}").alias("n"), F.col(f"c{k}").alias("value"))
+            for k, (i, j) in enumerate(part)])))
+
+    if not pairs:
+        return numbers.sparkSession.createDataFrame([], "i int, j int, n bigint, value double")
+    return reduce(DataFrame.unionByName, [block(pairs[at:at + PAIRS]) for at in range(0, len(pairs), PAIRS)])
+
+
+def _named(found: DataFrame, measures: list[str], value: str) -> DataFrame:
+    names = F.array(*[F.lit(m) for m in measures])
+    return found.select(F.get(names, F.col("i")).alias("left_field"), F.get(names, F.col("j")).alias("right_field"), "n",
+                        F.when(F.col("n") >= 3, F.col("value")).alias(value))
 
 
 def pearson(df: DataFrame, measures: list[str]) -> DataFrame:
-    """``left_field, right_field, n, pearson`` of all pairs in one pass; NULL without variance."""
-    both = _pairs(df, measures).groupBy("left_field", "right_field").agg(
-        F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    value = F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy")))
-    return both.select("left_field", "right_field", "n", F.when(F.col("n") >= 3, value).alias("pearson"))
+    """``left_field, right_field, n, pearson`` of all pairs with common rows in one pass; NULL without variance."""
+    found = _correlations(_numbers(df, measures), list(combinations(range(len(measures)), 2)))
+    return _named(found.where("n > 0"), measures, "pearson")
+
+
+def _average_ranks(numbers: DataFrame, measures: list[int]) -> DataFrame:
+    """The rows with ``r<i>``, the centred average rank of each measure: every measure is ranked once."""
+    long = numbers.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("value")) for i in measures])))
+    placed = running_totals(value_counts(long, "value", ["i"]), [F.col("value")], {"_end": "_weight"}, ["i"])
+    # centred on the mean (n + 1) / 2
+    centred = (F.col("_end") - F.col("_weight") + (F.col("_weight") + 1) / 2) - (F.col("_end_total") + 1) / 2
+    ranks = checkpointed(placed.select("i", "value", centred.alias("r")))
+    for i in measures:
+        table = ranks.where(F.col("i") == i).select(F.col("value").alias(f"m{i}"), F.col("r").alias(f"r{i}"))
+        numbers = attach(numbers, table, [f"m{i}"])
+    return numbers
+
+
+def _pair_ranks(numbers: DataFrame, pair: tuple[int, int]) -> DataFrame:
+    """``i, j, n, value`` of one pair whose numbers are missing in different rows: ranked among its common rows."""
+    i, j = pair
+    joint = (numbers.where(F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull())
+             .groupBy(F.col(f"m{i}").alias("m0"), F.col(f"m{j}").alias("m1")).agg(F.count("*").alias("w")))
+    sides = joint.select("w", F.inline(F.array(*[F.struct(F.lit(k).alias("i"), F.col(f"m{k}").alias("value")) for k in (0, 1)])))
+    placed = running_totals(value_counts(sides, "value", ["i"], "w"), [F.col("value")], {"_end": "_weight"}, ["i"])
+    centred = (F.col("_end") - F.col("_weight") + (F.col("_weight") + 1) / 2) - (F.col("_end_total") + 1) / 2
+    ranks = checkpointed(placed.select("i", "value", centred.alias("r")))
+    for k in (0, 1):
+        joint = attach(joint, ranks.where(F.col("i") == k).select(F.col("value").alias(f"m{k}"), F.col("r").alias(f"r{k}")), [f"m{k}"], "inner")
+    w, x, y = F.col("w"), F.col("r0"), F.col("r1")
+    sums = joint.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    return sums.select(F.lit(i).alias("i"), F.lit(j).alias("j"), "n", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("value"))
 
 
 def spearman(df: DataFrame, measures: list[str]) -> DataFrame:
     """Rank correlation of all pairs, average ranks on ties.
 
-    Equal pairs of values are merged first; ranks come from one sorted pass over both sides
-    of all pairs, and meet the pairs again in sliced joins.
+    Measures that are filled in the same rows are ranked once each, and one aggregate takes all
+    their pairs. Only a pair whose numbers are missing in different rows is ranked by itself, as
+    its ranks count common rows only. One row of counts, two per pair, comes to the driver.
     """
-    pair = ["left_field", "right_field"]
-    joint = _pairs(df, measures).groupBy(*pair, "x", "y").agg(F.count("*").alias("w"))
-    sides = joint.select(*pair, "w", F.inline(F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))))
-    counted = value_counts(sides, "value", [*pair, "side"], "w")
-    placed = running_totals(counted, [F.col("value")], {"_end": "_weight"}, [*pair, "side"])
-    # average ranks centred on their mean (n + 1) / 2
-    centred = (F.col("_end") - F.col("_weight") + (F.col("_weight") + 1) / 2) - (F.col("_end_total") + 1) / 2
-    ranks = placed.select(*pair, "side", "value", centred.alias("r"))
-    for side in ("x", "y"):
-        table = ranks.where(F.col("side") == side).select(*pair, F.col("value").alias(side), F.col("r").alias(f"r{side}"))
-        joint = attach(joint, table, [*pair, side], "inner")
-    w = F.col("w")
-    sums = joint.groupBy(*pair).agg(F.sum("w").alias("n"), F.sum(w * F.col("rx") * F.col("ry")).alias("xy"),
-                                    F.sum(w * F.col("rx") * F.col("rx")).alias("xx"),
-                                    F.sum(w * F.col("ry") * F.col("ry")).alias("yy"))
-    value = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    return sums.select(*pair, "n", F.when(F.col("n") >= 3, value).alias("spearman"))
+    pairs = list(combinations(range(len(measures)), 2))
+    numbers = kept(_numbers(spread(df), measures))
+    filled = numbers.agg(*[F.count(f"m{i}").alias(f"m{i}") for i in range(len(measures))]).first()
+    both = {(r.i, r.j): r.n for r in _correlations(numbers, pairs).select("i", "j", "n").collect()}
+    alike = [p for p in pairs if both[p] and both[p] == filled[f"m{p[0]}"] == filled[f"m{p[1]}"]]
+    parts = [_pair_ranks(numbers, p) for p in pairs if both[p] and p not in set(alike)]
+    if alike:
+        parts.append(_correlations(_average_ranks(numbers, sorted({i for p in alike for i in p})), alike, "r"))
+    if not parts:
+        parts = [_correlations(numbers, pairs).where("false")]
+    return _named(reduce(DataFrame.unionByName, parts), measures, "spearman")
 
 
 def numeric_associations(df: DataFrame, measures: list[str]) -> DataFrame:
@@ -289,11 +347,13 @@ def eta_squared(df: DataFrame, categories: list[str], measures: list[str]) -> Da
         F.inline(F.array(*[F.struct(F.lit(c).alias("category_field"),
                                     F.when(~is_blank(F.col(c)), cell_text(df, c)).alias("category"))
                            for c in categories])),
-        F.array(*[F.struct(F.lit(m).alias("measure_field"), number_of(df, m, "analytics").alias("x"))
-                  for m in measures]).alias("_m")).where("category IS NOT NULL")
-    long = cells.select("category_field", "category", F.inline("_m")).where("x IS NOT NULL")
-    groups = long.groupBy("category_field", "measure_field", "category").agg(
-        F.count("*").alias("c"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        *[number_of(df, m, "analytics").alias(f"m{i}") for i, m in enumerate(measures)]).where("category IS NOT NULL")
+    # all measures side by side: a row is read once for each category, not for each pair
+    moments = [f(f"m{i}").alias(f"{k}{i}") for i in range(len(measures)) for k, f in (("c", F.count), ("a", F.avg), ("v", F.var_pop))]
+    wide = cells.groupBy("category_field", "category").agg(*moments)
+    groups = wide.select("category_field", "category", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure_field"), F.col(f"c{i}").alias("c"), F.col(f"a{i}").alias("m"), F.col(f"v{i}").alias("v"))
+        for i, m in enumerate(measures)]))).where("c > 0")
     c, m = F.col("c"), F.col("m")
     sums = groups.groupBy("category_field", "measure_field").agg(
         F.sum("c").alias("n"), F.count("*").alias("groups"), F.sum(c * m).alias("s"), F.sum(c * m * m).alias("q"),
@@ -311,18 +371,20 @@ def cramers_v(df: DataFrame, dimensions: list[str], maximum_levels: int = 50) ->
     """
     texts = df.select(*[F.when(~is_blank(F.col(d)), cell_text(df, d)).alias(d) for d in dimensions])
     pair = ["left_field", "right_field"]
-    cells = texts.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("left_field"), F.lit(b).alias("right_field"), F.col(a).alias("a"), F.col(b).alias("b"))
+    # equal rows are merged before they are split into pairs
+    joint = texts.groupBy(*[F.col(f"`{d}`") for d in dimensions]).agg(F.count("*").alias("_o"))
+    cells = joint.select("_o", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("left_field"), F.lit(b).alias("right_field"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b"))
         for a, b in combinations(dimensions, 2)]))).where("a IS NOT NULL AND b IS NOT NULL")
-    counts = cells.groupBy(*pair, "a", "b").agg(F.count("*").alias("o"))
+    counts = kept(cells.groupBy(*pair, "a", "b").agg(F.sum("_o").alias("o")))
     rows = counts.groupBy(*pair, "a").agg(F.sum("o").alias("r"))
     columns = counts.groupBy(*pair, "b").agg(F.sum("o").alias("c"))
     sizes = rows.groupBy(*pair).agg(F.count("*").alias("rows"), F.sum("r").alias("n")).join(
         columns.groupBy(*pair).agg(F.count("*").alias("columns")), pair)
     fit = F.col("rows").between(2, maximum_levels) & F.col("columns").between(2, maximum_levels) & (F.col("n") >= 4)
     small = sizes.where(fit)
-    kept = counts.join(F.broadcast(small.select(*pair)), pair)  # one row per pair
-    parts = kept.join(rows, [*pair, "a"]).join(columns, [*pair, "b"])
+    fitting = counts.join(F.broadcast(small.select(*pair)), pair)  # one row per pair
+    parts = fitting.join(rows, [*pair, "a"]).join(columns, [*pair, "b"])
     sums = parts.groupBy(*pair).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("t"))
     value = F.sqrt(F.greatest(F.lit(0.0), F.col("t") - 1) / F.least(F.col("rows") - 1, F.col("columns") - 1))
     return sizes.join(sums, pair, "left").select(*pair, "n", "rows", "columns", value.alias("cramers_v"))

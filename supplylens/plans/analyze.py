@@ -153,7 +153,7 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
                                               F.lit(float(domain["confidence"])).alias("confidence"))
     results["insights"] = findings.insights(parts, domain["domain"])
     first_measure = measured[0] if measured else None
-    scatter = stats._pairs(sampled, numeric) if len(numeric) > 1 else None
+    scatter = stats.pair_rows(sampled, numeric) if len(numeric) > 1 else None
     bars = results["histograms"].where(F.col("column") == first_measure) if first_measure else None
     if any(x is not None for x in (line, ranking, pairs, bars, movers)):
         top = None

@@ -332,3 +332,34 @@ def confidence_scores(spark, folder):
     score = stats.score_confidence(F.col("n"), F.lit(1.0), F.lit(0.5), F.col("v") / 100)
     return groups.select("event_type", score.alias("score"), stats.confidence_label(score).alias("label"))
 
+
+
+MATRIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "gap", "hole"]
+_GAPS = """SELECT l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN l_linenumber < 5 THEN l_extendedprice * l_tax END AS gap,
+    CASE WHEN l_orderkey % 3 > 0 THEN l_suppkey - l_quantity END AS hole FROM lineitem"""
+_PAIRS = [(a, b) for i, a in enumerate(MATRIX) for b in MATRIX[i + 1:]]
+
+
+def with_gaps(spark, folder):
+    """Six measures, two of them missing in different rows."""
+    tax, order = F.col("l_extendedprice") * F.col("l_tax"), F.col("l_suppkey") - F.col("l_quantity")
+    return table(spark, folder, "lineitem").select(*MATRIX[:4], F.when(F.col("l_linenumber") < 5, tax).alias("gap"),
+                                                   F.when(F.col("l_orderkey") % 3 > 0, order).alias("hole"))
+
+
+@query(f"WITH g AS ({_GAPS}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS left_field, '{b}' AS right_field, count({a} + {b}) AS n, round(corr({a}, {b}), 4) AS pearson FROM g" for a, b in _PAIRS))
+def pearson_matrix(spark, folder):
+    return rounded(stats.pearson(with_gaps(spark, folder), MATRIX))
+
+
+def _ranked(a: str, b: str) -> str:
+    def rank(c: str) -> str:
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f"""SELECT '{a}' AS left_field, '{b}' AS right_field, count(*) AS n, round(corr(x, y), 4) AS spearman FROM (
+        SELECT {rank(a)} AS x, {rank(b)} AS y FROM g WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+@query(f"WITH g AS ({_GAPS}) " + " UNION ALL ".join(_ranked(a, b) for a, b in _PAIRS))
+def spearman_matrix(spark, folder):
+    return rounded(stats.spearman(with_gaps(spark, folder), MATRIX))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,18 @@ def test_quality_table_and_fingerprint(rows):
     assert one != profile.fingerprint(df.withColumn("n", F.col("n") + 1)).first().fingerprint
     row = df.select(stats.score_confidence(F.lit(1000), F.lit(1.0), F.lit(0.5), F.lit(0.5)).alias("s")).first()
     assert row.s == 0.75
+
+
+def test_rank_correlations_with_gaps_against_pandas(spark):
+    rng = random.Random(4)
+    data = [tuple(None if rng.random() < gap else float(rng.randrange(many)) for many, gap in ((5, 0), (90, 0), (40, 0.2), (7, 0.5), (1, 0), (9, 1))) for _ in range(300)]
+    names = list("abcdef")
+    df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in names))
+    frame = df.toPandas()
+    for method, found in (("pearson", stats.pearson(df, names)), ("spearman", stats.spearman(df, names))):
+        want, rows = frame.corr(method=method), found.collect()
+        assert {(r.left_field, r.right_field) for r in rows} == {(a, b) for i, a in enumerate("abcde") for b in "abcde"[i + 1:]}
+        for r in rows:
+            value = want.loc[r.left_field, r.right_field]
+            assert r.n == len(frame[[r.left_field, r.right_field]].dropna())
+            assert (r[method] is None) if math.isnan(value) else r[method] == pytest.approx(value)
