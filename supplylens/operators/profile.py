@@ -15,8 +15,8 @@ from supplylens.functions.parse import (
     parse_period,
 )
 from supplylens.functions.text import analytics_text, is_blank, normalize_label
-from supplylens.plans.ordered import quantiles
-from supplylens.session import checkpointed
+from supplylens.plans.ordered import narrowed_quantiles
+from supplylens.session import checkpointed, kept, spread
 from supplylens.vocab import (
     ALMOST_CONSTANT, DIMENSION_ROLES, IDENTIFIER_HINT, MEASURE_HINT, MEASURE_ROLES, SEMANTIC_RULES,
     VALUE_PATTERNS,
@@ -42,18 +42,23 @@ def value_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     ``native`` is ``number``, ``date`` or ``text``; ``number`` is set for native numbers.
     """
-    parts = []
+    rows, parts = spread(df), []
     for name in columns or df.columns:
         kind = df.schema[name].dataType
         native = "number" if isinstance(kind, T.NumericType) else "date" if isinstance(kind, STAMPS) else "text"
-        text = cell_text(df, name)
+        # doubles hold these numbers exactly: their text is made once for each distinct one
+        form = "double" if isinstance(kind, T.DoubleType) else "whole" if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)) else "text"
+        text = cell_text(df, name) if form == "text" else F.lit(None).cast("string")
         if native == "text":
             text = F.when(~is_blank(text), text)
         number = F.col(f"`{name}`").cast("double") if native == "number" else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(name).alias("column"), F.lit(native).alias("native"),
+        parts.append(F.struct(F.lit(name).alias("column"), F.lit(native).alias("native"), F.lit(form).alias("form"),
                               text.alias("value"), number.alias("number")))
-    cells = df.select(F.inline(F.array(*parts)))
-    return cells.groupBy("column", "native", "value", "number").agg(F.count("*").alias("n"))
+    cells = rows.select(F.inline(F.array(*parts)))
+    counted = cells.groupBy("column", "native", "form", "value", "number").agg(F.count("*").alias("n"))
+    text = (F.when(F.col("form") == "double", F.regexp_replace(F.col("number").cast("string"), r"\.0$", ""))
+            .when(F.col("form") == "whole", F.col("number").cast("bigint").cast("string")).otherwise(F.col("value")))
+    return counted.select("column", "native", text.alias("value"), "number", "n")
 
 
 def parsed_values(values: DataFrame) -> DataFrame:
@@ -136,8 +141,8 @@ def physical_type(declared: Column | None = None) -> tuple[Column, Column]:
 
 def numeric_stats(parsed: DataFrame) -> DataFrame:
     """Exact quartiles, median, MAD and population sd per column of parsed values."""
-    numbers = parsed.where("number IS NOT NULL").groupBy("column", "number").agg(F.sum("n").alias("w"))
-    middle = quantiles(numbers, "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"], "w")
+    numbers = kept(parsed.where("number IS NOT NULL").select("column", "number", F.col("n").alias("w")))
+    middle = narrowed_quantiles(numbers, "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "column", "w")
     middle = middle.withColumnRenamed("n", "numeric_count")
     means = numbers.groupBy("column").agg((F.sum(F.col("number") * F.col("w")) / F.sum("w")).alias("mean"))
     around = numbers.join(F.broadcast(middle.select("column", "median")), "column").join(
@@ -146,7 +151,7 @@ def numeric_stats(parsed: DataFrame) -> DataFrame:
         F.sqrt(F.sum(F.col("w") * F.pow(F.col("number") - F.col("mean"), F.lit(2.0))) / F.sum("w"))
         .alias("standard_deviation"))
     away = around.select("column", "w", F.abs(F.col("number") - F.col("median")).alias("away"))
-    mad = quantiles(away, "away", {"mad": 0.5}, ["column"], "w").drop("n")
+    mad = narrowed_quantiles(away, "away", {"mad": 0.5}, "column", "w").drop("n")
     return middle.join(means, "column").join(spread, "column").join(mad, "column").withColumn(
         "iqr", F.col("q3") - F.col("q1"))
 
@@ -198,7 +203,7 @@ class Profile:
     def __init__(self, df: DataFrame, fields: list[str] | None = None, declared: dict[str, str] | None = None,
                  labels: dict[str, str] | None = None, total_rows: int | None = None):
         self.df, self.fields = df, fields or df.columns
-        self.parsed = checkpointed(parsed_values(checkpointed(value_table(df, self.fields))))
+        self.parsed = kept(parsed_values(kept(value_table(df, self.fields))))
         self.labels, self.declared, self.total_rows = labels or {}, declared or {}, total_rows
         self.columns = checkpointed(self._columns())
 

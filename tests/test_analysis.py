@@ -1,5 +1,7 @@
+import datetime
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,59 +10,62 @@ from supplylens.operators import domain, profile, quality, stats, tables
 from supplylens.plans import ordered
 from supplylens.plans.analyze import analyze
 
-FIELDS = ["id", "date", "material", "category", "supplier", "quantity", "price", "status"]
+FIELDS = ["record_id", "day", "material", "line", "supplier", "quantity", "price"]
+MATERIALS = ["Granulat PP", "Etykieta 40x60", "Klej", "Paleta EUR"]
+SPIKE, COPIES = 4200.0, (10, 20, 21)
 
 
 @pytest.fixture(scope="module")
-def fixture(spark):
-    data, number = [], 1
-    for month in range(18):
-        for place, material in enumerate(["Karton", "Folia", "Taśma"]):
-            quantity = 999.0 if month == 15 and material == "Folia" else 100.0 + month * 8 + place * 25
-            data.append((number, f"r-{number}", f"{2025 + month // 12}-{month % 12 + 1:02d}-15", material,
-                         "Papier" if material == "Karton" else "Tworzywo",
-                         "" if month % 7 == 0 else "Supplier A" if material == "Karton" else "Supplier B",
-                         quantity, quantity * 2 + place, "Review" if month % 5 == 0 else "OK"))
-            number += 1
-    data.append((number, *data[5][1:]))
-    return spark.createDataFrame(data, "source_row int, id string, date string, material string, category string, "
-                                       "supplier string, quantity double, price double, status string")
+def entries():
+    """One entry every six days for 14 months: rising usage with noise, one spike, repeated entries, blank suppliers."""
+    rng, rows = random.Random(11), []
+    for k in range(70):
+        day = datetime.date(2023, 2, 3) + datetime.timedelta(days=6 * k)
+        quantity = SPIKE if k == 41 else round(60 + 2.5 * k + rng.gauss(0, 3), 1)
+        rows.append((f"E{k:03d}/{day.year}", day.isoformat(), MATERIALS[rng.randrange(4)], f"L{rng.randrange(1, 4)}",
+                     None if k % 6 == 0 else rng.choice(["Hurt Pol", "Odra", "Baltic"]), quantity, round(quantity * 3.4 + rng.uniform(0, 9), 2)))
+    return [*rows, *(rows[k] for k in COPIES)]
 
 
 @pytest.fixture(scope="module")
-def result(fixture):
-    return analyze(fixture, ["source_row"], FIELDS)
+def result(spark, entries):
+    schema = "source_row int, record_id string, day string, material string, line string, supplier string, quantity double, price double"
+    return analyze(spark.createDataFrame([(n, *row) for n, row in enumerate(entries)], schema), ["source_row"], FIELDS)
 
 
-def test_profile_and_roles(result):
+def test_profile_and_roles(result, entries):
     got = {r.column: r for r in result["profile"].collect()}
-    assert got["date"].physical_type == "date" and got["quantity"].physical_type == "number"
-    assert got["supplier"].missing_count == 9 and got["supplier"].missing_ratio == 9 / 55
+    assert got["day"].physical_type == "date" and got["quantity"].physical_type == "number"
+    blank = sum(row[4] is None for row in entries)
+    assert got["supplier"].missing_count == blank and got["supplier"].missing_ratio == blank / len(entries)
     assert (got["quantity"].semantic_role, got["price"].semantic_role) == ("quantity", "price")
-    assert got["material"].analytical_role == "dimension" and got["id"].expected_unique
-    q = got["quantity"]
-    assert q.numeric_count == 55 and q.maximum == 999.0 and q.iqr == q.q3 - q.q1
+    assert got["material"].analytical_role == "dimension" and got["record_id"].analytical_role == "identifier"
+    q, values = got["quantity"], sorted(row[5] for row in entries)
+    assert q.numeric_count == len(values) and q.maximum == SPIKE and q.iqr == q.q3 - q.q1
+    assert q.median == pytest.approx(statistics.median(values)) and q.sum == pytest.approx(sum(values))
 
 
-def test_outlier_correlation_duplicate(result):
+def test_outlier_correlation_duplicate(result, entries):
     found = result["outliers"].where("measure = 'quantity'").collect()
-    assert any(r.value == 999.0 and r.severity == "high" for r in found)
+    assert any(r.value == SPIKE and r.severity == "high" for r in found)
     pair = result["correlations"].first()
-    assert pair.pearson > 0.9 and pair.n == 55
+    assert pair.n == len(entries)
+    assert pair.pearson == pytest.approx(statistics.correlation([r[5] for r in entries], [r[6] for r in entries]))
     issues = {r.id: r for r in result["issues"].collect()}
-    assert issues["duplicate-rows"]["count"] == 1 and issues["missing-supplier"].severity == "medium"
-    assert result["quality"].first().grade in "AB"
+    assert issues["duplicate-rows"]["count"] == len(COPIES) and "missing-supplier" in issues
+    assert result["quality"].first().grade in "ABC"
 
 
-def test_trends_and_insights(result):
+def test_trends_and_insights(result, entries):
     assert {r.measure for r in result["trends"].collect()} == {"quantity", "price"}
-    aggs = result["series"].where("measure = 'price' AND period = '2025-01'").first()
-    assert aggs.value == pytest.approx((200 + 251 + 302) / 3)
+    month = [row[6] for row in entries if row[1].startswith("2023-05")]
+    aggs = result["series"].where("measure = 'price' AND period = '2023-05'").first()
+    assert aggs.value == pytest.approx(sum(month) / len(month)) and aggs.records == len(month)
     kinds = {r.type for r in result["insights"].collect()}
-    assert {"quality", "anomaly", "correlation", "trend"} <= kinds
+    assert {"quality", "anomaly", "correlation"} <= kinds
     assert result["contributors"].count() > 0 and result["charts"].count() > 0
     assert all(r.passed for r in result["checks"].collect())
-    assert result["pivot-primary-dimension"].count() == 3
+    assert result["pivot-primary-dimension"].count() == len({row[2] for row in entries})
 
 
 def test_series_aggregations(rows):
