@@ -59,6 +59,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: alphabets of keys and the bits a character of each can carry; a run of any other signs has 6
+ALPHABETS = ((re.compile(r"[0-9A-F]+|[0-9a-f]+"), 4.0), (re.compile(r"[A-Z2-7]+=*|[a-z2-7]+=*"), 5.0), (re.compile(r"[0-9A-Z]+|[0-9a-z]+"), 5.17))
+
+
+def _bits(run: str) -> float:
+    """What a character of a run can carry at most: no coder makes random signs of its alphabet smaller than that."""
+    return next((bits for alphabet, bits in ALPHABETS if alphabet.fullmatch(run)), 6.0)
+
+
 def _continued(text: str, start: int, end: int, novel) -> int:
     """Where the run ``start`` to ``end`` ends with its dot-joined parts and the lines of its block.
 
@@ -88,7 +97,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, r
                 near: int = 48, share: float = 0.7) -> list[tuple[int, int, int]]:
     """Strings that start within ``near`` characters after a sensitive word and add ``share`` of their length.
 
-    They have letters and digits and any length; those that overlap a base span are left to it.
+    The share is that of six bits a character; a run of fewer signs (hexadecimal, base 32, base 36) needs as
+    much less as its alphabet carries, so its length does not decide. Strings have letters and digits and any length; those that overlap a base span are left to it.
     A string goes on over its dot-joined parts or the further lines of its block, also after a
     base span. Runs are found in one pass; a word within a run starts it anew.
     """
@@ -119,13 +129,14 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, r
         if min(ends[end]) <= start:
             return False
         head = min(end, start + HEAD)
-        if added(start, head) >= share * (head - start):
+        need = share * _bits(text[start:end]) / 6
+        if added(start, head) >= need * (head - start):
             return True
         # the rest of a run takes no more than the run did, but for the frame
-        if head == end or end in size and size[end] + 64 < share * (end - start):
+        if head == end or end in size and size[end] + 64 < need * (end - start):
             return False
         size[end] = added(start, end)
-        return size[end] >= share * (end - start)
+        return size[end] >= need * (end - start)
 
     out: list[tuple[int, int, int]] = []
     at = 0
@@ -195,7 +206,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Assignments, access keys and hexadecimal strings are found by patterns. Further strings near
     a sensitive word are candidates: each is compressed with a zstandard dictionary of common
     identifiers and the text around it, and is reported as ``novel`` where it, or its first 512
-    characters, still takes 70 % of its length. Candidates have any length; a reported one goes on
+    characters, still takes 70 % of its length (of six bits a character; less in smaller alphabets).
+    A key of letters only and one that stands before its word are not candidates, as ordinary long words
+    and identifiers stand there too. Candidates have any length; a reported one goes on
     over dot-joined parts and adjoining lines (tokens in three parts, key blocks). Ordinary words, repeated values and placeholders are explained by the dictionary.
 
     Documents never move. Null and empty texts have no spans; repeated rows have the same result;

@@ -246,6 +246,73 @@ def test_secrets(spark, nothing):
     assert secrets.secret_spans(spark, nothing).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz",
+                                      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_keys_of_any_alphabet_and_length(alphabet):
+    rng, novelty = random.Random(8), secrets.Novelty()
+    for length in (24, 40, 64, 128, 256, 512, 1000, 20_000, 100_000):
+        key = "".join(rng.choice(alphabet) for _ in range(length - 2)) + ("7A" if "A" in alphabet else "7a")
+        text = f"use the private credential {key} from now on"
+        assert secrets.novel_spans(text, secrets.base_spans(text), novelty) == [(27, 3, 27 + length)], length
+    words = "the private credential is a long and ordinary sentence of the configuration, the secret placeholder_0000000000000000000"
+    assert secrets.novel_spans(words, [], novelty) == []
+
+
+def test_base_spans_against_a_plain_search():
+    """The three patterns by hand, sign by sign."""
+    rng = random.Random(9)
+    signs = ["password", "Token", "api_key", "apikey", "secret", ":", "=", " ", '"', "abc", "0f", "AKIA", "Z9", "é", "\n", "_", "deadbeef", "x/+"]
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assigns(text):
+        out, at = [], 0
+        while at < len(text):
+            end = None
+            for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if text[at:at + len(word)].lower() == word and text[at:at + len(word)].isascii():
+                    i = at + len(word)
+                    i += text[i:i + 1] in ('"', "'") and len(text) > i
+                    while text[i:i + 1] == " ":
+                        i += 1
+                    if text[i:i + 1] not in (":", "=") or i >= len(text):
+                        continue
+                    i += 1
+                    while text[i:i + 1] == " ":
+                        i += 1
+                    i += i < len(text) and text[i] in ('"', "'")
+                    j = i
+                    while j < len(text) and text[j] in value:
+                        j += 1
+                    if j > i:
+                        end = (i, j)
+                        break
+            if end:
+                out += [(at, 0, end[1])] if end[1] - end[0] >= 8 else []
+                at = end[1]
+            else:
+                at += 1
+        return out
+
+    def runs(text, kind, lead, allowed, least):
+        out, at = [], 0
+        while at < len(text):
+            j = at + len(lead)
+            if text.startswith(lead, at):
+                while j < len(text) and text[j] in allowed:
+                    j += 1
+                if j > at + len(lead):
+                    out += [(at, kind, j)] if j - at >= least else []
+                    at = j
+                    continue
+            at += 1
+        return out
+
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(40)))
+        want = assigns(text) + runs(text, 1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16) + runs(text, 2, "", set("0123456789abcdef"), 32)
+        assert secrets.base_spans(text) == sorted(want), text
+
+
 def test_long_secrets_are_whole(spark):
     rng = random.Random(8)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
