@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from supplylens.llm import textarrays as T
 from supplylens.llm.anchors import covered
@@ -112,10 +113,10 @@ def _items_of(window: np.ndarray, row: np.ndarray, p: Phrases) -> tuple[np.ndarr
     return both[:, 0], both[:, 1]
 
 
-def _marked(block: Phrases, first: bool, last: bool):
+def _marked(block: Phrases, first: bool, last: bool, columns: list[str], clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            earlier = None if first else (list_sets(batch.column("hits")), list_sets(batch.column("items")))
+            earlier = None if first else (list_sets(batch.column("_hits")), list_sets(batch.column("_items")))
             for chunk in T.chunks(batch.column("text"), SHARD_BYTES):
                 part = slice(chunk.first, chunk.first + chunk.n)
                 words, hashes = _words(chunk)
@@ -135,13 +136,16 @@ def _marked(block: Phrases, first: bool, last: bool):
                 hit_row = np.flatnonzero(hit)
                 if not last:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id")[part], batch.column("text")[part],
+                        [*(batch.column(c)[part] for c in columns),
                          pa.ListArray.from_arrays(pa.array(np.searchsorted(row[hit_row], np.arange(chunk.n + 1)).astype(np.int32)),
                                                   pa.array(hit_row - words.first[row[hit_row]])),
                          pa.ListArray.from_arrays(pa.array(item_at.astype(np.int32)), pa.array(items))],
-                        ["doc_id", "text", "hits", "items"])
+                        [*columns, "_hits", "_items"])
                     continue
                 n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
+                if clean:
+                    yield batch.select(columns).slice(chunk.first, chunk.n).filter(pa.array(n_hit == 0))
+                    continue
                 none = hashlib.sha256(b"").hexdigest()
                 digest = [none] * chunk.n
                 for r in np.unique(rows):
@@ -183,13 +187,29 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     Null and empty texts have no words; items with a null id or text are ignored; repeated rows
     have the same result; items that share an id count once. Other columns are ignored.
     """
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _passes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, width, block_bytes, False)
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10,
+                         block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs.
+
+    Each row is judged by its own text where it stands, whatever its id: rows with a null id or
+    one that others share are kept or go like all others.
+    """
+    return _passes(docs, benchmark, width, block_bytes, True)
+
+
+def _passes(out: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, clean: bool) -> DataFrame:
+    """One pass over the documents for each block of items; the last one gives verdicts or the clean rows."""
+    own = out.schema
+    verdicts = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    between = StructType([*own.fields, StructField("_hits", ArrayType(LongType())), StructField("_items", ArrayType(LongType()))])
     blocks, first = _blocks(benchmark, block_bytes), True
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
-        schema = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-                  if after is None else "doc_id long, text string, hits array<long>, items array<long>")
-        out = out.mapInArrow(_marked(phrases(block, width), first, after is None), schema)
+        schema = between if after is not None else own if clean else verdicts
+        out = out.mapInArrow(_marked(phrases(block, width), first, after is None, own.names, clean), schema)
         block, first = after, False
     return out

@@ -199,3 +199,15 @@ def test_patterns_that_cancel_are_two_texts(spark):
     assert hits == {1: True, 2: False, 3: True, 4: False}
     crcs = {r.doc_id: r.ids_crc32 for r in packing.packed_sequences(spark, docs.where("doc_id < 3")).collect()}
     assert crcs[1] != crcs[2]
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 60])
+def test_clean_rows_are_judged_by_their_own_text(spark, block_bytes):
+    bad, good = "one two three four five six seven eight nine ten eleven", "nothing of that kind is written here"
+    docs = spark.createDataFrame([(1, bad, [1], "a"), (1, good, None, "b"), (None, bad, None, "c"), (None, good, [2], "d"), (2, None, None, "e"), (3, "", None, "f")],
+                                 "doc_id long, text string, items array<long>, hits string")
+    items = spark.createDataFrame([(1, bad), (2, "other words of a second item, long enough for a window of ten"), (3, None)], "item_id long, text string")
+    kept = decontaminate.without_contaminated(spark, docs, items, block_bytes=block_bytes)
+    assert kept.schema == docs.schema and sorted(r.hits for r in kept.collect()) == ["b", "d", "e", "f"]
+    verdicts = decontaminate.contamination(spark, docs, items, block_bytes=block_bytes)
+    assert sum(r.contaminated for r in verdicts.collect()) == 2
