@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplylens.functions.parse import date_of, is_period, number_of
@@ -143,6 +143,28 @@ def top_groups(df: DataFrame, dimension: str, measure: str, k: int = 8) -> DataF
     return rows.groupBy("label").agg(F.sum("x").alias("value")).orderBy(F.desc("value"), "label").limit(k)
 
 
+def rankings(df: DataFrame, dimensions: dict[str, str], measure: str, k: int = 8) -> DataFrame:
+    """``ranking, place, label, value``: the ``k`` largest sums of each named dimension, all from one aggregate."""
+    labels = {name: F.coalesce(F.nullif(analytics_text(cell_text(df, c)), F.lit("")), F.lit(MISSING)).alias(f"_{name}") for name, c in dimensions.items()}
+    rows = df.select(*labels.values(), number_of(df, measure, "analytics").alias("x")).where("x IS NOT NULL")
+    sums = rows.groupingSets([[F.col(f"_{n}")] for n in labels], *[F.col(f"_{n}") for n in labels]).agg(
+        *[F.grouping(f"_{n}").alias(f"_no_{n}") for n in labels], F.sum("x").alias("value"))
+    name, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n in labels:
+        name, label = F.when(F.col(f"_no_{n}") == 0, n).otherwise(name), F.when(F.col(f"_no_{n}") == 0, F.col(f"_{n}")).otherwise(label)
+    order = Window.partitionBy("ranking").orderBy(F.desc("value"), "label")
+    return (sums.select(name.alias("ranking"), label.alias("label"), "value").withColumn("place", F.row_number().over(order))
+            .where(F.col("place") <= k).select("ranking", "place", "label", "value"))
+
+
+def _first_of_kinds(df: DataFrame, kinds: dict[str, Column], order: list[str], columns: list[Column], limit: int) -> DataFrame:
+    """``kind, place`` and ``columns`` of the first ``limit`` rows of each kind in the order of the rows."""
+    found = F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in kinds.items()]))
+    rows = df.select(F.explode(found).alias("kind"), *order, *columns)
+    window = Window.partitionBy("kind").orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= limit)
+
+
 def _numbers(df: DataFrame, roles: dict[str, str]) -> dict[str, Column]:
     return {name: number_of(df, roles[name], "analytics") if name in roles else F.lit(None).cast("double")
             for name in ("ordered", "delivered", "remaining")}
@@ -186,6 +208,30 @@ def delivery_kpis(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     return facts.withColumn("completion", F.when(F.col("ordered") > 0, F.col("delivered") / F.col("ordered")))
 
 
+def delivery_details(df: DataFrame, roles: dict[str, str], order: list[str], limit: int = 100) -> DataFrame:
+    """The first ``limit`` rows, in the order of ``order``, of each check of a delivery register.
+
+    ``kind`` is ``incomplete``, ``inconsistent`` or ``over_delivered``; ``amount`` is what
+    remains, the difference of the equation, or the excess.
+    """
+    rows = delivery_rows(df, roles)
+    amount = (F.when(F.col("kind") == "incomplete", F.coalesce(F.col("r"), F.col("o") - F.col("d")))
+              .when(F.col("kind") == "inconsistent", F.col("delta")).otherwise(F.col("d") - F.col("o")))
+    kinds = {k: F.col(k) for k in ("incomplete", "inconsistent", "over_delivered")}
+    name = cell_text(df, roles["order"]) if "order" in roles else F.lit(None).cast("string")
+    found = _first_of_kinds(rows, kinds, order, [name.alias("_order"), F.col("o"), F.col("d"), F.col("r"), F.col("delta")], limit)
+    return found.select("kind", "place", *order, F.col("_order").alias("order_name"), F.col("o").alias("ordered_amount"), F.col("d").alias("delivered_amount"),
+                        F.col("r").alias("remaining_amount"), amount.alias("amount"))
+
+
+def procurement_details(df: DataFrame, roles: dict[str, str], order: list[str], conventions: dict[str, str] | None = None, limit: int = 100) -> DataFrame:
+    """The first ``limit`` rows each with a period in place of a day (``week_only``) or a delivery before its transport (``negative``)."""
+    rows = lead_times(df, roles, conventions)
+    kinds = {"week_only": F.col("week_only"), "negative": F.coalesce(F.col("lead_days") < 0, F.lit(False))}
+    found = _first_of_kinds(rows, kinds, order, [F.col("lead_days"), F.col(roles["on_site"]).cast("string").alias("_text")], limit)
+    return found.select("kind", "place", *order, F.when(F.col("kind") == "week_only", F.col("_text")).alias("period"), "lead_days")
+
+
 def lead_times(df: DataFrame, roles: dict[str, str], conventions: dict[str, str] | None = None) -> DataFrame:
     """Rows with ``lead_days`` and ``week_only`` for dates that name a period only.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplylens.functions.dates import period_key
 from supplylens.functions.parse import date_of, number_of, timestamp_of
 from supplylens.functions.text import is_blank
+from supplylens.session import kept
 from supplylens.vocab import MISSING
 
 # Preset groupings, all the sum of quantity.
@@ -88,14 +91,32 @@ def _total(parts: list[Column]) -> Column:
     return F.when(F.coalesce(*parts).isNotNull(), whole)
 
 
-def pivot_table(df: DataFrame, rows: list[str], column: str, value: str, agg: str = "sum") -> DataFrame:
-    """Wide form of one value and one column field, with a ``Razem`` row at the end."""
+#: a wide table has at most this many columns of one key
+WIDEST = 2000
+
+
+def widen(long: DataFrame, rows: list[str], key: str, value: str, maximum: int = WIDEST) -> DataFrame:
+    """One column per ``key``, in the order of their names; ``long`` itself where there are more than ``maximum``.
+
+    The keys are counted in a written table before any comes to the driver.
+    """
+    keys = kept(long.select(key).where(F.col(key).isNotNull()).distinct())
+    if keys.count() > maximum:
+        return long
+    return long.groupBy(*rows).pivot(key, sorted(r[0] for r in keys.collect())).agg(F.first(value))
+
+
+def pivot_table(df: DataFrame, rows: list[str], column: str, value: str, agg: str = "sum", maximum: int = WIDEST) -> DataFrame:
+    """Wide form of one value and one column field, with a ``Razem`` row at the end.
+
+    Beyond ``maximum`` columns the result is complete in long form: ``rows, _key, _value``.
+    """
     long = pivot(df, rows, [column], [value], agg)
     cells = long.where(F.col("level").isin("cell", "column_total"))
     marked = cells.select(F.col("level") == "column_total", *rows,
                           F.coalesce(F.col(column).cast("string"), F.lit("(pusta wartość)")).alias("_key"),
                           F.col(value).alias("_value")).toDF("_footer", *rows, "_key", "_value")
-    wide = marked.groupBy("_footer", *rows).pivot("_key").agg(F.first("_value"))
+    wide = widen(kept(marked), ["_footer", *rows], "_key", "_value", maximum)
     label = F.when(F.col("_footer"), "Razem").otherwise(F.col(rows[0]).cast("string"))
     return wide.withColumn(rows[0], label).orderBy("_footer", *rows).drop("_footer")
 
@@ -121,6 +142,28 @@ def template(df: DataFrame, name: str = "material") -> DataFrame:
     return pivot(df, fields, [], ["quantity"], "sum")
 
 
+def templates(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """All presets (those whose fields are there) as grouping sets of one aggregate: the table is read once.
+
+    ``template, level, key, quantity, records``: cells have the preset's keys as text (joined by
+    `` / ``), the ``grand_total`` belongs to all and has no template.
+    """
+    names = available_templates(df) if names is None else names
+    fields = list(dict.fromkeys(f for n in names for f in TEMPLATES[n]))
+    cells = df.select(*[_group_value(f) for f in fields], number_of(df, "quantity").alias("x"))
+    flags = {f: F.grouping(f).alias(f"_no_{f}") for f in fields}
+    grouped = cells.groupingSets([*[[F.col(f) for f in TEMPLATES[n]] for n in names], []], *[F.col(f) for f in fields]).agg(
+        *flags.values(), F.coalesce(F.sum("x"), F.lit(0.0)).alias("quantity"), F.count("*").alias("records"))
+    name, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n in names:
+        own = [F.col(f"_no_{f}") == (0 if f in TEMPLATES[n] else 1) for f in fields]
+        name = F.when(reduce(lambda a, b: a & b, own), n).otherwise(name)
+        key = F.when(reduce(lambda a, b: a & b, own), F.concat_ws(" / ", *[F.col(f).cast("string") for f in TEMPLATES[n]])).otherwise(key)
+    key = F.when(F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull(), key)  # a blank group is NULL
+    return grouped.select(name.alias("template"), F.when(name.isNull(), "grand_total").otherwise("cell").alias("level"),
+                          key.alias("key"), "quantity", "records")
+
+
 def available_templates(df: DataFrame) -> list[str]:
     return [n for n, fields in TEMPLATES.items() if set(fields) <= set(df.columns) and "quantity" in df.columns]
 
@@ -154,30 +197,35 @@ def summary_cells(df: DataFrame, row: str, column: str | None, value: str, agg:
                      (timestamp_of(df, order_by, "analytics", convention) if order_by
                       else F.lit(None).cast("timestamp_ntz")).alias("_at"),
                      *[F.col(c).alias(f"_s{i}") for i, c in enumerate(sequence or [])])
+    # totals merge the states of the cells of their row: the table is read and shuffled once
+    row_cells = Window.partitionBy("row_key")
     if agg == "latest":
         place = F.struct("_at", *[f"_s{i}" for i in range(len(sequence or []))])
         newest = F.max(F.when(F.col("x").isNotNull(), F.struct(place.alias("place"), F.col("x").alias("x"))))
         cells = base.groupBy("row_key", "column_key").agg(newest.alias("state"))
-        totals = cells.groupBy("row_key").agg(F.max("state").alias("total_state"))
-        value_of, total_of = F.col("state.x"), F.col("total_state.x")
-    else:
-        cells = base.groupBy("row_key", "column_key").agg(F.sum("filled").alias("records"), *_states("v", F.col("x")))
-        totals = cells.groupBy("row_key").agg(F.sum("records").alias("records"), *_merge("v"))
-        none = F.col("v_n") == 0
-        def finish() -> Column:
-            done = _finish(agg, "v")
-            return done if agg == "count" else F.when(~none, done)
-        cells = cells.select("row_key", "column_key", finish().alias("value"))
-        totals = totals.select("row_key", finish().alias("total_value"))
-        value_of, total_of = F.col("value"), F.col("total_value")
-    return cells.join(totals, "row_key").select("row_key", "column_key", value_of.alias("value"),
-                                                total_of.alias("total_value"))
+        total = F.max("state").over(row_cells)
+        return cells.select("row_key", "column_key", F.col("state.x").alias("value"), total["x"].alias("total_value"))
+    cells = base.groupBy("row_key", "column_key").agg(F.sum("filled").alias("records"), *_states("v", F.col("x")))
+    whole = cells.select("row_key", "column_key", *[F.struct(*[c.alias(n) for n, c in parts.items()]).alias(name) for name, parts in (
+        ("cell", {n: F.col(n) for n in ("records", "v_sum", "v_n", "v_min", "v_max")}),
+        ("total", {"records": F.sum("records").over(row_cells), "v_sum": F.sum("v_sum").over(row_cells), "v_n": F.sum("v_n").over(row_cells),
+                   "v_min": F.min("v_min").over(row_cells), "v_max": F.max("v_max").over(row_cells)}))])
+
+    def finish(state: str) -> Column:
+        part = F.col(state)
+        if agg == "count":
+            return part["records"].cast("double")
+        done = {"avg": F.try_divide(part["v_sum"], part["v_n"]), "average": F.try_divide(part["v_sum"], part["v_n"]),
+                "min": part["v_min"], "max": part["v_max"]}.get(agg, part["v_sum"])
+        return F.when(part["v_n"] > 0, done)
+
+    return whole.select("row_key", "column_key", finish("cell").alias("value"), finish("total").alias("total_value"))
 
 
 def pivot_summary(df: DataFrame, row: str, column: str | None, value: str, agg: str = "sum",
                   limit: int = 100, **options) -> DataFrame:
     """The ``limit`` rows of the largest absolute total, as cells."""
-    cells = summary_cells(df, row, column, value, agg, **options)
+    cells = kept(summary_cells(df, row, column, value, agg, **options))
     totals = cells.select("row_key", "total_value").distinct()
     size = F.abs(F.coalesce("total_value", F.lit(0.0)))
     best = totals.orderBy(size.desc(), "row_key").limit(limit).select("row_key")
@@ -193,10 +241,10 @@ def long_pivot_top(df: DataFrame, row: str, column: str | None, value: str, agg:
     return cells if limit is None else cells.orderBy(F.abs("value").desc_nulls_last(), "row_key", "column_key").limit(max(1, limit))
 
 
-def long_to_wide(cells: DataFrame) -> DataFrame:
-    """One row per ``row_key`` with a column per ``column_key`` and the ``total``."""
-    return (cells.groupBy("row_key", F.col("total_value").alias("total")).pivot("column_key")
-            .agg(F.first("value")))
+def long_to_wide(cells: DataFrame, maximum: int = WIDEST) -> DataFrame:
+    """One row per ``row_key`` with a column per ``column_key`` and the ``total``; the cells as they are beyond ``maximum`` columns."""
+    named = kept(cells.withColumnRenamed("total_value", "total"))
+    return widen(named, ["row_key", "total"], "column_key", "value", maximum)
 
 
 def chart_series(long: DataFrame, rows: list[str], value: str, kind: str = "bar", limit: int = 100,

@@ -90,6 +90,13 @@ def _weight(test: Column) -> Column:
     return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
 
 
+def _pattern_shares() -> Column:
+    """For each value pattern the share of the different filled texts that fit it: a common placeholder is one of them."""
+    text = F.when(F.col("native") == "text", analytics_text(F.col("value")))
+    filled = F.count_if(text != "")
+    return F.array(*[F.try_divide(F.count_if(F.regexp_like(text, F.lit(pattern))), filled) for pattern, _, _ in VALUE_PATTERNS])
+
+
 def value_facts(parsed: DataFrame) -> DataFrame:
     """Weighted counts per column, one row each."""
     filled = F.col("value").isNotNull()
@@ -108,7 +115,7 @@ def value_facts(parsed: DataFrame) -> DataFrame:
         F.min("day").alias("first_day"), F.max("day").alias("last_day"),
         F.count_distinct("day").alias("unique_days"),
         F.min(size).alias("minimum_length"), F.max(size).alias("maximum_length"),
-        F.sum(size * F.col("n")).alias("_length"), _weight(messy).alias("whitespace_issues"))
+        F.sum(size * F.col("n")).alias("_length"), _weight(messy).alias("whitespace_issues"), _pattern_shares().alias("pattern_shares"))
 
 
 def physical_type(declared: Column | None = None) -> tuple[Column, Column]:
@@ -254,7 +261,7 @@ class Profile:
                 ("unique_days", "unique_days"))],
             F.when(dated, F.greatest(F.lit(1), F.datediff("last_day", "first_day") + 1)).alias("range_days"),
             *[F.when(text, F.col(c)).alias(c) for c in ("minimum_length", "maximum_length", "whitespace_issues")],
-            F.when(text, F.try_divide("_length", filled)).alias("average_length"))
+            F.when(text, F.try_divide("_length", filled)).alias("average_length"), "pattern_shares")
 
     def histogram(self) -> DataFrame:
         numeric = self.columns.where(F.col("physical_type").isin("number", "mixed")).select("column")
@@ -337,10 +344,8 @@ def semantic_roles(columns: DataFrame) -> DataFrame:
     rows = checkpointed(rows)
 
     # value patterns count for text only and give way to strong names
-    texts = F.filter(F.transform(F.coalesce("examples", F.array()), analytics_text), lambda x: x != "")
-    rows = rows.withColumn("_texts", F.when(F.col("physical_type") != "number", texts))
-    for pattern, business, level in VALUE_PATTERNS:
-        share = F.try_divide(F.size(F.filter("_texts", lambda x: F.regexp_like(x, F.lit(pattern)))), F.size("_texts"))
+    for place, (_, business, level) in enumerate(VALUE_PATTERNS):
+        share = F.when(F.col("physical_type") != "number", F.get("pattern_shares", F.lit(place)))
         take = F.coalesce((share >= 0.6) & (F.col("role").isNull() | (F.col("priority") < 120))
                           & (F.lit(level) > F.col("score")), F.lit(False))
         rows = rows.withColumns({

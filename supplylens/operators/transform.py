@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from supplylens.functions.parse import date_of, number_of, parse_date
 from supplylens.functions.text import is_blank
 from supplylens.operators.clean import tag_duplicates
 from supplylens.plans.ordered import carry_forward
+from supplylens.session import kept
 
 
 def _text(column: Column) -> Column:
@@ -151,29 +153,51 @@ def apply_steps(df: DataFrame, steps: list[tuple], order: list[str]) -> DataFram
 
 
 def affected_counts(df: DataFrame, steps: list[tuple], order: list[str]) -> DataFrame:
-    """``step, operation, field, affected``: changed cells, or removed rows, per step."""
-    counts = []
+    """``step, operation, field, affected``: changed cells, or removed rows, per step.
+
+    Steps that look at one row at a time share one run: each leaves a flag on the row, a removed
+    row stays with ``_alive`` false, and one aggregate adds all flags. The rows are written before
+    a step that needs other rows (a fill, duplicates), and no step is computed again for a later one.
+    """
+    parts: list[DataFrame] = []
+    pending: list[tuple[int, str, str]] = []
+    rows = df.withColumn("_alive", F.lit(True))
+
+    def counted(source: DataFrame, named: list[tuple[tuple[int, str, str], Column]]) -> DataFrame:
+        sums = source.agg(*[value.alias(f"_{number}") for (number, _, _), value in named])
+        return sums.select(F.inline(F.array(*[F.struct(
+            F.lit(number).alias("step"), F.lit(operation).alias("operation"), F.lit(field).alias("field"),
+            F.coalesce(F.col(f"_{number}"), F.lit(0)).cast("bigint").alias("affected")) for (number, operation, field), _ in named])))
+
+    def flags(source: DataFrame) -> None:
+        if pending:
+            parts.append(counted(source, [(p, F.count_if(f"_flag{p[0]}")) for p in pending]))
+            pending.clear()
+
     for number, step in enumerate(steps, start=1):
-        operation, field = step[0], step[1]
-        after = apply_step(df, step, order)
-        if operation.startswith("remove-"):
-            both = df.select(F.lit(1).alias("sign")).unionByName(after.select(F.lit(-1).alias("sign")))
-            affected = both.agg(F.sum("sign").alias("affected"))
-        elif operation.startswith("fill-"):
-            blank = is_blank(F.col(field)).cast("int").alias("sign")
-            both = df.select(blank).unionByName(after.select((-is_blank(F.col(field)).cast("int")).alias("sign")))
-            affected = both.agg(F.sum("sign").alias("affected"))
-        else:
-            changed = VALUE_STEPS[operation](df, field, *(*step[2:], None, None)[:2])
-            affected = df.agg(F.count_if(~F.col(field).cast("string").eqNullSafe(
-                changed.cast("string"))).alias("affected"))
-        counts.append(affected.select(F.lit(number).alias("step"), F.lit(operation).alias("operation"),
-                                      F.lit(field).alias("field"), F.col("affected").cast("bigint")))
-        df = after
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result
+        operation, field, first, second = (*step, None, None, None)[:4]
+        name = (number, operation, field)
+        if operation in VALUE_STEPS or operation == "remove-empty":
+            alive = F.col("_alive")
+            if operation == "remove-empty":
+                blank = is_blank(F.col(field))
+                rows = rows.withColumns({f"_flag{number}": alive & blank, "_alive": alive & ~blank})
+            else:
+                new = VALUE_STEPS[operation](rows, field, first, second)
+                same = F.col(field).cast("string").eqNullSafe(new.cast("string"))
+                rows = rows.withColumns({f"_flag{number}": alive & ~same, field: new})
+            pending.append(name)
+            continue
+        written = kept(rows)
+        flags(written)
+        before = written.where("_alive").select(*df.columns)
+        after = kept(apply_step(before, step, order))
+        weight = F.lit(1) if operation == "remove-duplicates" else is_blank(F.col(field)).cast("int")
+        both = before.select(weight.alias("_sign")).unionByName(after.select((-weight).alias("_sign")))
+        parts.append(counted(both, [(name, F.sum("_sign"))]))
+        rows = after.withColumn("_alive", F.lit(True))
+    flags(rows)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def apply_patches(df: DataFrame, patches: DataFrame, key: str, fields: list[str],

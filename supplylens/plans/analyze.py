@@ -136,6 +136,11 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
                  "delivered_pallets": "delivered_pallet_count", "remaining_pallets": "remaining_pallet_count"}
         figures = dom.delivery_kpis(rows, {k: role_of[v] for k, v in names.items() if v in role_of})
         results["domain_kpis"] = figures
+        picked = {k: role_of[v] for k, v in names.items() if v in role_of}
+        results["domain_details"] = dom.delivery_details(rows, picked, order)
+        groups = {"suppliers": "supplier", "brands": "brand", "materials": "material_name"}
+        if "ordered" in picked and any(v in role_of for v in groups.values()):
+            results["domain_rankings"] = dom.rankings(rows, {k: role_of[v] for k, v in groups.items() if v in role_of}, picked["ordered"])
         parts.append(findings.delivery_findings(figures))
     elif domain["domain"] == "procurement_plan" and {"ordered_quantity", "transport_date", "planned_delivery_date"} <= set(role_of):
         names = {"ordered": "ordered_quantity", "order": "order_id", "product": "product_code", "supplier": "supplier",
@@ -146,6 +151,10 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
         picked = {k: role_of[v] for k, v in names.items() if v in role_of}
         figures = dom.procurement_kpis(rows, picked, {k: by_column[picked[k]] for k in ("transport", "on_site")})
         results["domain_kpis"] = figures
+        results["domain_details"] = dom.procurement_details(rows, picked, order, {k: by_column[picked[k]] for k in ("transport", "on_site")})
+        groups = {k: picked[v] for k, v in (("suppliers", "supplier"), ("products", "product")) if v in picked}
+        if groups:
+            results["domain_rankings"] = dom.rankings(rows, groups, picked["ordered"])
         parts.append(findings.procurement_findings(figures))
 
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from supplylens.operators.filters import sample_rows
 from supplylens.operators.quality import severity_rank
 from supplylens.operators.stats import clamp
 from supplylens.vocab import (
@@ -106,6 +107,20 @@ def insights(parts: list[DataFrame], domain: str = "generic") -> DataFrame:
     return together.orderBy(severity_rank(), F.desc("confidence"), "id")
 
 
+def scatter_sample(dots: DataFrame, n: int = 250) -> DataFrame:
+    """``n`` of the points ``x, y``, the same ones each time: every cell of a 16 by 16 grid over the plane keeps its share."""
+    low_x, high_x, low_y, high_y = dots.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+
+    def digit(value: Column, low: float | None, high: float | None) -> Column:
+        if low is None or low == high:
+            return F.lit("0")
+        cell = F.least(F.lit(15), F.floor((value - F.lit(low)) / F.lit(high - low) * 16))
+        return F.lower(F.hex(cell.cast("bigint")))
+
+    digest = F.concat(digit(F.col("x"), low_x, high_x), digit(F.col("y"), low_y, high_y), F.md5(F.concat_ws("|", F.col("x").cast("string"), F.col("y").cast("string"))))
+    return sample_rows(dots.select("x", "y"), n, digest=digest)
+
+
 def chart_datasets(points: DataFrame | None = None, trends: DataFrame | None = None, ranking: DataFrame | None = None,
                    pairs: DataFrame | None = None, scatter: DataFrame | None = None,
                    histogram: DataFrame | None = None, movers: DataFrame | None = None) -> DataFrame:
@@ -132,8 +147,7 @@ def chart_datasets(points: DataFrame | None = None, trends: DataFrame | None = N
         best = pairs.orderBy(F.desc("strength"), "left_field", "right_field").limit(1).where(
             F.col("strength") >= CORRELATION_CHART).select("left_field", "right_field")
         dots = scatter.join(F.broadcast(best), ["left_field", "right_field"], "left_semi")
-        dots = dots.orderBy(F.xxhash64("x", "y"), "x", "y").limit(250)
-        add(dots, "chart-correlation", F.lit("scatter"), F.lit(0), F.lit(""), F.col("x"), F.col("y"))
+        add(scatter_sample(dots), "chart-correlation", F.lit("scatter"), F.lit(0), F.lit(""), F.col("x"), F.col("y"))
     if histogram is not None:
         label = F.concat(F.round("from", 2).cast("string"), F.lit("–"), F.round("to", 2).cast("string"))
         add(histogram, "chart-distribution", F.lit("histogram"), F.col("bin") + 1, label, F.col("from"), F.col("count"))

@@ -86,6 +86,43 @@ def classify_domain(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+def _ranked(view: str, groups: dict[str, str], k: int) -> str:
+    parts = [f"SELECT '{n}' AS ranking, CAST({c} AS VARCHAR) AS label, sum(ordered) AS value FROM {view} GROUP BY 2" for n, c in groups.items()]
+    return f", r AS ({' UNION ALL '.join(parts)}) SELECT ranking, row_number() OVER (PARTITION BY ranking ORDER BY value DESC, label) AS place, label, value FROM r QUALIFY place <= {k}"
+
+
+@query(with_views("delivery") + _ranked("delivery", {"materials": "material_code", "suppliers": "supplier_id", "documents": "coalesce(document_id, '(brak)')"}, 8))
+def delivery_rankings(spark, folder):
+    groups = {"materials": "material_code", "suppliers": "supplier_id", "documents": "document_id"}
+    return rounded(domain.rankings(delivery(spark, folder), groups, "ordered"))
+
+
+@query(with_views("procurement") + _ranked("procurement", {"suppliers": "supplier", "products": "product"}, 12))
+def procurement_rankings(spark, folder):
+    return rounded(domain.rankings(procurement(spark, folder), {"suppliers": "supplier", "products": "product"}, "ordered", 12))
+
+
+@query(with_views("delivery") + """, f AS (SELECT order_id, line, material_code, supplier_id, ordered, CASE WHEN line = 7 THEN ordered + 2 ELSE delivered END AS delivered, remaining FROM delivery),
+    k AS (SELECT 'incomplete' AS kind, *, remaining AS amount FROM f WHERE remaining > 0 OR delivered < ordered
+        UNION ALL SELECT 'inconsistent', *, ordered - delivered - remaining FROM f WHERE abs(ordered - delivered - remaining) > greatest(1, abs(ordered) * 0.001)
+        UNION ALL SELECT 'over_delivered', *, delivered - ordered FROM f WHERE delivered > ordered)
+    SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY order_id, line, material_code, supplier_id, ordered) AS place, order_id, line, material_code, supplier_id, ordered,
+        CAST(order_id AS VARCHAR) AS order_name, ordered AS ordered_amount,
+        delivered AS delivered_amount, remaining AS remaining_amount, amount FROM k QUALIFY place <= 100""")
+def delivery_details(spark, folder):
+    rows = delivery(spark, folder).withColumn("delivered", F.when(F.col("line") == 7, F.col("ordered") + 2).otherwise(F.col("delivered")))
+    return rounded(domain.delivery_details(rows, DELIVERY, ["order_id", "line", "material_code", "supplier_id", "ordered"]))
+
+
+@query(with_views("procurement") + """, t AS (SELECT order_id, product, supplier, ordered, transport_date, CASE WHEN product % 9 = 0 THEN 'week 35' ELSE strftime(on_site_date, '%Y-%m-%d') END AS due,
+        CASE WHEN product % 9 > 0 THEN date_diff('day', transport_date, on_site_date) END AS days FROM procurement),
+    k AS (SELECT 'week_only' AS kind, *, due AS period FROM t WHERE product % 9 = 0 UNION ALL SELECT 'negative', *, NULL FROM t WHERE days < 0)
+    SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY order_id, product, supplier, ordered) AS place, order_id, product, supplier, ordered, period, days AS lead_days FROM k QUALIFY place <= 100""")
+def procurement_details(spark, folder):
+    late = F.when(F.col("product") % 9 == 0, F.lit("week 35")).otherwise(F.date_format("on_site_date", "yyyy-MM-dd"))
+    return rounded(domain.procurement_details(procurement(spark, folder).withColumn("on_site_date", late), PROCUREMENT, ["order_id", "product", "supplier", "ordered"]))
+
+
 @query(with_views("delivery") + """, k AS (SELECT sum(delivered) / sum(ordered) AS c, count(*) FILTER (WHERE delivered > 0 AND document_id IS NULL) AS m FROM delivery)
     SELECT 'domain-delivery-completion' AS id, 'delivery' AS type, CASE WHEN c < 0.8 THEN 'high' WHEN c < 0.98 THEN 'medium' ELSE 'low' END AS severity, 'completion' AS subject, round(c, 6) AS value, 0.96::DOUBLE AS confidence FROM k
     UNION ALL SELECT 'domain-delivery-warning-0', 'delivery_control', 'medium', 'missing_documents', m, 0.95::DOUBLE FROM k WHERE m > 0""")
@@ -117,6 +154,17 @@ def findings_of_quality(spark, folder):
     return rounded(findings.insights([findings.quality_findings(quality_score(found, rows.count(), 4), found)]))
 
 
+@query("""WITH s AS (SELECT event_type, min(value) AS lo, max(value) AS hi, greatest(3, least(30, ceil(sqrt(count(*))))) AS b FROM events GROUP BY ALL),
+    a AS (SELECT min(lo) AS lo, max(hi) AS hi, (SELECT greatest(3, least(30, ceil(sqrt(count(*))))) FROM events) AS b FROM s),
+    n AS (SELECT least(floor((value - lo) / ((hi - lo) / b)), b - 1) AS bin, count(*) AS n FROM events, a GROUP BY 1)
+    SELECT 'chart-distribution' AS chart, 'histogram' AS kind, CAST(i + 1 AS INTEGER) AS place, round(lo + (hi - lo) / b * i, 4) AS x, CAST(coalesce(n, 0) AS DOUBLE) AS y
+    FROM a, range(CAST(b AS BIGINT)) r(i) LEFT JOIN n ON bin = i""")
+def chart_distribution(spark, folder):
+    from supplylens.operators import profile
+    bins = profile.histograms(profile.parsed_values(profile.value_table(events(spark, folder), ["value"])))
+    return rounded(findings.chart_datasets(histogram=bins).drop("label")).withColumn("place", F.col("place").cast("int"))
+
+
 @query(with_views("usage") + """, c AS (SELECT brand, sum(quantity) AS y FROM usage GROUP BY brand)
     SELECT 'chart-primary-ranking' AS chart, 'bar-horizontal' AS kind, row_number() OVER (ORDER BY y DESC, brand) AS place, brand AS label, CAST(NULL AS DOUBLE) AS x, y FROM c QUALIFY place <= 20""")
 def chart_ranking(spark, folder):
@@ -124,6 +172,18 @@ def chart_ranking(spark, folder):
     return rounded(findings.chart_datasets(ranking=cells.select("row_key", "total_value")))
 
 
+@query(with_views("usage") + """, s AS (SELECT quantity AS x, value AS y, min(quantity) OVER () AS lx, max(quantity) OVER () AS hx, min(value) OVER () AS ly, max(value) OVER () AS hy FROM usage),
+    d AS (SELECT x, y, lower(hex(CAST(least(15, floor((x - lx) / (hx - lx) * 16)) AS BIGINT))) AS a, lower(hex(CAST(least(15, floor((y - ly) / (hy - ly) * 16)) AS BIGINT))) AS b FROM s),
+    c AS (SELECT x, y, right(a, 1) || right(b, 1) || md5(x || '|' || y) AS h, count(*) AS n FROM d GROUP BY ALL),
+    t AS (SELECT *, sum(n) OVER (ORDER BY h) - n AS before, sum(n) OVER () AS total FROM c)
+    SELECT 'chart-correlation' AS chart, 'scatter' AS kind, x, y FROM (SELECT *, unnest(range(((500 * (before + n) + total - 1) // (2 * total) - (500 * before + total - 1) // (2 * total))::BIGINT)) FROM t)""")
+def chart_correlation(spark, folder):
+    rows = usage(spark, folder).select("quantity", "value")
+    pairs = rows.agg(F.lit("quantity").alias("left_field"), F.lit("value").alias("right_field"), F.lit(1.0).alias("strength"))
+    found = findings.chart_datasets(pairs=pairs, scatter=stats.pair_rows(rows, ["quantity", "value"]))
+    return found.select("chart", "kind", "x", "y")
+
+
 @query("""SELECT 'profile' AS result, 5 AS n FROM (SELECT count(*) FROM events) UNION ALL SELECT 'issues', 0 FROM (SELECT count(*) FROM events)
     UNION ALL SELECT 'series', count(DISTINCT ts::DATE) FROM events""")
 def automatic_analysis(spark, folder):

@@ -61,8 +61,9 @@ def prune_ghost_columns(spark, folder):
         F.lit(1).alias("row"), F.col("l_linenumber").cast("string").alias("number"), F.col("l_returnflag").alias("flag"),
         F.when(F.col("l_quantity") >= 50, "x").alias("rare"), F.lit(None).cast("string").alias("void"))
     kept = grid.kept_columns(g, "row", ["number", "flag", "rare", "void"], 0)
-    wide = g.select(*kept).limit(1).select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("column"))
-    return wide
+    # one row per column of the table that is left, also where it has no rows
+    counts = g.select(*kept).agg(*[F.count(c).alias(c) for c in kept])
+    return counts.select(F.explode(F.array(*[F.lit(c) for c in counts.columns])).alias("column"))
 
 
 @query("""SELECT count(*) FILTER (WHERE event_id % 7 = 3) AS empty_rows, count(*) AS rows,

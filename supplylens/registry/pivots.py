@@ -43,17 +43,18 @@ def source_statistics(spark, folder):
     return rounded(pivot.source_statistics(usage(spark, folder), ["category"], ["quantity", "value"]), 2)
 
 
-@query(with_views("usage") + """ SELECT 'brand' AS template, brand AS key, sum(quantity) AS quantity FROM usage GROUP BY brand
-    UNION ALL SELECT 'material', material, sum(quantity) FROM usage GROUP BY material
-    UNION ALL SELECT 'month', strftime(date, '%Y-%m'), sum(quantity) FROM usage GROUP BY 2""")
+_SEASON = """CASE WHEN month(date) = 12 THEN 'Zima ' || year(date) || '/' || (year(date) + 1) WHEN month(date) <= 2 THEN 'Zima ' || (year(date) - 1) || '/' || year(date)
+    WHEN month(date) <= 5 THEN 'Wiosna ' || year(date) WHEN month(date) <= 8 THEN 'Lato ' || year(date) ELSE 'Jesień ' || year(date) END"""
+_PRESETS = {"brand": "brand", "material": "material", "month": "strftime(date, '%Y-%m')", "season": _SEASON, "line": "CASE WHEN record_id % 10 < 7 THEN 'L' || record_id % 10 END"}
+
+
+@query(with_views("usage") + " UNION ALL ".join(f" SELECT '{n}' AS template, 'cell' AS level, {key} AS key, sum(quantity) AS quantity, count(*) AS records FROM usage GROUP BY 3"
+                                                for n, key in _PRESETS.items())
+       + " UNION ALL SELECT NULL, 'grand_total', NULL, sum(quantity), count(*) FROM usage")
 def template_pivots(spark, folder):
-    u = derive_date_fields(usage(spark, folder))
-    out = None
-    for name, fields in pivot.TEMPLATES.items():
-        if name in ("brand", "material", "month") and name in pivot.available_templates(u):
-            part = pivot.template(u, name).where("level = 'cell'").select(F.lit(name).alias("template"), F.col(fields[0]).alias("key"), "quantity")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """All five presets with their total, from one aggregate."""
+    u, line = derive_date_fields(usage(spark, folder)), F.col("record_id") % 10
+    return rounded(pivot.templates(u.withColumn("line", F.when(line < 7, F.concat(F.lit("L"), line.cast("string"))))))
 
 
 @query(with_views("usage") + """, t AS (SELECT material, round(avg(quantity), 6) AS total_value FROM usage GROUP BY 1 ORDER BY abs(avg(quantity)) DESC, material LIMIT 20)

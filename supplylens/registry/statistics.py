@@ -363,3 +363,19 @@ def _ranked(a: str, b: str) -> str:
 @query(f"WITH g AS ({_GAPS}) " + " UNION ALL ".join(_ranked(a, b) for a, b in _PAIRS))
 def spearman_matrix(spark, folder):
     return rounded(stats.spearman(with_gaps(spark, folder), MATRIX))
+
+
+@query("""WITH t AS (SELECT CASE WHEN o_orderkey % 5 < 3 THEN 'brak' WHEN o_orderkey % 5 = 3 THEN 'WZ/' || o_orderkey ELSE 'wz-' || o_custkey END AS note,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'ORD ' || (o_custkey % 7) ELSE o_orderstatus END AS mark FROM orders),
+    s AS (SELECT 'note' AS "column", count(DISTINCT note) FILTER (WHERE regexp_matches(note, '^(?:WZ[/-]|SN[0-9])', 'i')) / count(DISTINCT note) AS share, 'document_id' AS role FROM t
+        UNION ALL SELECT 'mark', count(DISTINCT mark) FILTER (WHERE regexp_matches(mark, '^ORD[-\\s/]', 'i')) / count(DISTINCT mark), 'order_id' FROM t)
+    SELECT "column", round(share, 6) AS share, CASE WHEN share >= 0.6 THEN role END AS business_role FROM s""")
+def value_patterns(spark, folder):
+    """Roles by the values of all rows: most rows hold a placeholder, most different values a document number."""
+    key = F.col("o_orderkey")
+    note = F.when(key % 5 < 3, F.lit("brak")).when(key % 5 == 3, F.concat(F.lit("WZ/"), key.cast("string"))).otherwise(F.concat(F.lit("wz-"), F.col("o_custkey").cast("string")))
+    mark = F.when(key % 2 == 0, F.concat(F.lit("ORD "), (F.col("o_custkey") % 7).cast("string"))).otherwise(F.col("o_orderstatus"))
+    rows = table(spark, folder, "orders").select(note.alias("note"), mark.alias("mark"))
+    roles = profile.semantic_roles(profile.profile(rows).columns)
+    share = F.when(F.col("column") == "note", F.get("pattern_shares", F.lit(2))).otherwise(F.get("pattern_shares", F.lit(0)))
+    return rounded(roles.select("column", share.alias("share"), F.when(share >= 0.6, F.col("business_role")).alias("business_role")), 6)

@@ -107,15 +107,17 @@ def count_empty_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def table_from_grid(grid: DataFrame, row: str, columns: list[str], keep: list[str] | None = None,
-                    header_row: int | None = None) -> DataFrame:
+                    header_row: int | None = None, depth: int = 25) -> DataFrame:
     """One table from a raw grid: header found, ghost columns and empty rows gone.
 
-    ``row`` counts from 1 and survives as ``source_row``; ``keep`` columns are carried.
+    ``row`` counts from 1 and survives as ``source_row``; ``keep`` columns are carried. The
+    heading is one of the first ``depth`` rows.
     """
     zero = grid.withColumn("_row", F.col(row) - 1)
     if header_row is None:
-        cells = to_cells(zero.where("_row < 30"), "_row", columns).withColumn("_t", F.lit(0))
-        found = detect_header_rows(cells, ["_t"]).first()
+        # a candidate is judged with the five rows below it
+        cells = to_cells(zero.where(F.col("_row") < depth + 5), "_row", columns).withColumn("_t", F.lit(0))
+        found = detect_header_rows(cells, ["_t"], depth).first()
         header_row = found["header_row"] if found else 0
     used = kept_columns(zero, "_row", columns, header_row)
     header = zero.where(F.col("_row") == header_row).select(*used).first()
