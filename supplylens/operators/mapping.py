@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplylens.functions.text import is_blank
+from supplylens.plans.ordered import attach
 from supplylens.sources.grid import fold_name, header_table
 from supplylens.vocab import (
     FIELD_IDS, IDENTITY_FIELDS, MATCH_THRESHOLD, REQUIRED_FIELDS, ROLE_FIELDS, ROLE_MATCH_THRESHOLD,
@@ -70,21 +73,36 @@ def _field_rows(headers: DataFrame, fields: list[tuple[str, str, list[str]]]) ->
     return headers.select("*", F.inline(catalogue))
 
 
-def _pick_one_to_one(scored: DataFrame, table: list[str]) -> DataFrame:
-    """Best score first, each field and each header once; a table has few headers."""
-    schema = scored.select(*table, "field", "header", "score").schema
+def _pick_one_to_one(options: Column) -> Column:
+    """Best score first, each field and each header once; a table has few options."""
+    def place(x: Column) -> Column:
+        return F.struct((-x["score"]).alias("o"), x["place"].alias("p"), x["position"].alias("q"), x["header"].alias("h"), x.alias("x"))
+
+    def add(chosen: Column, x: Column) -> Column:
+        used = F.exists(chosen, lambda c: (c["field"] == x["field"]) | c["header"].eqNullSafe(x["header"]))
+        return F.when(used, chosen).otherwise(F.concat(chosen, F.array(x)))
+
+    best = F.transform(F.array_sort(F.transform(options, place)), lambda x: x["x"])
+    return F.reduce(best, F.slice(best, 1, 0), add)
+
+
+def _options(headers: DataFrame, table: list[str], score: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """``table..., _options``: what each table may map, as an array of structs; tables without any are left out.
+
+    A spelling is scored once however many tables have it; those that pass are looked up.
+    """
+    seen = headers.select("header", "type").distinct().withColumn("_spelling", F.struct("header", "type"))
+    scored = score(seen).where(F.col("score") >= threshold)
+    named = [c for c in ("role", "place", "field", "score") if c in scored.columns]
+    passed = scored.groupBy("_spelling").agg(F.collect_list(F.struct(*named)).alias("_scores"))
+    rows = headers.select(*table, "header", "position", F.struct("header", "type").alias("_spelling"))
+    each = attach(rows, passed, ["_spelling"], "inner").select(*table, "header", "position", F.inline("_scores"))
+    return each.groupBy(*table).agg(F.collect_list(F.struct("header", "position", *named)).alias("_options"))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "place", "position"], ascending=[False, True, True])
-        fields, headers, chosen = set(), set(), []
-        for row in rows.itertuples(index=False):
-            if row.field not in fields and row.header not in headers:
-                fields.add(row.field)
-                headers.add(row.header)
-                chosen.append(row)
-        return pd.DataFrame(chosen, columns=rows.columns)[[*table, "field", "header", "score"]]
 
-    return scored.groupBy(*table).applyInPandas(pick, schema)
+def _mapped(options: DataFrame, table: list[str]) -> DataFrame:
+    chosen = options.select(*table, F.explode(_pick_one_to_one(F.col("_options"))).alias("_x"))
+    return chosen.select(*table, "_x.field", "_x.header", "_x.score")
 
 
 def score_headers(headers: DataFrame) -> DataFrame:
@@ -118,7 +136,7 @@ def score_headers(headers: DataFrame) -> DataFrame:
 
 def match_columns(headers: DataFrame, table: list[str]) -> DataFrame:
     """``table..., field, header, score``: the automatic mapping of each table."""
-    return _pick_one_to_one(score_headers(headers).where(F.col("score") >= MATCH_THRESHOLD), table)
+    return _mapped(_options(headers, table, score_headers, MATCH_THRESHOLD), table)
 
 
 def score_role_headers(headers: DataFrame, role: str) -> DataFrame:
@@ -140,5 +158,19 @@ def score_role_headers(headers: DataFrame, role: str) -> DataFrame:
 
 def match_role_columns(headers: DataFrame, table: list[str], role: str) -> DataFrame:
     """``table..., field, header, score``: the mapping of each table to one role."""
-    scored = score_role_headers(headers, role)
-    return _pick_one_to_one(scored.where(F.col("score") >= ROLE_MATCH_THRESHOLD), table)
+    return _mapped(_options(headers, table, lambda h: score_role_headers(h, role), ROLE_MATCH_THRESHOLD), table)
+
+
+def role_fields(headers: DataFrame, table: list[str], roles: list[str]) -> DataFrame:
+    """``table...`` and, under the name of each role, the fields that the table's mapping to it has."""
+    def score(names: DataFrame) -> DataFrame:
+        parts = [score_role_headers(names, role).withColumn("role", F.lit(role)) for role in roles]
+        return reduce(DataFrame.unionByName, parts)
+
+    options = _options(headers, table, score, ROLE_MATCH_THRESHOLD)
+
+    def fields(role: str) -> Column:
+        chosen = _pick_one_to_one(F.filter("_options", lambda x: x["role"] == role))
+        return F.transform(chosen, lambda x: x["field"]).alias(role)
+
+    return options.select(*table, *[fields(role) for role in roles])

@@ -181,3 +181,32 @@ def test_sinks(spark, rows, tmp_path):
 def test_error_report(rows):
     df = rows([(3, ["missing_date", "zero_quantity"], "x")], "source_row int, errors array<string>, material string")
     assert sinks.error_report(df).first().errors == "Brak daty.; Ilość wynosi zero."
+
+
+def test_mapping_takes_each_field_and_header_once_in_many_tables(rows, monkeypatch):
+    """Against a plain greedy choice; tables are not handed to Python one by one, and a spelling is scored once."""
+    from supplylens.vocab import MATCH_THRESHOLD, ROLE_MATCH_THRESHOLD
+    names = ["Data", "date", "Data", "Ilość", "Quantity", "Qty used", "Material", "Material name", "Item", None, "", "Kod", "Item code", "x"]
+    kinds = ["date", "number", "text", None]
+    data = [(t, p, names[(t * 5 + p * (1 + t % 3)) % len(names)], kinds[(t + p) % 4]) for t in range(40) for p in range(9)]
+    headers = rows([(None if t == 39 else t, *rest) for t, *rest in data], "name int, position int, header string, type string")
+
+    def greedy(scored, threshold):
+        found = {}
+        for r in sorted((r for r in scored.collect() if r.score >= threshold), key=lambda r: (-r.score, r.place, r.position)):
+            mine = found.setdefault(r.name, {})
+            if r.field not in mine and r.header not in [h for h, _ in mine.values()]:
+                mine[r.field] = (r.header, r.score)
+        return {(t, f, *x) for t, mine in found.items() for f, x in mine.items()}
+
+    want = greedy(mapping.score_headers(headers), MATCH_THRESHOLD)
+    got = mapping.match_columns(headers, ["name"])
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "Pandas" not in got._jdf.queryExecution().toString()
+    fields = {}
+    for role in ("usage", "stock"):
+        want = greedy(mapping.score_role_headers(headers, role), ROLE_MATCH_THRESHOLD)
+        assert {tuple(r) for r in mapping.match_role_columns(headers, ["name"], role).collect()} == want
+        fields |= {(t, role): {f for n, f, *_ in want if n == t} for t, *_ in want}
+    for r in mapping.role_fields(headers, ["name"], ["usage", "stock"]).collect():
+        assert set(r.usage) == fields.get((r.name, "usage"), set()) and set(r.stock) == fields.get((r.name, "stock"), set())
