@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplylens.functions.text import analytics_text, comparable_text, normalize_label
-from supplylens.operators.mapping import match_role_columns
+from supplylens.operators.mapping import role_fields
 from supplylens.operators.profile import cell_text
 from supplylens.vocab import IDENTITY_FIELDS, ROLE_NAME_WORDS, ROLE_PRIMARY_WORDS, ROLE_THRESHOLDS
 
@@ -166,22 +166,18 @@ def role_scores(catalog: DataFrame, headers: DataFrame) -> DataFrame:
                    "lead_time_days": 1.0},
     }
     folded = catalog.select("name", "position", comparable_text(F.col("name")).alias("_name"))
+    # a role has at most a dozen fields
+    rows = folded.join(role_fields(headers, ["name"], list(wanted)), "name", "left")
     parts = []
     for role, points in wanted.items():
-        fields = match_role_columns(headers, ["name"], role).groupBy("name").agg(F.collect_set("field").alias("fields"))
-        # a role has at most a dozen fields
-        rows = folded.join(fields, "name", "left")
-        has = F.coalesce("fields", F.array().cast("array<string>"))
+        has = F.coalesce(role, F.array().cast("array<string>"))
         score = F.when(F.col("_name").rlike(ROLE_NAME_WORDS[role]), 2.0).otherwise(0.0)
         for field, value in points.items():
             test = F.arrays_overlap(has, F.array(*[F.lit(f) for f in IDENTITY_FIELDS])) if field == "identity" \
                 else F.array_contains(has, field)
             score = score + F.when(test, value).otherwise(0.0)
-        parts.append(rows.select("name", "position", F.lit(role).alias("role"), score.alias("score")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        parts.append(F.struct(F.lit(role).alias("role"), score.alias("score")))
+    return rows.select("name", "position", F.inline(F.array(*parts)))
 
 
 def assign_roles(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
