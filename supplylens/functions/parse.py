@@ -17,6 +17,13 @@ from supplylens.functions.text import (
 
 #: Plain numbers that both dialects read alike, without the marks that need a closer look.
 PLAIN = r"^[-+]?\d{1,15}(?:\.(?:\d{1,2}|\d{4,15}))?$"
+#: The same with a decimal comma, which no grouping explains.
+PLAIN_COMMA = r"^[-+]?\d{1,15},(?:\d{1,2}|\d{4,15})\z"
+#: Three groups of digits with one or two in the middle: no thousands marks, so never a number.
+DATED = r"^\d+[-/.]\d{1,2}[-/.]\d+(?:\z|[ T]\d{1,2}:)"
+#: Days as nearly all tables write them; anything else takes the long way.
+DAY_FIRST = r"^\d{2}[-/.]\d{2}[-/.]\d{4}\z"
+ISO_DAY = r"^\d{4}-\d{2}-\d{2}\z"
 GRAMMAR = r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"
 EXCEL_EPOCH = "1899-12-30"
 
@@ -62,12 +69,21 @@ def parse_number(value: Column, dialect: str = "import") -> Column:
         plain = let(text, lambda t: _one_mark(t, None, r"^[-+]?\d{1,3}(?:\.\d{3})+(?:[eE][-+]?\d+)?$"))
     # the grammar guards the cast, which alone would accept '5d' and 'NaN'
     written = let(F.regexp_extract(plain, GRAMMAR, 0).try_cast("double"), _finite)
-    return F.when(raw.rlike(PLAIN), raw.try_cast("double")).when(raw.rlike(r"\d"), written)
+    comma = F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")
+    return (F.when(raw.rlike(PLAIN), raw.try_cast("double")).when(raw.rlike(PLAIN_COMMA), comma)
+            .when(raw.rlike(r"\d") & ~raw.rlike(DATED), written))
+
+
+def no_word(dialect: str) -> str:
+    """Text with two digits, or more letters and digits than any word; folding drops none of ASCII."""
+    longest = max(map(len, TRUE_WORDS[dialect] + FALSE_WORDS[dialect]))
+    return f"[0-9][^0-9]*[0-9]|(?:[A-Za-z0-9][^A-Za-z0-9]*){{{longest + 1}}}"
 
 
 def parse_bool(value: Column, dialect: str = "import") -> Column:
     word = comparable_text(value) if dialect == "import" else normalize_label(value)
-    return let(word, lambda w: F.when(w.isin(TRUE_WORDS[dialect]), True).when(w.isin(FALSE_WORDS[dialect]), False))
+    found = let(word, lambda w: F.when(w.isin(TRUE_WORDS[dialect]), True).when(w.isin(FALSE_WORDS[dialect]), False))
+    return F.when(~value.cast("string").rlike(no_word(dialect)), found)
 
 
 def _stamp(text: Column) -> Column:
@@ -113,8 +129,10 @@ def parse_timestamp(value: Column, dialect: str = "import", convention: str = "d
     raw = value.cast("string")
     if dialect == "import":
         found = let(clean_text(raw), lambda text: _import_stamp(text, serial_text))
-    else:
-        found = let(F.trim(raw), lambda text: _analytics_stamp(text, convention))
+        turned = F.concat_ws("-", F.substring(raw, 7, 4), F.substring(raw, 4, 2), F.substring(raw, 1, 2))
+        return (F.when(raw.rlike(DAY_FIRST), turned.try_cast("timestamp_ntz")).when(raw.rlike(ISO_DAY), raw.try_cast("timestamp_ntz"))
+                .when(raw.rlike(r"\d"), found))
+    found = let(F.trim(raw), lambda text: _analytics_stamp(text, convention))
     return F.when(raw.rlike(r"\d"), found)
 
 

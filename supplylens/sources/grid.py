@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplylens.functions.parse import parse_bool, parse_number, parse_timestamp
-from supplylens.functions.text import clean_text, comparable_text, is_blank
+from supplylens.functions.text import clean_text, comparable_text, is_blank, let
 from supplylens.vocab import HEADER_WORDS, TOTAL_WORDS
 
 NUMERIC_CELL = r"^\s*[-+]?\d[\d\s.,]*\s*$"
@@ -131,6 +131,12 @@ def date_like(name: str) -> bool:
     return bool(re.search(r"(^|\s)(data|date|datum|dzien|day|czas|time)(\s|$)", fold_name(name)))
 
 
+def text_type(text: Column) -> Column:
+    return let(text, lambda x: (F.when(is_blank(x), F.lit(None)).when(parse_bool(x).isNotNull(), "boolean")
+                                .when(parse_number(x).isNotNull(), "number")
+                                .when(parse_timestamp(x, serial_text=False).isNotNull(), "date").otherwise("text")))
+
+
 def cell_type(df: DataFrame, name: str) -> Column:
     """``boolean``, ``number``, ``date`` or ``text`` per cell, NULL when blank."""
     kind, column = df.schema[name].dataType, F.col(name)
@@ -141,22 +147,27 @@ def cell_type(df: DataFrame, name: str) -> Column:
         return F.when(serial, "date").when(column.isNotNull(), "number")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.when(column.isNotNull(), "date")
-    return (F.when(is_blank(column), F.lit(None)).when(parse_bool(column).isNotNull(), "boolean")
-            .when(parse_number(column).isNotNull(), "number")
-            .when(parse_timestamp(column, serial_text=False).isNotNull(), "date").otherwise("text"))
+    return text_type(column)
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, type``: the most frequent cell type, ``mixed`` when a second one passes 35 %.
 
     Reads all rows; pass a :func:`supplylens.operators.filters.sample_rows` result to look
-    at a sample only.
+    at a sample only. Equal texts of a column are merged before they are parsed.
     """
     columns = columns or df.columns
-    kinds = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), cell_type(df, c).alias("kind")) for c in columns])))
+    none = F.lit(None).cast("string")
+
+    def cell(name: str) -> Column:
+        typed = isinstance(df.schema[name].dataType, (T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        value, kind = (none, cell_type(df, name)) if typed else (F.col(name).cast("string"), none)
+        return F.struct(F.lit(name).alias("column"), value.alias("value"), kind.alias("kind"))
+
+    cells = df.select(F.inline(F.array(*[cell(c) for c in columns]))).groupBy("column", "value", "kind").agg(F.count("*").alias("n"))
+    kinds = cells.select("column", F.coalesce("kind", text_type(F.col("value"))).alias("kind"), "n")
     order = ["text", "number", "date", "boolean"]  # the earlier one wins a tie
-    counts = kinds.groupBy("column").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in order])
+    counts = kinds.groupBy("column").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in order])
     ranked = F.reverse(F.array_sort(F.array(*[
         F.struct(F.col(k).alias("n"), F.lit(len(order) - i).alias("place"), F.lit(k).alias("kind"))
         for i, k in enumerate(order)])))
