@@ -115,10 +115,16 @@ def resolve_join_field(usage: DataFrame, stock: DataFrame, strategy: str = "auto
     return best["field"] if best else "material"
 
 
+def _spellings(df: DataFrame) -> dict[str, Column]:
+    """The identity fields as written; NULL and '' have the same key."""
+    return {f"_as_{f}": F.coalesce(F.col(f).cast("string"), F.lit("")) if f in df.columns else F.lit("") for f in IDENTITY_FIELDS}
+
+
 def _identities(df: DataFrame, field: str) -> DataFrame:
-    """Distinct identity tuples with their primary and fallback key."""
-    return df.select(*[F.coalesce(identity_key(df, f), F.lit("")).alias(f"_{f}") for f in IDENTITY_FIELDS]
-                     ).distinct().withColumn(
+    """Distinct spellings of identities with their keys and their primary or fallback key; no text is folded twice."""
+    written = df.select(*[c.alias(n) for n, c in _spellings(df).items()]).distinct()
+    keys = {f"_{f}": F.coalesce(normalize_key(F.col(f"_as_{f}"), f), F.lit("")) for f in IDENTITY_FIELDS}
+    return written.withColumns(keys).withColumn(
         "_own", F.coalesce(*[F.nullif(F.col(f"_{f}"), F.lit("")) for f in [field, *IDENTITY_FIELDS]]))
 
 
@@ -144,18 +150,17 @@ def ambiguous_aliases(usage: DataFrame, field: str) -> DataFrame:
 def resolve_identity(df: DataFrame, aliases: DataFrame, field: str, name: str = "material_key") -> DataFrame:
     """Add the material key: by the join field, the code, the SKU, the name, else its own.
 
-    Distinct identities are resolved, not rows, and are joined back in slices.
+    Distinct spellings of identities are resolved, not rows, and are joined back as written.
     """
     tuples = _identities(df, field)
     steps = list(dict.fromkeys([field, *IDENTITY_FIELDS]))
     asked = tuples.select("*", F.inline(F.array(*[
         F.struct(F.lit(i).alias("_rank"), F.col(f"_{f}").alias("alias")) for i, f in enumerate(steps)])))
     found = attach(asked.where("alias != ''"), aliases.withColumnRenamed("material_key", "_found"), ["alias"])
-    key = [f"_{f}" for f in IDENTITY_FIELDS]
+    key = list(_spellings(df))
     best = F.min_by("_found", F.when(F.col("_found").isNotNull(), F.col("_rank")))
     resolved = found.groupBy(*key).agg(F.coalesce(best, F.first("_own")).alias(name))
-    rows = df.withColumns({f"_{f}": F.coalesce(identity_key(df, f), F.lit("")) for f in IDENTITY_FIELDS})
-    return attach(rows, resolved, key).drop(*key)
+    return attach(df.withColumns(_spellings(df)), resolved, key).drop(*key)
 
 
 def attach_keys(df: DataFrame, aliases: DataFrame, field: str, role: str) -> tuple[DataFrame, DataFrame]:

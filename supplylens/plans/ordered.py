@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from supplylens.session import checkpointed
+from supplylens.session import checkpointed, kept
 
 
 def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -202,13 +202,17 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
            slices: int = 64) -> DataFrame:
     """Join a one-row-per-key table to rows whose keys may be very uneven.
 
-    The table is checkpointed and measured. A small one is broadcast. Otherwise the rows of
-    a key are spread over ``slices`` by a hash of their content, and the table is repeated
-    only for slices that occur, so one hot key becomes many join keys.
+    The table is written and measured. A small one is broadcast. Otherwise adaptive execution
+    splits a key with very many rows. Where that is off, the rows of a key are spread over
+    ``slices`` by a hash of their content, and the table is repeated only for slices that
+    occur; that reads and shuffles the rows twice.
     """
-    table = checkpointed(table)
+    table = kept(table)
     if fits_broadcast(table):
         return rows.join(F.broadcast(table), keys, how)
+    conf = rows.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{s}", "true") == "true" for s in ("enabled", "skewJoin.enabled")):
+        return rows.join(table, keys, how)
     return attach_sliced(rows, table, keys, how, slices)
 
 

@@ -1,7 +1,7 @@
 """From role tables to coverage and order plans.
 
 Planning only needs usage per material, day and unit. That table is built and keyed once,
-checkpointed, and used by every later step; it has at most one row per identity, day and
+written, and used by every later step; it has at most one row per identity, day and
 unit however often a material is used.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from supplylens.operators import identity, inventory
 from supplylens.operators.filters import filter_dates
-from supplylens.session import checkpointed
+from supplylens.session import kept
 
 
 @dataclass
@@ -69,17 +69,17 @@ def build_model(usage: DataFrame, stock: DataFrame, receipts: DataFrame, orders:
                 receipt_order: list[str] | None = None, orders_order: list[str] | None = None,
                 master_order: list[str] | None = None, run_date: str | None = None) -> RoleModel:
     """Resolve one material key over normalized role tables and enrich the stock."""
-    daily = checkpointed(daily_identities(usage, order))
+    daily = kept(daily_identities(usage, order))
     field = identity.resolve_join_field(daily, stock, strategy)
-    aliases = checkpointed(identity.build_alias_map(daily, field))
-    keyed_usage = checkpointed(identity.resolve_identity(daily, aliases, field))
+    aliases = kept(identity.build_alias_map(daily, field))
+    keyed_usage = kept(identity.resolve_identity(daily, aliases, field))
     warnings, tables = {}, {}
     for role, table in (("receipts", receipts), ("orders", orders), ("master", master)):
         tables[role], warnings[role] = identity.attach_keys(table, aliases, field, role)
     newest = identity.latest_by_key(tables["master"], master_order or order,
                                     "date" if "date" in master.columns else None)
     open_orders = identity.order_totals(tables["orders"], orders_order or order)
-    keyed_stock = checkpointed(identity.enrich_stock(
+    keyed_stock = kept(identity.enrich_stock(
         identity.resolve_identity(stock, aliases, field), newest, open_orders, run_date))
     return RoleModel(field, keyed_usage, keyed_stock, tables["receipts"], tables["orders"], tables["master"],
                      aliases, warnings, ["place"], stock_order, daily)
