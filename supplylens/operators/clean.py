@@ -147,6 +147,15 @@ def validate(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*df.columns, F.inline(F.array(row_checks(df, required))))
 
 
+def checked_rows(df: DataFrame, source_columns: list[str], required: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``errors``, ``warnings`` and ``duplicate_key``, written once.
+
+    Valid and rejected rows are both read from there, so no source is joined or parsed for each.
+    """
+    checked = validate(spread(df), required)
+    return kept(checked.withColumn("duplicate_key", duplicate_key(checked, source_columns)))
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("errors") == 0), checked.where(F.size("errors") > 0)
 
@@ -165,16 +174,16 @@ def duplicate_key(df: DataFrame, source_columns: list[str]) -> Column:
 BROADCAST_KEYS = 1_000_000
 
 
-def tag_duplicates(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+def tag_duplicates(df: DataFrame, key: Column | None, order: list[str]) -> DataFrame:
     """Add ``duplicate_key`` and ``duplicate_of``: the first row's place, NULL on that row.
 
-    The rows are written once with their keys. One aggregate, combined before it is shuffled,
+    The rows are written once with their keys; without ``key`` they are from :func:`checked_rows`. One aggregate, combined before it is shuffled,
     finds the keys that occur more than once and their first rows; only keys and places move
     for that. Few such keys are sent to the rows, which then do not move at all; many are
     joined, where adaptive execution splits a key with very many rows.
     """
     place = F.struct(*[F.col(f"`{c}`") for c in order])
-    rows = kept(spread(df).withColumn("duplicate_key", key))
+    rows = df if key is None else kept(spread(df).withColumn("duplicate_key", key))
     # two hashes of 64 bits stand for the key, which may be a whole row
     marks = [F.xxhash64(F.lit(i), "duplicate_key").alias(f"_k{i}") for i in (1, 2)]
     repeated = kept(rows.groupBy(*marks).agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n"))
@@ -184,9 +193,12 @@ def tag_duplicates(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return joined.select(*rows.columns, F.when(place != F.col("_first"), F.col("_first")).alias("duplicate_of"))
 
 
-def dedupe(df: DataFrame, source_columns: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Kept rows and duplicates; ``order`` has to tell any two different rows apart."""
-    tagged = tag_duplicates(df, duplicate_key(df, source_columns), order)
+def dedupe(df: DataFrame, source_columns: list[str] | None, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Kept rows and duplicates; ``order`` has to tell any two different rows apart.
+
+    Without ``source_columns`` the rows are from :func:`checked_rows`.
+    """
+    tagged = tag_duplicates(df, duplicate_key(df, source_columns) if source_columns else None, order)
     return (tagged.where("duplicate_of IS NULL").drop("duplicate_of"),
             tagged.where("duplicate_of IS NOT NULL"))
 
@@ -207,13 +219,13 @@ def count_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFra
 def process_dataset(df: DataFrame, source_columns: list[str], order: list[str],
                     required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Validate, drop duplicates among the valid rows, normalize: valid and rejected rows."""
-    good, bad = split_valid(validate(df, required))
-    kept, repeats = dedupe(good, source_columns, order)
+    good, bad = split_valid(checked_rows(df, source_columns, required))
+    kept, repeats = dedupe(good, None, order)
     status = F.when(F.size("warnings") > 0, "warning").otherwise("valid")
     valid = normalize_record(kept.withColumn("validation_status", status).drop("errors"), order)
     repeats = repeats.withColumn("errors", F.array(F.lit("duplicate_record"))).withColumn(
         "duplicate_of", F.to_json("duplicate_of"))
-    return valid, repeats.unionByName(bad, allowMissingColumns=True)
+    return valid, repeats.unionByName(bad.drop("duplicate_key"), allowMissingColumns=True)
 
 
 def validation_summary(checked: DataFrame) -> DataFrame:
@@ -244,10 +256,10 @@ def revalidate(fixed: DataFrame, valid: DataFrame, source_columns: list[str], or
     An accepted row joins the valid ones, so of fixed rows with one key only the first by
     ``order`` is accepted.
     """
-    checked = validate(fixed.drop("errors", "warnings"), required)
-    checked = checked.withColumn("duplicate_key", duplicate_key(checked, source_columns))
-    good, bad = split_valid(checked)
-    taken = valid.select("duplicate_key").distinct()
+    good, bad = split_valid(checked_rows(fixed.drop("errors", "warnings", "duplicate_key"), source_columns, required))
+    # only keys that a fixed row asks for; the valid rows themselves are not moved
+    asked = good.select("duplicate_key").distinct()
+    taken = kept(valid.select("duplicate_key").join(asked, "duplicate_key", "left_semi").distinct())
     tagged = tag_duplicates(good.join(taken, "duplicate_key", "left_anti"), F.col("duplicate_key"), order)
     accepted = tagged.where("duplicate_of IS NULL").drop("duplicate_of")
     repeated = good.join(taken, "duplicate_key", "left_semi").unionByName(

@@ -56,9 +56,8 @@ def validate_rows(spark, folder):
     UNION ALL SELECT 'total', 'duplicate', count(*) FROM kept WHERE place > 1
     UNION ALL SELECT 'total', 'warning', count(*) FROM kept WHERE place = 1 AND zero) WHERE rows > 0""")
 def validation_summary(spark, folder):
-    checked = clean.validate(raw_usage(spark, folder))
-    good, bad = clean.split_valid(checked)
-    tagged = clean.tag_duplicates(good, clean.duplicate_key(good, SOURCE), ORDER)
+    good, bad = clean.split_valid(clean.checked_rows(raw_usage(spark, folder), SOURCE))
+    tagged = clean.tag_duplicates(good, None, ORDER)
     return clean.validation_summary(tagged.unionByName(bad, allowMissingColumns=True))
 
 
@@ -92,9 +91,8 @@ def class_statistics(spark, folder):
         SELECT 1 FROM kept k WHERE k.place = 1 AND k.record_id = r.record_id) THEN r.record_id END) AS accepted
     FROM raw r WHERE len(errors) > 0)""")
 def revalidate_rows(spark, folder):
-    raw = raw_usage(spark, folder)
-    good, bad = clean.split_valid(clean.validate(raw))
-    kept, _ = clean.dedupe(good, SOURCE, ORDER)
+    good, bad = clean.split_valid(clean.checked_rows(raw_usage(spark, folder), SOURCE))
+    kept, _ = clean.dedupe(good, None, ORDER)
     fixed = bad.withColumns({"date": F.lit("2001-01-01"), "material": F.lit("x"), "quantity": F.lit("1")})
     accepted, rest = clean.revalidate(fixed, kept, SOURCE, ORDER)
     counts = [accepted.agg(F.lit("accepted").alias("outcome"), F.count("*").alias("n")),
