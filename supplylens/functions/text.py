@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space as the source applications see it (Java's ``\s`` is ASCII only).
 SPACE = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+#: What ``analytics_text`` takes for a space.
+GAP = f"[{SPACE}\\x00-\\x1F\\x7F]"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once however often it is used.

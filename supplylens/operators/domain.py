@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplylens.functions.parse import date_of, is_period, number_of
-from supplylens.functions.text import analytics_text, is_blank
+from supplylens.functions.text import GAP, analytics_text, is_blank
 from supplylens.operators.profile import cell_text
 from supplylens.plans.ordered import carry_forward
 from supplylens.sources.grid import fold_name
@@ -50,7 +50,8 @@ def material_column(columns: list[str]) -> str | None:
 def is_subtotal(df: DataFrame, columns: list[str] | None = None) -> Column:
     """True for rows with a cell that says SUMA, RAZEM or TOTAL."""
     texts = [c for c, kind in df.dtypes if kind == "string" and (columns is None or c in columns)]
-    tests = [analytics_text(F.col(c)).rlike(SUBTOTAL_CELL) for c in texts]
+    # few cells begin like one of the words; only those are folded
+    tests = [F.coalesce(F.col(c).rlike(rf"(?i)^{GAP}*(?:suma|razem|total)"), F.lit(False)) & analytics_text(F.col(c)).rlike(SUBTOTAL_CELL) for c in texts]
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 

@@ -6,6 +6,8 @@ is read once and a frequent value is parsed once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from supplylens.functions.parse import (
 )
 from supplylens.functions.text import analytics_text, is_blank, normalize_label
 from supplylens.plans.ordered import narrowed_quantiles
-from supplylens.session import checkpointed, kept, spread
+from supplylens.session import checkpointed, kept, spread, stored
 from supplylens.vocab import (
     ALMOST_CONSTANT, DIMENSION_ROLES, IDENTIFIER_HINT, MEASURE_HINT, MEASURE_ROLES, SEMANTIC_RULES,
     VALUE_PATTERNS,
@@ -42,23 +44,29 @@ def value_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     ``native`` is ``number``, ``date`` or ``text``; ``number`` is set for native numbers.
     """
-    rows, parts = spread(df), []
-    for name in columns or df.columns:
+    columns = columns or df.columns
+    rows, parts = df if stored(df) else kept(spread(df).select(*[F.col(f"`{c}`") for c in columns])), []
+    # each column is counted by itself: one key of its own type, no row is repeated for a column
+    for name in columns:
         kind = df.schema[name].dataType
         native = "number" if isinstance(kind, T.NumericType) else "date" if isinstance(kind, STAMPS) else "text"
-        # doubles hold these numbers exactly: their text is made once for each distinct one
-        form = "double" if isinstance(kind, T.DoubleType) else "whole" if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)) else "text"
-        text = cell_text(df, name) if form == "text" else F.lit(None).cast("string")
-        if native == "text":
-            text = F.when(~is_blank(text), text)
         number = F.col(f"`{name}`").cast("double") if native == "number" else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(name).alias("column"), F.lit(native).alias("native"), F.lit(form).alias("form"),
-                              text.alias("value"), number.alias("number")))
-    cells = rows.select(F.inline(F.array(*parts)))
-    counted = cells.groupBy("column", "native", "form", "value", "number").agg(F.count("*").alias("n"))
-    text = (F.when(F.col("form") == "double", F.regexp_replace(F.col("number").cast("string"), r"\.0$", ""))
-            .when(F.col("form") == "whole", F.col("number").cast("bigint").cast("string")).otherwise(F.col("value")))
-    return counted.select("column", "native", text.alias("value"), "number", "n")
+        cells = spread(rows.select(F.col(f"`{name}`")))
+        # doubles hold these numbers exactly: their text is made once for each distinct one
+        if isinstance(kind, (T.DoubleType, T.IntegerType, T.ShortType, T.ByteType)):
+            counted = cells.groupBy(number.alias("number")).agg(F.count("*").alias("n"))
+            value = (F.regexp_replace(F.col("number").cast("string"), r"\.0$", "") if isinstance(kind, T.DoubleType)
+                     else F.col("number").cast("bigint").cast("string"))
+        else:
+            text = cell_text(df, name)
+            if native == "text":
+                text = F.when(~is_blank(text), text)
+            keys = [text.alias("value"), *([number.alias("number")] if native == "number" else [])]
+            counted, value = cells.groupBy(*keys).agg(F.count("*").alias("n")), F.col("value")
+        number = F.col("number") if native == "number" else number
+        parts.append(counted.select(F.lit(name).alias("column"), F.lit(native).alias("native"), value.alias("value"),
+                                    number.alias("number"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def parsed_values(values: DataFrame) -> DataFrame:

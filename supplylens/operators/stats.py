@@ -12,7 +12,7 @@ from supplylens.functions.dates import period_key
 from supplylens.functions.parse import date_of, number_of, timestamp_of
 from supplylens.functions.text import is_blank
 from supplylens.operators.profile import cell_text
-from supplylens.plans.ordered import attach, quantiles, running_totals, value_counts
+from supplylens.plans.ordered import attach, narrowed_quantiles, quantiles, running_totals, value_counts
 from supplylens.session import checkpointed, kept, spread
 from supplylens.vocab import AGGREGATION_BY_ROLE, MISSING
 
@@ -42,14 +42,32 @@ def melt(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
 
 # ---- outliers -----------------------------------------------------------------------------
 
+#: Up to this many groups, quantiles are found by counts in narrowing ranges; more groups are sorted.
+NARROWED_GROUPS = 1000
+
+
 def robust_bounds(values: DataFrame, group: list[str], minimum: int = 4, multiplier: float = 1.5) -> DataFrame:
-    """``group..., n, q1, median, q3, iqr, mad, lower, upper`` for groups large enough."""
-    counted = value_counts(values, "value", group)
-    middle = quantiles(counted, "value", QUARTILES, group, "_weight").where(F.col("n") >= minimum)
-    away = attach(counted, middle.select(*group, "median"), group, "inner").select(
-        *group, "_weight", F.abs(F.col("value") - F.col("median")).alias("away"))
-    mad = quantiles(away, "away", {"mad": 0.5}, group, "_weight").drop("n")
-    spread = middle.join(mad, group).withColumn("iqr", F.col("q3") - F.col("q1"))
+    """``group..., n, q1, median, q3, iqr, mad, lower, upper`` for groups large enough.
+
+    ``group`` columns must not be NULL. ``values`` is read twice. The number of groups is measured:
+    few of them need no sort, as each of their quantiles lies in a range that counts narrow.
+    """
+    groups = kept(values.where("value IS NOT NULL").select(*group).distinct())
+    if groups.count() <= NARROWED_GROUPS:
+        named = groups.withColumn("_id", F.row_number().over(Window.orderBy(*group)))
+        numbers = kept(values.where("value IS NOT NULL").join(F.broadcast(named), group).select("_id", "value"))
+        middle = narrowed_quantiles(numbers, "value", QUARTILES, "_id").where(F.col("n") >= minimum)
+        away = numbers.join(F.broadcast(middle.select("_id", "median")), "_id").select(
+            "_id", F.abs(F.col("value") - F.col("median")).alias("away"))
+        mad = narrowed_quantiles(away, "away", {"mad": 0.5}, "_id").drop("n")
+        spread = middle.join(mad, "_id").join(named, "_id").drop("_id")
+    else:
+        counted = kept(value_counts(values, "value", group))
+        middle = kept(quantiles(counted, "value", QUARTILES, group, "_weight").where(F.col("n") >= minimum))
+        away = attach(counted, middle.select(*group, "median"), group, "inner").select(
+            *group, "_weight", F.abs(F.col("value") - F.col("median")).alias("away"))
+        spread = middle.join(quantiles(away, "away", {"mad": 0.5}, group, "_weight").drop("n"), group)
+    spread = spread.withColumn("iqr", F.col("q3") - F.col("q1"))
     return spread.withColumns({"lower": F.col("q1") - multiplier * F.col("iqr"),
                                "upper": F.col("q3") + multiplier * F.col("iqr")})
 
@@ -135,16 +153,20 @@ def _per_period(df: DataFrame, date: str, measures: dict[str, str], granularity:
                 sequence: list[str], by: Column | None = None) -> DataFrame:
     df, sequence = free_names(df, sequence)
     stamp, day = timestamp_of(df, date, "analytics", convention), date_of(df, date, "analytics", convention)
-    cells = melt(df.withColumns({"_at": stamp, "_period": period_key(day, granularity),
-                                 "_by": by if by is not None else F.lit("")}),
-                 list(measures), ["_at", "_period", "_by", *sequence]).where("_period IS NOT NULL")
-    newest = F.max(F.struct("_at", *sequence, F.col("value").alias("_v")))
-    sums = cells.groupBy("measure", "_period", "_by").agg(
-        F.sum("value").alias("_sum"), F.count("*").alias("records"), newest.alias("_new"))
-    how = F.element_at(F.create_map(*[F.lit(x) for p in measures.items() for x in p]), F.col("measure"))
-    value = (F.when(how == "latest", F.col("_new._v")).when(how == "average", F.col("_sum") / F.col("records"))
-             .otherwise(F.col("_sum")))
-    return sums.select("measure", F.col("_period").alias("period"), "_by", value.alias("value"), "records")
+    placed = df.withColumns({"_at": stamp, "_period": period_key(day, granularity), "_by": by if by is not None else F.lit("")})
+    parts = []
+    # only the newest value of a period needs the sequence, and an aggregate that sorts its rows
+    for latest in (False, True):
+        named = [m for m, how in measures.items() if (how == "latest") == latest]
+        if not named:
+            continue
+        cells = melt(placed, named, ["_at", "_period", "_by", *sequence] if latest else ["_period", "_by"]).where("_period IS NOT NULL")
+        newest = F.max(F.struct("_at", *sequence, F.col("value").alias("_v")))["_v"] if latest else F.sum("value")
+        sums = cells.groupBy("measure", "_period", "_by").agg(newest.alias("_value"), F.count("*").alias("records"))
+        how = F.element_at(F.create_map(*[F.lit(x) for m in named for x in (m, measures[m])]), F.col("measure"))
+        value = F.when(how == "average", F.col("_value") / F.col("records")).otherwise(F.col("_value"))
+        parts.append(sums.select("measure", F.col("_period").alias("period"), "_by", value.alias("value"), "records"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def series(df: DataFrame, date: str, measures: dict[str, str], granularity: str = "month",

@@ -12,7 +12,7 @@ from supplylens.operators import pivot, quality, stats
 from supplylens.operators.filters import sample_rows
 from supplylens.operators.profile import describe, fingerprint, primary_fields, profile, semantic_roles
 from supplylens.plans import findings
-from supplylens.session import checkpointed
+from supplylens.session import checkpointed, kept
 
 DIMENSION_RANK = {"material": 7, "category": 6, "brand": 5, "supplier": 4, "location": 3, "status": 2, "boolean": 1}
 
@@ -52,16 +52,17 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
             maximum_levels: int = 50) -> dict[str, DataFrame]:
     """Run every stage on one table; returns named DataFrames.
 
-    ``order`` columns identify a row and give the source order. The driver reads only the
-    profile, one row per column, to choose fields. Associations use all rows unless a sample
+    ``order`` columns identify a row and give the source order. The rows are written once, so
+    that each stage reads only its columns and no join or parse before them is done again. The
+    driver reads only the profile, one row per column, to choose fields. Associations use all rows unless a sample
     size is given, and all measures and all dimensions of up to ``maximum_levels`` values unless
     a maximum is given.
     """
     fields = fields or [c for c in df.columns if not c.startswith("source_")]
-    raw = dom.classify_raw(df, fields)
-    rows = df
+    source = rows = kept(df)
+    raw = dom.classify_raw(source, fields)
     if raw["domain"] == "hierarchical_delivery_plan":
-        rows = checkpointed(dom.prepare_hierarchy(df, raw["material"], order, fields).drop("filled_down"))
+        rows = kept(dom.prepare_hierarchy(source, raw["material"], order, fields).drop("filled_down"))
     profiled = profile(rows, fields, mode, key=order)
     roles = semantic_roles(profiled.columns)
     table = sorted(roles.collect(), key=lambda r: r["position"])  # one row per column
@@ -87,11 +88,11 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
         parts.append(findings.outlier_findings(results["outlier_summary"]))
 
     granularity, line, movers, trend = "month", None, None, None
-    kept = sorted((r for r in measures if (r["numeric_count"] or 0) >= 3), key=lambda r: -r["numeric_count"])[:maximum_measures]
-    if date and kept:
+    dated = sorted((r for r in measures if (r["numeric_count"] or 0) >= 3), key=lambda r: -r["numeric_count"])[:maximum_measures]
+    if date and dated:
         day = date_of(rows, date, "analytics", convention)
         granularity = rows.agg(granularity_for(F.min(day), F.max(day)).alias("g")).first()["g"]
-        how = {r["column"]: stats.aggregation_for(r["semantic_role"]) for r in kept}
+        how = {r["column"]: stats.aggregation_for(r["semantic_role"]) for r in dated}
         line = checkpointed(stats.series(rows, date, how, granularity, convention, order))
         trend = checkpointed(stats.trends(line))
         compared = stats.previous_period(line).join(
@@ -170,6 +171,6 @@ def analyze(df: DataFrame, order: list[str], fields: list[str] | None = None, mo
             best = trend.orderBy(F.desc("confidence"), "measure").limit(1).select("measure")
             top = movers.join(F.broadcast(best), "measure", "left_semi")
         results["charts"] = findings.chart_datasets(line, trend, ranking, pairs, scatter, bars, top)
-    left_out = None if rows is df else df.join(rows.select(*order), order, "left_anti")
-    results["checks"] = quality.row_accounting(df, rows.select(*fields), roles, left_out)
+    left_out = None if rows is source else source.join(rows.select(*order), order, "left_anti")
+    results["checks"] = quality.row_accounting(source, rows.select(*fields), roles, left_out)
     return results

@@ -107,8 +107,8 @@ def quantiles(df: DataFrame, value: str, points: dict[str, float], group: list[s
     return found.select(*out)
 
 
-#: rows of a range that are brought to the driver at last
-FEW = 500
+#: rows of a range that are brought to the driver at last, and of all ranges together where there are many
+FEW, FEW_IN_ALL = 500, 200_000
 
 
 def narrowed_quantiles(df: DataFrame, value: str, points: dict[str, float], group: str, weight: str | None = None,
@@ -120,7 +120,8 @@ def narrowed_quantiles(df: DataFrame, value: str, points: dict[str, float], grou
     on with the part in which the place lies, from its least to its greatest value, until one
     value or few rows are left. A range of very uneven width (its parts stay full) is left to
     ``quantiles`` after eight rounds. The state, one row per group and place, and at last at most
-    ``FEW`` rows for each, are on the driver. ``df`` is read in each round: have it written.
+    ``FEW`` rows for each, fewer for many groups, are on the driver. ``df`` is read in each round:
+    have it written.
     """
     spark, amount = df.sparkSession, F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"), amount.cast("bigint").alias("_w"))
@@ -138,10 +139,12 @@ def narrowed_quantiles(df: DataFrame, value: str, points: dict[str, float], grou
         sizes[r[group]] = r.n
         state += [(r[group], place, place, r.low, r.high, r.c) for place in {f((r.n - 1) * p) for p in points.values() for f in (math.floor, math.ceil)}]
     inside = (F.col("_v") >= F.col("low")) & (F.col("_v") <= F.col("high"))
+    few = max(20, min(FEW, FEW_IN_ALL // max(1, len(state))))
+    buckets = max(16, min(buckets, 2_000_000 // max(1, len(sizes))))
     for turn in range(9):
         found |= {s[:2]: s[3] for s in state if s[3] == s[4]}
         state = [s for s in state if s[3] != s[4]]
-        small = [s for s in state if s[5] <= FEW]
+        small = [s for s in state if s[5] <= few]
         if small:
             spans = local([*{(s[0], s[3], s[4]) for s in small}], group, "low", "high")
             values: dict[tuple, list] = {}
@@ -153,7 +156,7 @@ def narrowed_quantiles(df: DataFrame, value: str, points: dict[str, float], grou
                     if rank < 0:
                         found[g, place] = v
                         break
-            state = [s for s in state if s[5] > FEW]
+            state = [s for s in state if s[5] > few]
         if not state or turn == 8:
             break
         ranges = local([s[:5] for s in state], group, "place", "rank", "low", "high")

@@ -65,3 +65,11 @@ def spread(df: DataFrame) -> DataFrame:
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < size < cores * (32 << 20) else df
+
+
+def stored(df: DataFrame) -> bool:
+    """True if ``df`` only picks columns from a written table, so that reading it once for each column repeats no work."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation"
