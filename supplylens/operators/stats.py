@@ -13,7 +13,7 @@ from supplylens.functions.parse import date_of, number_of, timestamp_of
 from supplylens.functions.text import is_blank
 from supplylens.operators.profile import cell_text
 from supplylens.plans.ordered import attach, narrowed_quantiles, quantiles, running_totals, value_counts
-from supplylens.session import checkpointed, kept, spread
+from supplylens.session import kept, spread
 from supplylens.vocab import AGGREGATION_BY_ROLE, MISSING
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -268,7 +268,7 @@ def _numbers(df: DataFrame, measures: list[str]) -> DataFrame:
     return df.select(*[number_of(df, m, "analytics").alias(f"m{i}") for i, m in enumerate(measures)])
 
 
-def _correlations(numbers: DataFrame, pairs: list[tuple[int, int]], prefix: str = "m") -> DataFrame:
+def _correlations(numbers: DataFrame, pairs: list[tuple[int, int]], names: dict[tuple[int, int], tuple[str, str]] | None = None) -> DataFrame:
     """``i, j, n, value`` of pairs of columns: their joint moments side by side in one row, whatever the number of pairs.
 
     A pair counts the rows that have both numbers. ``value`` is NULL without variance.
@@ -276,7 +276,7 @@ def _correlations(numbers: DataFrame, pairs: list[tuple[int, int]], prefix: str
     def block(part: list[tuple[int, int]]) -> DataFrame:
         parts = []
         for k, (i, j) in enumerate(part):
-            x, y = F.col(f"{prefix}{i}"), F.col(f"{prefix}{j}")
+            x, y = (F.col(c) for c in (names[i, j] if names else (f"m{i}", f"m{j}")))
             spread_of = [F.var_pop(F.when(other.isNotNull(), one)) for one, other in ((x, y), (y, x))]
             value = F.try_divide(F.covar_pop(x, y), F.sqrt(spread_of[0] * spread_of[1]))
             parts += [F.count(x + y).alias(f"n{k}"), value.alias(f"c{k}")]
@@ -301,53 +301,69 @@ def pearson(df: DataFrame, measures: list[str]) -> DataFrame:
     return _named(found.where("n > 0"), measures, "pearson")
 
 
-def _average_ranks(numbers: DataFrame, measures: list[int]) -> DataFrame:
-    """The rows with ``r<i>``, the centred average rank of each measure: every measure is ranked once."""
-    long = numbers.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("value")) for i in measures])))
-    placed = running_totals(value_counts(long, "value", ["i"]), [F.col("value")], {"_end": "_weight"}, ["i"])
+def _ranked(numbers: DataFrame, places: dict[int, list[tuple[int, ...]]]) -> DataFrame:
+    """The rows with ``r<i>_<k>``: the centred average rank of measure ``i`` among the rows of its ``k``-th set.
+
+    A set names the measures that its rows have. Each measure is counted once for all its sets,
+    one ordered run ranks all of them, and the rows look up each measure once.
+    """
+    parts, name = [], {}
+    for i, sets in places.items():
+        inside = [reduce(lambda a, b: a & b, [F.col(f"m{j}").isNotNull() for j in s]) for s in sets]
+        counted = numbers.where(F.col(f"m{i}").isNotNull()).groupBy(F.col(f"m{i}").alias("value")).agg(
+            *[F.count_if(test).alias(f"w{k}") for k, test in enumerate(inside)])
+        for k in range(len(sets)):
+            name[len(name)] = (i, k)
+        first = len(name) - len(sets)
+        parts.append(counted.select("value", F.inline(F.array(*[F.struct(F.lit(first + k).alias("g"), F.col(f"w{k}").alias("w")) for k in range(len(sets))]))))
+    counts = kept(reduce(DataFrame.unionByName, parts).where("w > 0"))
+    placed = running_totals(counts, [F.col("value")], {"_end": "w"}, ["g"])
     # centred on the mean (n + 1) / 2
-    centred = (F.col("_end") - F.col("_weight") + (F.col("_weight") + 1) / 2) - (F.col("_end_total") + 1) / 2
-    ranks = checkpointed(placed.select("i", "value", centred.alias("r")))
-    for i in measures:
-        table = ranks.where(F.col("i") == i).select(F.col("value").alias(f"m{i}"), F.col("r").alias(f"r{i}"))
+    centred = (F.col("_end") - F.col("w") + (F.col("w") + 1) / 2) - (F.col("_end_total") + 1) / 2
+    ranks = kept(placed.select("g", "value", centred.alias("r")))
+    sizes = {r.g: r["count"] for r in ranks.groupBy("g").count().collect()}
+    own = {i: [g for g, (j, _) in name.items() if j == i] for i in places}
+    # a large table is joined by a shuffle of the rows: these come first, while the rows are narrow
+    for i in sorted(places, key=lambda i: -max(sizes.get(g, 0) for g in own[i])):
+        table = ranks.where(F.col("g").isin(own[i])).groupBy(F.col("value").alias(f"m{i}")).agg(
+            *[F.max(F.when(F.col("g") == g, F.col("r"))).alias(f"r{i}_{name[g][1]}") for g in own[i]])
         numbers = attach(numbers, table, [f"m{i}"])
     return numbers
 
 
-def _pair_ranks(numbers: DataFrame, pair: tuple[int, int]) -> DataFrame:
-    """``i, j, n, value`` of one pair whose numbers are missing in different rows: ranked among its common rows."""
-    i, j = pair
-    joint = (numbers.where(F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull())
-             .groupBy(F.col(f"m{i}").alias("m0"), F.col(f"m{j}").alias("m1")).agg(F.count("*").alias("w")))
-    sides = joint.select("w", F.inline(F.array(*[F.struct(F.lit(k).alias("i"), F.col(f"m{k}").alias("value")) for k in (0, 1)])))
-    placed = running_totals(value_counts(sides, "value", ["i"], "w"), [F.col("value")], {"_end": "_weight"}, ["i"])
-    centred = (F.col("_end") - F.col("_weight") + (F.col("_weight") + 1) / 2) - (F.col("_end_total") + 1) / 2
-    ranks = checkpointed(placed.select("i", "value", centred.alias("r")))
-    for k in (0, 1):
-        joint = attach(joint, ranks.where(F.col("i") == k).select(F.col("value").alias(f"m{k}"), F.col("r").alias(f"r{k}")), [f"m{k}"], "inner")
-    w, x, y = F.col("w"), F.col("r0"), F.col("r1")
-    sums = joint.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
-    return sums.select(F.lit(i).alias("i"), F.lit(j).alias("j"), "n", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("value"))
-
-
 def spearman(df: DataFrame, measures: list[str]) -> DataFrame:
     """Rank correlation of all pairs, average ranks on ties.
 
-    Measures that are filled in the same rows are ranked once each, and one aggregate takes all
-    their pairs. Only a pair whose numbers are missing in different rows is ranked by itself, as
-    its ranks count common rows only. One row of counts, two per pair, comes to the driver.
+    The ranks of a pair count the rows that have both numbers. Pairs with the same common rows
+    share the ranks of their measures; all ranks are found in one run, and one aggregate takes
+    all pairs. One row of counts, two per pair, comes to the driver.
     """
     pairs = list(combinations(range(len(measures)), 2))
     numbers = kept(_numbers(spread(df), measures))
-    filled = numbers.agg(*[F.count(f"m{i}").alias(f"m{i}") for i in range(len(measures))]).first()
-    both = {(r.i, r.j): r.n for r in _correlations(numbers, pairs).select("i", "j", "n").collect()}
-    alike = [p for p in pairs if both[p] and both[p] == filled[f"m{p[0]}"] == filled[f"m{p[1]}"]]
-    parts = [_pair_ranks(numbers, p) for p in pairs if both[p] and p not in set(alike)]
-    if alike:
-        parts.append(_correlations(_average_ranks(numbers, sorted({i for p in alike for i in p})), alike, "r"))
-    if not parts:
-        parts = [_correlations(numbers, pairs).where("false")]
-    return _named(reduce(DataFrame.unionByName, parts), measures, "spearman")
+    filled = numbers.agg(*[F.count(f"m{i}").alias(f"m{i}") for i in range(len(measures))],
+                         *[F.count(F.col(f"m{i}") + F.col(f"m{j}")).alias(f"n{i}_{j}") for i, j in pairs]).first()
+    both = {(i, j): filled[f"n{i}_{j}"] for i, j in pairs}
+    pairs = [p for p in pairs if both[p]]
+    if not pairs:
+        return _named(_correlations(numbers, list(both)).where("false"), measures, "spearman")
+
+    def covers(i: int, j: int) -> bool:
+        """All rows of ``i`` have ``j``."""
+        return i == j or both[min(i, j), max(i, j)] == filled[f"m{i}"]
+
+    places: dict[int, list[tuple[int, ...]]] = {}
+    names = {}
+    for i, j in pairs:
+        whole = next((a for a, b in ((i, j), (j, i)) if covers(a, b)), None)
+        rows = (i, j) if whole is None else (next(k for k in range(len(measures)) if covers(k, whole) and covers(whole, k)),)
+        for one in (i, j):
+            if rows not in places.setdefault(one, []):
+                places[one].append(rows)
+        names[i, j] = tuple(f"r{one}_{places[one].index(rows)}" for one in (i, j))
+    ranked = _ranked(numbers, places)
+    if len(pairs) > PAIRS:
+        ranked = kept(ranked)
+    return _named(_correlations(ranked, pairs, names), measures, "spearman")
 
 
 def numeric_associations(df: DataFrame, measures: list[str]) -> DataFrame:
