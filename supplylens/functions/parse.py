@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplylens.functions.text import (
-    SPACE, analytics_text, clean_text, comparable_text, is_blank, let, normalize_label,
+    GAP, SPACE, analytics_text, clean_text, comparable_text, is_blank, let, normalize_label,
 )
 
 #: Plain numbers that both dialects read alike, without the marks that need a closer look.
@@ -24,6 +24,10 @@ DATED = r"^\d+[-/.]\d{1,2}[-/.]\d+(?:\z|[ T]\d{1,2}:)"
 #: Days as nearly all tables write them; anything else takes the long way.
 DAY_FIRST = r"^\d{2}[-/.]\d{2}[-/.]\d{4}\z"
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}\z"
+#: A sign that no number holds in the analytics dialect, currencies and spaces among them: prose has one soon.
+FOREIGN = f"[^0-9+\\-.,%€$£PLNUSDERGBZŁplnusdergbzłſ{SPACE}]"
+#: What a stamp of the analytics dialect begins with.
+STAMP_START = r"^ *(?:\d|[A-Za-z]{3,9}\s+\d)"
 GRAMMAR = r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"
 EXCEL_EPOCH = "1899-12-30"
 
@@ -70,8 +74,10 @@ def parse_number(value: Column, dialect: str = "import") -> Column:
     # the grammar guards the cast, which alone would accept '5d' and 'NaN'
     written = let(F.regexp_extract(plain, GRAMMAR, 0).try_cast("double"), _finite)
     comma = F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")
-    return (F.when(raw.rlike(PLAIN), raw.try_cast("double")).when(raw.rlike(PLAIN_COMMA), comma)
-            .when(raw.rlike(r"\d") & ~raw.rlike(DATED), written))
+    readable = raw.rlike(r"\d") & ~raw.rlike(DATED)
+    if dialect != "import":
+        readable = ~raw.rlike(FOREIGN) & readable
+    return (F.when(raw.rlike(PLAIN), raw.try_cast("double")).when(raw.rlike(PLAIN_COMMA), comma).when(readable, written))
 
 
 def no_word(dialect: str) -> str:
@@ -133,7 +139,7 @@ def parse_timestamp(value: Column, dialect: str = "import", convention: str = "d
         return (F.when(raw.rlike(DAY_FIRST), turned.try_cast("timestamp_ntz")).when(raw.rlike(ISO_DAY), raw.try_cast("timestamp_ntz"))
                 .when(raw.rlike(r"\d"), found))
     found = let(F.trim(raw), lambda text: _analytics_stamp(text, convention))
-    return F.when(raw.rlike(r"\d"), found)
+    return F.when(raw.rlike(STAMP_START), found)
 
 
 def _import_stamp(text: Column, serial_text: bool) -> Column:
@@ -203,7 +209,8 @@ _MONTH = r"(?i)^(?:month|miesiac|miesiąc)\s*[-: ]?\s*(0?[1-9]|1[0-2])" + _TAIL
 
 def is_period(value: Column) -> Column:
     """True for text that names a week or a month without an exact day."""
-    return F.coalesce(analytics_text(value).rlike(f"{_WEEK}|{_MONTH}"), F.lit(False))
+    begins = F.coalesce(value.cast("string").rlike(rf"(?i)^{GAP}*(?:week|wk|cw|ty[dg]|month|miesi)"), F.lit(False))
+    return begins & F.coalesce(analytics_text(value).rlike(f"{_WEEK}|{_MONTH}"), F.lit(False))
 
 
 def parse_period(value: Column, reference_year: int | None = None) -> Column:

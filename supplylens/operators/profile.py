@@ -16,12 +16,12 @@ from supplylens.functions.parse import (
     convention_evidence, convention_from, excel_serial, is_period, parse_bool, parse_date, parse_number,
     parse_period,
 )
-from supplylens.functions.text import analytics_text, is_blank, normalize_label
+from supplylens.functions.text import GAP, analytics_text, is_blank, normalize_label
 from supplylens.plans.ordered import narrowed_quantiles
 from supplylens.session import checkpointed, kept, spread, stored
 from supplylens.vocab import (
     ALMOST_CONSTANT, DIMENSION_ROLES, IDENTIFIER_HINT, MEASURE_HINT, MEASURE_ROLES, SEMANTIC_RULES,
-    VALUE_PATTERNS,
+    VALUE_PATTERNS, VALUE_STARTS,
 )
 
 STAMPS = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -100,8 +100,10 @@ def _weight(test: Column) -> Column:
 
 def _pattern_shares() -> Column:
     """For each value pattern the share of the different filled texts that fit it: a common placeholder is one of them."""
-    text = F.when(F.col("native") == "text", analytics_text(F.col("value")))
-    filled = F.count_if(text != "")
+    is_text = F.col("native") == "text"
+    filled = F.count_if(is_text & F.col("value").rlike(f"[^{GAP[1:]}"))
+    # only a text that begins like a pattern is folded
+    text = F.when(is_text & F.col("value").rlike(f"(?i)^{GAP}*(?:{VALUE_STARTS})"), analytics_text(F.col("value")))
     return F.array(*[F.try_divide(F.count_if(F.regexp_like(text, F.lit(pattern))), filled) for pattern, _, _ in VALUE_PATTERNS])
 
 
@@ -191,9 +193,9 @@ def histograms(parsed: DataFrame) -> DataFrame:
 
 
 def top_values(values: DataFrame, k: int) -> DataFrame:
-    """``column, place, value, n``: the most frequent values, equal counts by value."""
+    """``column, place, value, n``: the most frequent values of a table of distinct ones, equal counts by value."""
     window = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    counted = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.sum("n").alias("n"))
+    counted = values.where("value IS NOT NULL")
     return counted.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).select(
         "column", "place", "value", "n")
 

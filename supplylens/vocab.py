@@ -260,3 +260,4 @@ IDENTIFIER_HINT = r"(^|\s)(id|kod|code|numer|number|nr|account)(\s|$)"
 #: value pattern -> (business role, score)
 VALUE_PATTERNS = [(r"(?i)^ORD[-\s/]", "order_id", 0.97), (r"(?i)^CON[-\s/]", "contract_id", 0.96),
                   (r"(?i)^(?:WZ[/-]|SN\d)", "document_id", 0.9)]
+VALUE_STARTS = "ORD|CON|WZ|SN"
