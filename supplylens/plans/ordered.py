@@ -1,26 +1,42 @@
 """Ordered computations that no single task has to hold: running totals, exact quantiles.
 
-A global window would pull all rows into one partition. Here Spark sorts the rows by range,
-the sorted rows are checkpointed so that the ranges stay fixed, and each range works on its
-own rows plus a carry from the ranges before it. The carry table has one row per range and
-group.
+A global window would pull all rows into one partition. Here Spark sorts the rows into ranges
+of bounded size, however large the table is, the sorted rows are written so that the ranges
+stay fixed, and each range works on its own rows plus a carry from the ranges before it. The
+carry table has one row per range and group.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from supplylens.session import checkpointed, kept
+from supplylens.session import kept, stored
 
+#: what the rows of one range weigh about, before compression; small tables are still dealt over all cores
+RANGE_BYTES, LEAST_RANGE_BYTES = 32 << 20, 1 << 20
 
-def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    return (checkpointed(df.orderBy(*order))
-            .withColumn("_range", F.spark_partition_id())
-            .withColumn("_place", F.monotonically_increasing_id()))
+
+def _sorted(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """The rows sorted in ranges, and the number of ranges: it follows the measured size of the rows."""
+    rows = df if stored(df) else kept(df)
+    loose = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in rows.schema.fields
+             if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    count, text = rows.agg(F.count("*"), F.coalesce(F.sum(sum(loose, F.lit(0)).cast("bigint")), F.lit(0))).first()
+    size = count * (16 + 8 * len(rows.columns)) + text
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, math.ceil(size / RANGE_BYTES), min(cores, math.ceil(size / LEAST_RANGE_BYTES)))
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order), n
+
+
+def _written(ranges: DataFrame) -> DataFrame:
+    return kept(ranges.withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str],
@@ -31,8 +47,8 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str],
     names to numeric columns; ``group`` columns must not be NULL.
     """
     group = group or []
-    rows = _ranges(df, [F.col(c) for c in group] + order)
-    keys = [*group, "_range"]
+    ranges, pieces = _sorted(df, [F.col(c) for c in group] + order)
+    rows, keys = _written(ranges), [*group, "_range"]
     parts = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     ahead = Window.partitionBy(*group).orderBy("_range")
     whole = Window.partitionBy(*group)
@@ -42,27 +58,43 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str],
                      F.lit(0)).alias(f"_{n}_carry") for n in sums],
         *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in sums])
     inside = Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(carry, keys)
+    joined = rows.repartition(pieces, *keys).join(carry, keys)
     for name, column in sums.items():
         joined = joined.withColumn(name, F.col(f"_{name}_carry") + F.coalesce(
             F.sum(column).over(inside), F.lit(0)))
     return joined.drop("_range", "_place", *[f"_{n}_carry" for n in sums])
 
 
+def _last_seen(column: str, kind: T.DataType) -> Column:
+    """For each row of a task's stream the last value so far that is not NULL."""
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:  # sent by value: it names nothing of this package
+        last = None
+        for array in arrays:
+            array = pa.concat_arrays([pa.nulls(1, array.type) if last is None else last, array])
+            filled = np.asarray(array.is_valid())
+            seen = array.take(pa.array(np.maximum.accumulate(np.where(filled, np.arange(len(array)), 0))))
+            last = seen.slice(len(seen) - 1)
+            yield seen.slice(1)
+
+    return F.arrow_udf(run, kind).asNondeterministic()(column)
+
+
 def carry_forward(df: DataFrame, order: list[Column], columns: dict[str, Column]) -> DataFrame:
-    """Add, under each name, the last non-NULL value of the Column up to the row."""
+    """Add, under each name, the last non-NULL value of the Column up to the row.
+
+    The values run along with the sorted rows of a range, which no window has to hold; only
+    the rows before the first value of a range look up the carry, one row per range.
+    """
     named = {f"_c{i}": (name, column) for i, (name, column) in enumerate(columns.items())}
-    rows = _ranges(df.withColumns({c: spec[1] for c, spec in named.items()}), order)
-    parts = rows.groupBy("_range").agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_place"))).alias(f"{c}_last") for c in named])
+    ranges = _sorted(df, order)[0].withColumns({c: spec[1] for c, spec in named.items()})
+    rows = _written(ranges.withColumns({c: _last_seen(c, ranges.schema[c].dataType) for c in named}))
+    ends = rows.groupBy("_range").agg(F.max("_place").alias("_place")).select("_place")
+    last = rows.select("_range", "_place", *named).join(F.broadcast(ends), "_place", "left_semi")
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.select("_range", *[
-        F.last(f"{c}_last", ignorenulls=True).over(ahead).alias(f"{c}_carry") for c in named])
-    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(carry, "_range")
+    carry = kept(last.select("_range", *[F.last(c, ignorenulls=True).over(ahead).alias(f"{c}_carry") for c in named]))
+    joined = rows.join(F.broadcast(carry), "_range")
     for c, (name, _) in named.items():
-        joined = joined.withColumn(name, F.coalesce(
-            F.last(c, ignorenulls=True).over(inside), F.col(f"{c}_carry")))
+        joined = joined.withColumn(name, F.coalesce(c, f"{c}_carry"))
     return joined.drop("_range", "_place", *named, *[f"{c}_carry" for c in named])
 
 
