@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from supplylens.functions.dates import derive_date_fields
 from supplylens.functions.parse import date_of, number_of, timestamp_of
@@ -208,9 +209,32 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+#: rows of up to this many columns, and texts of up to this many bytes, are compared as they are
+FEW_COLUMNS, SHORT_TEXT = 8, 64
+
+
+def row_keys(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Keys that equal rows share. Those of a narrow row are its own values, and a digest only of long texts."""
+    if len(columns) > FEW_COLUMNS:
+        return [row_digest(columns).alias("_row")]
+    keys = []
+    for i, (name, field) in enumerate(zip(columns, df.select(*columns).schema.fields)):
+        kind, column = field.dataType, F.col(name)
+        if isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType)):
+            keys.append(column.alias(f"_row{i}"))
+        elif isinstance(kind, T.StringType):
+            short = F.octet_length(column) <= SHORT_TEXT
+            keys += [F.when(short, column).alias(f"_row{i}"), F.when(~short, F.sha2(column, 256)).alias(f"_long{i}")]
+        elif isinstance(kind, T.DoubleType):  # -0.0 is told from 0.0, as in a digest
+            keys += [column.alias(f"_row{i}"), F.when(column == 0, column.cast("string")).alias(f"_zero{i}")]
+        else:
+            keys.append(row_digest([name]).alias(f"_row{i}"))
+    return keys
+
+
 def count_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``rows, groups, duplicate_rows``: excess over distinct full rows."""
-    groups = df.groupBy(row_digest(columns or df.columns).alias("_row")).agg(F.count("*").alias("n"))
+    groups = df.groupBy(*row_keys(df, columns or df.columns)).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                       F.count_if(F.col("n") > 1).alias("groups"),
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))

@@ -57,13 +57,17 @@ def value_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             counted = cells.groupBy(number.alias("number")).agg(F.count("*").alias("n"))
             value = (F.regexp_replace(F.col("number").cast("string"), r"\.0$", "") if isinstance(kind, T.DoubleType)
                      else F.col("number").cast("bigint").cast("string"))
+        elif isinstance(kind, T.LongType):  # a key of eight bytes; its text and double follow from it
+            counted = cells.groupBy(F.col(f"`{name}`").alias("_whole")).agg(F.count("*").alias("n"))
+            number, value = F.col("_whole").cast("double"), F.col("_whole").cast("string")
         else:
             text = cell_text(df, name)
             if native == "text":
                 text = F.when(~is_blank(text), text)
             keys = [text.alias("value"), *([number.alias("number")] if native == "number" else [])]
             counted, value = cells.groupBy(*keys).agg(F.count("*").alias("n")), F.col("value")
-        number = F.col("number") if native == "number" else number
+        if native == "number" and not isinstance(kind, T.LongType):
+            number = F.col("number")
         parts.append(counted.select(F.lit(name).alias("column"), F.lit(native).alias("native"), value.alias("value"),
                                     number.alias("number"), "n"))
     return reduce(DataFrame.unionByName, parts)

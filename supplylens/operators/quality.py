@@ -59,8 +59,14 @@ def duplicate_examples(df: DataFrame, columns: list[str] | None = None, k: int =
     return groups.where("copies > 1").orderBy(F.desc("copies"), "_row").limit(k).select("copies", "example")
 
 
-def key_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, duplicate_values, rows`` for identifiers that should be unique."""
+def key_duplicates(df: DataFrame, columns: list[str], values: DataFrame | None = None) -> DataFrame:
+    """``column, duplicate_values, rows`` for identifiers that should be unique.
+
+    ``values`` are the distinct values of all rows with their counts, if a profile has them.
+    """
+    if values is not None:
+        counts = values.where(F.col("column").isin(columns) & F.col("value").isNotNull() & ~is_blank(F.col("value"))).select("column", "n")
+        return counts.where("n > 1").groupBy("column").agg(F.count("*").alias("duplicate_values"), F.sum("n").alias("rows"))
     cells = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), cell_text(df, c).alias("value")) for c in columns])))
     counts = cells.where(~is_blank(F.col("value"))).groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -68,8 +74,8 @@ def key_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count("*").alias("duplicate_values"), F.sum("n").alias("rows"))
 
 
-def key_issues(df: DataFrame, columns: list[str]) -> DataFrame:
-    found = key_duplicates(df, columns)
+def key_issues(df: DataFrame, columns: list[str], values: DataFrame | None = None) -> DataFrame:
+    found = key_duplicates(df, columns, values)
     return found.select(F.concat(F.lit("business-key-"), F.col("column")).alias("id"),
                         F.lit("business_key_duplicates").alias("type"), F.lit("high").alias("severity"), "column",
                         F.col("duplicate_values").cast("bigint").alias("count"), F.lit(None).cast("double").alias("ratio"))
@@ -82,14 +88,15 @@ def severity_rank() -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in SEVERITY_RANK.items() for x in p]), F.col("severity"))
 
 
-def quality_audit(df: DataFrame, roles: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """All issues of a table, most severe first."""
+def quality_audit(df: DataFrame, roles: DataFrame, columns: list[str] | None = None,
+                  values: DataFrame | None = None) -> DataFrame:
+    """All issues of a table, most severe first; ``values`` of a full profile save counting its keys again."""
     issues = column_issues(roles).unionByName(duplicate_issue(df, columns))
     keys = [r["column"] for r in roles.where(
         "semantic_role = 'identifier' AND expected_unique AND unique_ratio < 1 AND non_null_count > 0"
     ).select("column").collect()]  # at most one row per column
     if keys:
-        issues = issues.unionByName(key_issues(df, keys))
+        issues = issues.unionByName(key_issues(df, keys, values))
     return issues.orderBy(severity_rank(), "id")
 
 
