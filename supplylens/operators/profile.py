@@ -39,8 +39,8 @@ def cell_text(df: DataFrame, name: str) -> Column:
     return column.cast("string")
 
 
-def value_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, native, value, number, n``: distinct cells; blank ones as NULL value.
+def value_table(df: DataFrame, columns: list[str] | None = None, blanks: bool = False) -> DataFrame:
+    """``column, native, value, number, n``: distinct cells; blank ones as NULL value, or with ``blanks`` as written.
 
     ``native`` is ``number``, ``date`` or ``text``; ``number`` is set for native numbers.
     """
@@ -62,7 +62,7 @@ def value_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             number, value = F.col("_whole").cast("double"), F.col("_whole").cast("string")
         else:
             text = cell_text(df, name)
-            if native == "text":
+            if native == "text" and not blanks:
                 text = F.when(~is_blank(text), text)
             keys = [text.alias("value"), *([number.alias("number")] if native == "number" else [])]
             counted, value = cells.groupBy(*keys).agg(F.count("*").alias("n")), F.col("value")
@@ -102,6 +102,10 @@ def _weight(test: Column) -> Column:
     return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
 
 
+def _messy() -> Column:
+    return (F.col("value") != F.trim("value")) | F.col("value").rlike(r"\s{2,}")
+
+
 def _pattern_shares() -> Column:
     """For each value pattern the share of the different filled texts that fit it: a common placeholder is one of them."""
     is_text = F.col("native") == "text"
@@ -116,7 +120,7 @@ def value_facts(parsed: DataFrame) -> DataFrame:
     filled = F.col("value").isNotNull()
     number, day = F.col("number"), F.col("day")
     size = F.length("value")
-    messy = (F.col("native") == "text") & ((F.col("value") != F.trim("value")) | F.col("value").rlike(r"\s{2,}"))
+    messy = (F.col("native") == "text") & _messy()
     return parsed.groupBy("column", "native").agg(
         F.first("convention").alias("convention"),
         F.sum("n").alias("row_count"), _weight(filled).alias("non_null_count"),
@@ -177,6 +181,23 @@ def numeric_stats(parsed: DataFrame) -> DataFrame:
         "iqr", F.col("q3") - F.col("q1"))
 
 
+def text_stats(df: DataFrame, columns: list[str] | None = None, blanks: bool = False) -> DataFrame:
+    """Count, lengths, distinct texts and white space issues per column, whatever its texts read as.
+
+    Text of white space only is missing, as in a profile, or with ``blanks`` a text like any
+    other. A column without texts has its row, too.
+    """
+    columns = columns or df.columns
+    size, n = F.length("value"), F.col("n")
+    facts = value_table(df, columns, blanks).where("value IS NOT NULL").groupBy("column").agg(
+        F.sum(n).alias("count"), F.min(size).alias("minimum_length"), F.max(size).alias("maximum_length"),
+        (F.sum(size * n) / F.sum(n)).alias("average_length"), F.count("value").alias("unique_count"),
+        _weight(_messy()).alias("whitespace_issues"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return names.join(F.broadcast(facts), "column", "left").fillna(  # one row per column
+        0, ["count", "unique_count", "whitespace_issues"])
+
+
 def histograms(parsed: DataFrame) -> DataFrame:
     """``column, bin, from, to, count``: ceil(sqrt n) bins between 3 and 30, empty ones too."""
     numbers = parsed.where("number IS NOT NULL")
